@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import any_null, percent, ratio
@@ -10,7 +10,8 @@ from latelens.operators.keyed import first_non_null, frequency
 from latelens.operators.quantiles import median_by, with_quantile_bin
 from latelens.schemas import CLASS_ORDER
 
-LATE_RATE = F.avg(F.col("entrega_tarde").cast("double"))
+def late_rate() -> Column:
+    return F.avg(F.col("entrega_tarde").cast("double"))
 
 
 def item_status_counts(items: DataFrame) -> DataFrame:
@@ -53,10 +54,10 @@ def label_medians(features: DataFrame) -> DataFrame:
 
 def regional_gradient(features: DataFrame, more_than: int = 200) -> DataFrame:
     """Late rate per buyer state with more than the given orders, beside the overall rate."""
-    overall = features.agg(LATE_RATE.alias("overall_rate"))
+    overall = features.agg(late_rate().alias("overall_rate"))
     return (
         features.where("customer_state is not null").groupBy("customer_state")
-        .agg(F.count("entrega_tarde").alias("n"), LATE_RATE.alias("late_rate"))
+        .agg(F.count("entrega_tarde").alias("n"), late_rate().alias("late_rate"))
         .where(F.col("n") > more_than)
         .crossJoin(F.broadcast(overall))  # one row
         .withColumn("above_overall", F.col("late_rate") > F.col("overall_rate"))
@@ -77,7 +78,7 @@ def rate_deciles(features: DataFrame, bins: int = 10) -> DataFrame:
     return binned.groupBy((F.col("__bin") + 1).alias("decile")).agg(
         F.count(F.lit(1)).alias("n"),
         percent(F.avg("tasa_vendedor")).alias("historic_pct"),
-        percent(LATE_RATE).alias("observed_pct"),
+        percent(late_rate()).alias("observed_pct"),
     )
 
 
@@ -115,14 +116,14 @@ def null_before_after(items: DataFrame, features: DataFrame) -> DataFrame:
 def monthly_regime(features: DataFrame) -> DataFrame:
     """Orders and late rate per purchase month."""
     month = F.trunc(F.to_date("order_purchase_timestamp"), "month")
-    return features.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"), percent(LATE_RATE).alias("late_pct"))
+    return features.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("n"), percent(late_rate()).alias("late_pct"))
 
 
 def split_spans(features: DataFrame) -> DataFrame:
     """Size, late rate and time span of each split."""
     return features.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
-        LATE_RATE.alias("late_rate"),
+        late_rate().alias("late_rate"),
         F.min("order_purchase_timestamp").alias("first_purchase"),
         F.max("order_purchase_timestamp").alias("last_purchase"),
     )

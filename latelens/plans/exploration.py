@@ -8,7 +8,7 @@ Stage it once and run the reports from it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import (
@@ -38,7 +38,9 @@ LIFECYCLE = [PURCHASE, "order_approved_at", CARRIER, DELIVERY, PROMISE]
 # Day-gap bins against the promise (right-closed).
 GAP_EDGES = [-1000.0, -10.0, -5.0, -1.0, 0.0, 5.0, 10.0, 1000.0]
 
-LATE_SHARE = F.avg(F.col("late").cast("double"))
+
+def late_share() -> Column:
+    return F.avg(F.col("late").cast("double"))
 
 
 # -- data quality -------------------------------------------------------------
@@ -146,7 +148,7 @@ def lateness_summary(labelled: DataFrame) -> DataFrame:
     """One row: orders, late share, and the spread of days against the promise."""
     plain = labelled.agg(
         F.count(F.lit(1)).alias("n"),
-        percent(LATE_SHARE).alias("late_pct"),
+        percent(late_share()).alias("late_pct"),
         F.avg("gap_days").alias("gap_mean"),
     )
     spread = exact_quantiles(labelled, "gap_days", [0.1, 0.5, 0.9], names=["gap_p10", "gap_median", "gap_p90"])
@@ -225,7 +227,7 @@ def promise_cushion(cushioned: DataFrame) -> DataFrame:
 def cushion_by_state(cushioned: DataFrame, min_orders: int = 200) -> DataFrame:
     """Median cushion per buyer state with enough orders."""
     counts = cushioned.where("customer_state is not null").groupBy("customer_state").agg(
-        F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct")
+        F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct")
     ).where(F.col("n") >= min_orders)
     medians = median_by(cushioned, "cushion", ["customer_state"], "cushion_median")
     return counts.join(medians, "customer_state")
@@ -255,7 +257,7 @@ def single_seller_orders(labelled: DataFrame, items: DataFrame) -> DataFrame:
 def seller_rates(single: DataFrame, min_orders: int = 30) -> DataFrame:
     return single.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("n"),
-        LATE_SHARE.alias("late_rate"),
+        late_share().alias("late_rate"),
         F.avg(F.col("dispatched_late").cast("double")).alias("late_dispatch_rate"),
     ).where(F.col("n") >= min_orders)
 
@@ -329,7 +331,7 @@ def late_by_quantile(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
     """Orders, late share and median value per equal-count bin of a column."""
     slim = stage(df.where(F.col(value).isNotNull()).select("late", F.col(value).alias("__x")), "binned_input")
     binned = with_quantile_bin(slim, "__x", bins, "bin")
-    rates = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct"))
+    rates = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct"))
     return rates.join(median_by(binned, "__x", ["bin"], "median_value"), "bin")
 
 
@@ -352,14 +354,14 @@ def late_by_category(with_product: DataFrame, min_orders: int = 300, top: int |
     """Categories with the highest late share."""
     key = "product_category_name_english"
     out = with_product.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct")
+        F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct")
     ).where(F.col("n") >= min_orders)
     return out if top is None else out.orderBy(F.desc("late_pct"), key).limit(top)
 
 
 def _months(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(month_label(PURCHASE).alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct")
+        F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct")
     )
 
 
@@ -369,7 +371,7 @@ def late_by_month(labelled: DataFrame, min_orders: int = 200) -> DataFrame:
 
 def late_by_weekday(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy(weekday_from_monday(PURCHASE).alias("weekday")).agg(
-        F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct")
+        F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct")
     )
 
 
@@ -398,7 +400,7 @@ def pain_by_state(labelled: DataFrame, min_orders: int = 200) -> DataFrame:
     """Late share and low-score share per buyer state; a missing score is not a low one."""
     return labelled.where("customer_state is not null").groupBy("customer_state").agg(
         F.count(F.lit(1)).alias("n"),
-        percent(LATE_SHARE).alias("late_pct"),
+        percent(late_share()).alias("late_pct"),
         percent(F.avg(yes(F.col("review_score") <= 2).cast("double"))).alias("unhappy_pct"),
     ).where(F.col("n") >= min_orders)
 
@@ -445,7 +447,7 @@ def distance_coverage(distances: DataFrame) -> DataFrame:
 
 def late_by_same_state(distances: DataFrame) -> DataFrame:
     return distances.where("dist_km is not null").groupBy("same_state").agg(
-        F.count(F.lit(1)).alias("n"), percent(LATE_SHARE).alias("late_pct")
+        F.count(F.lit(1)).alias("n"), percent(late_share()).alias("late_pct")
     )
 
 
@@ -462,7 +464,7 @@ def feature_matrix(
 
     The seller rate here is the plain rate over all of a seller's orders.
     """
-    rate = single.groupBy("seller_id").agg(LATE_SHARE.alias("seller_late_rate"))
+    rate = single.groupBy("seller_id").agg(late_share().alias("seller_late_rate"))
     sellers = first_per_key(items, "order_id", "order_item_id", ["seller_id"])
     d = distances.where("dist_km is not null")
     return (
