@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from latelens.ml.baselines import MajorityBaseline, RuleBaseline
 from latelens.ml.evaluation import (
     METRICS,
-    average_precision,
     best_f1_threshold,
     cold_start_metrics,
     errors_by_region,
@@ -140,60 +139,78 @@ class TrainingRun:
     scored_test: DataFrame
 
 
-def _record(df: DataFrame) -> dict:
-    return {m: df.first().asDict()[m] for m in METRICS}
+def _stack(scored: dict[str, DataFrame], label: str) -> DataFrame:
+    """Scores of several models under one another, staged."""
+    out = None
+    for name, df in scored.items():
+        part = df.select(
+            F.lit(name).alias("model"), "order_id", LATE_LABEL, "customer_state", "sin_historial_vendedor", "score"
+        )
+        out = part if out is None else out.unionByName(part)
+    return stage(out, label)
 
 
-def _slim(scored: DataFrame) -> DataFrame:
-    return stage(scored.select("order_id", LATE_LABEL, "customer_state", "sin_historial_vendedor", "score"), "scores")
+def _by_model(df: DataFrame) -> dict[str, dict]:
+    """Metric records by model; one row per model comes to the driver."""
+    return {r["model"]: {m: r[m] for m in METRICS} for r in df.collect()}
 
 
 def train_models(features: DataFrame, max_iter: int | None = None, regions: DataFrame | None = None) -> TrainingRun:
-    """The whole training job; ``report`` is the metrics document."""
+    """The whole training job; ``report`` is the metrics document.
+
+    All models of a step are evaluated together, from one curve grouped by model.
+    """
     ensure_checkpoint_dir(features.sparkSession)
     parts = split_parts(features)
     weights = class_weights(parts["train"]).first()
     pre = Preprocessor.fit(parts["train"])
     ready = {name: prepare(pre, part, weights) for name, part in parts.items()}
 
-    results, curves, tests = {}, {}, {}
-
-    def evaluate(name: str, val: DataFrame, test: DataFrame, val_curve: DataFrame | None = None) -> None:
-        val_curve = val_curve if val_curve is not None else threshold_curve(val)
-        umbral = best_f1_threshold(val_curve).first()[0]
-        results[name] = {
-            "val": _record(metrics_at(val_curve, umbral)),
-            "test": _record(metrics_at(threshold_curve(test), umbral)),
-        }
-        curves[name], tests[name] = val_curve, test
-
-    for name, baseline in ((MAJORITY, MajorityBaseline.fit(parts["train"])), (RULE, RuleBaseline.fit(parts["train"]))):
-        evaluate(name, _slim(baseline.score(parts["val"])), _slim(baseline.score(parts["test"])))
-
-    search, fitted = {}, {}
-    for family, grid in candidates(weights["n"], max_iter).items():
-        tried = []
-        for label, estimator in grid:
-            model = estimator.fit(ready["train"])
-            val = _slim(positive_probability(model, ready["val"]))
-            curve = threshold_curve(val)
-            tried.append((curve.agg(average_precision()).first()[0], label, model, val, curve))
-        best = max(tried, key=lambda t: t[0])  # the first of equals
-        _, label, model, val, curve = best
-        search[family] = {"elegido": label, "pr_auc_val": {t[1]: round(t[0], 4) for t in tried}}
-        evaluate(family, val, _slim(positive_probability(model, ready["test"])), curve)
-        results[family]["config"] = label
-        fitted[family] = model
-
-    chosen = max(fitted, key=lambda f: results[f]["val"]["pr_auc"])
-    model, test = fitted[chosen], tests[chosen]
-    umbral = results[chosen]["val"]["umbral"]
-    wide_umbral = recall_threshold(curves[chosen], RECALL_TARGET).first()[0]
-    wide = _record(metrics_at(threshold_curve(test), wide_umbral))
-    ranked = importances(model, pre.names)
-    decided = test.withColumn("pred", (F.col("score") >= umbral).cast("int"))
+    baselines = {MAJORITY: MajorityBaseline.fit(parts["train"]), RULE: RuleBaseline.fit(parts["train"])}
+    grid = candidates(weights["n"], max_iter)
+    fitted = {label: estimator.fit(ready["train"]) for family in grid.values() for label, estimator in family}
+
+    # Validation: candidates, thresholds, selection.
+    by = ["model"]
+    val = _stack(
+        {**{n: b.score(parts["val"]) for n, b in baselines.items()},
+         **{n: positive_probability(m, ready["val"]) for n, m in fitted.items()}},
+        "val_scores",
+    )
+    val_curve = threshold_curve(val, by=by)
+    thresholds = stage(best_f1_threshold(val_curve, by), "thresholds")
+    on_val = _by_model(metrics_at(val_curve, thresholds, by))
+
+    search, config = {}, {}
+    for family, members in grid.items():
+        tried = {label: on_val[label]["pr_auc"] for label, _ in members}
+        config[family] = max(tried, key=tried.get)  # the first of equals
+        search[family] = {"elegido": config[family], "pr_auc_val": {k: round(v, 4) for k, v in tried.items()}}
+    chosen = max(config, key=lambda family: on_val[config[family]]["pr_auc"])
+    best = config[chosen]
+    best_curve = val_curve.where(F.col("model") == best)
+    umbral, wide_umbral = on_val[best]["umbral"], recall_threshold(best_curve, RECALL_TARGET).first()[0]
+
+    # Test: looked at once, with everything decided.
+    test = _stack(
+        {**{n: b.score(parts["test"]) for n, b in baselines.items()},
+         **{n: positive_probability(fitted[n], ready["test"]) for n in config.values()}},
+        "test_scores",
+    )
+    test_curve = threshold_curve(test, by=by)
+    on_test = _by_model(metrics_at(test_curve, thresholds, by))
+    wide = _by_model(metrics_at(test_curve.where(F.col("model") == best), wide_umbral, by))[best]
+
+    results = {n: {"val": on_val[n], "test": on_test[n]} for n in baselines}
+    for family, label in config.items():
+        results[family] = {"config": label, "val": on_val[label], "test": on_test[label]}
+
+    test_best = test.where(F.col("model") == best)
+    decided = test_best.withColumn("pred", (F.col("score") >= umbral).cast("int"))
+    ranked = importances(fitted[best], pre.names)
     sizes = features.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(LATE_LABEL).alias("late")).collect()
     by_region = errors_by_region(decided, regions).orderBy(F.desc("tasa_tarde_real"), "region")
+    by_history = cold_start_metrics(test_best, umbral).orderBy(F.desc("segmento"))
 
     report = {
         "generado": datetime.now().strftime("%Y-%m-%d %H:%M"),
@@ -202,14 +219,14 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
         "tamanos_split": {r["split"]: r["n"] for r in sizes},
         "busqueda_hiperparametros": search,
         "mejor_modelo": chosen,
-        "config_mejor": results[chosen]["config"],
+        "config_mejor": best,
         "umbral_f1": umbral,
         "operativo_alta_cobertura": wide,
         "peso_tasa_vendedor": importance_share(ranked),
-        "alerta_fuga": too_good(results[chosen]["test"]),
+        "alerta_fuga": too_good(on_test[best]),
         "metricas": results,
         "importancias_top": dict(ranked[:20]),
         "analisis_region": [r.asDict() for r in by_region.collect()],
-        "analisis_cold_start": [r.asDict() for r in cold_start_metrics(test, umbral).orderBy(F.desc("segmento")).collect()],
+        "analisis_cold_start": [r.asDict() for r in by_history.collect()],
     }
-    return TrainingRun(pre, model, report, test)
+    return TrainingRun(pre, fitted[best], report, test_best)

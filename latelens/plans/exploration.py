@@ -306,7 +306,8 @@ def history_sensitivity(
         "history_long",
     )
     thirds = exact_quantiles(long, "rate", [1 / 3, 2 / 3], ["history"], ["low", "high"]).drop("n")
-    rated = long.join(F.broadcast(thirds), "history")  # one row per history window
+    # One row of thirds per history window; a window nobody fills has none.
+    rated = long.join(F.broadcast(thirds), "history", "left")
     t = F.col("t").cast("double")
     return rated.groupBy("history").agg(
         F.count("rate").alias("__n"),
