@@ -4,6 +4,9 @@ A window partition lives in one task.  Here a key (a seller, a single global gro
 may hold any share of the rows, so ordered work is cut into *ranges*: the rows are
 range-partitioned by (keys, order), each range is scanned on its own, and what came
 before a range is added from a table with at most one row per range.
+
+An input counted at no more than ``ONE_TASK_ROWS`` rows fits one task whatever its keys
+look like; it gets a plain window instead.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from latelens.operators.staging import stage
 
+ONE_TASK_ROWS = 1_000_000
 ROWS_PER_RANGE = 4_000_000
-HOT_KEY_ROWS = 1_000_000
 _RANGE = "__range"
 
 
@@ -49,13 +52,19 @@ def running_totals(
     """Add, per measure, its total over all *earlier* rows of the same key.
 
     ``order`` must be a total order within a key (end it with an id).  ``keys`` may be
-    empty for a global running total.  The input is read twice, so hand in a scan or a
-    staged frame.
+    empty for a global running total.  The input is counted first, so hand in a scan or
+    a staged frame.
     """
     order = _as_columns(order)
-    if ranges is None:
-        ranges = range_count(df, df.count())
     values = {name: (F.col(m) if isinstance(m, str) else m) for name, m in measures.items()}
+    if ranges is None:
+        rows = df.count()
+        if rows <= ONE_TASK_ROWS:
+            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            return df.select(
+                "*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(name) for name, v in values.items()]
+            )
+        ranges = range_count(df, rows)
     ranged = cut_into_ranges(df, [*keys, *order], ranges)
 
     earlier = (
@@ -66,9 +75,6 @@ def running_totals(
     scanned = ranged.select(
         "*", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(name) for name, v in values.items()]
     )
-    if ranges == 1:
-        return scanned.drop(_RANGE)
-
     # What earlier ranges of the same key add up to.  A range has at most one key that
     # began before it, so this table never has more rows than there are ranges.
     per_range = ranged.groupBy(_RANGE, *keys).agg(*[F.sum(v).alias(name) for name, v in values.items()])
@@ -97,6 +103,9 @@ def rows_at_positions(df: DataFrame, order: list, positions: list[int], rows: in
     Only the ranges that hold a wanted position are sorted.
     """
     order = _as_columns(order)
+    if rows <= ONE_TASK_ROWS:
+        place = (F.row_number().over(Window.partitionBy().orderBy(*order)) - 1).cast("bigint")
+        return df.withColumn("position", place).where(F.col("position").isin(positions))
     ranged = cut_into_ranges(df, order, range_count(df, rows))
     # One count per range comes to the driver, nothing that grows with the rows.
     counts = ranged.groupBy(_RANGE).count().orderBy(_RANGE).collect()
@@ -155,7 +164,7 @@ def number_rows(
     order: list,
     number: str,
     first_value: dict[str, str] | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1 and repeat chosen values of row 1 on all rows.
 
@@ -163,6 +172,7 @@ def number_rows(
     instead of in one task.  The check reads one column, and is skipped when the whole
     input is no larger than one allowed key.
     """
+    hot_rows = ONE_TASK_ROWS if hot_rows is None else hot_rows
     first_value = first_value or {}
     order = _as_columns(order)
 

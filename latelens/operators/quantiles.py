@@ -2,7 +2,8 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in one task.  Here a
 bounded sketch first brackets each wanted rank, and a second pass keeps exact counts
-only for values inside a bracket; everything between brackets is a plain count.
+only for values inside a bracket; everything between brackets is a plain count.  Inputs
+counted at no more than ``ONE_TASK_ROWS`` rows need no brackets.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import bin_by_inner_edges, clip
-from latelens.operators.ordered import running_totals
+from latelens.operators import ordered
 from latelens.operators.staging import stage
 
 SKETCH_ACCURACY = 10_000
-SLICE_ROWS = 2_000_000
 
 
 def exact_quantiles(
@@ -25,16 +25,52 @@ def exact_quantiles(
     by: list[str] | None = None,
     names: list[str] | None = None,
     accuracy: int = SKETCH_ACCURACY,
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group; NULL values and NULL groups drop out.
 
-    The input is read twice: hand in a scan or a staged frame.
+    The input is read more than once: hand in a scan or a staged frame.
     """
     by = by or []
     names = names or [f"q{i}" for i in range(len(probabilities))]
     base = df.select(*by, F.col(value).cast("double").alias("__v")).dropna()
+    if df.count() <= ordered.ONE_TASK_ROWS:
+        tally = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+        order = ["__v"]
+    else:
+        tally = _bracketed_tally(base, probabilities, by, accuracy)
+        order = ["__begun", F.col("__v").asc_nulls_last()]
+
+    if "__begun" in tally.columns and tally.count() > ordered.ONE_TASK_ROWS:
+        before = ordered.running_totals(tally, by, order, {"__before": "__c"})
+        sizes = tally.groupBy(*by).agg(F.sum("__c").alias("__n"))
+        counted = before.join(sizes, by) if by else before.crossJoin(F.broadcast(sizes))  # one row
+    else:
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        counted = tally.select(
+            "*",
+            F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__c").over(group).alias("__n"),
+        )
+
+    picks, out = [], []
+    for i, (p, name) in enumerate(zip(probabilities, names)):
+        place = (F.col("__n") - 1) * F.lit(float(p))
+        for side, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
+            holds = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
+            # A rank outside every bracket would make the result NULL: say so instead.
+            found = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(
+                F.raise_error(F.lit("quantile bracket missed its rank"))
+            )
+            picks.append(F.max(F.when(holds, found)).alias(f"__{side}{i}"))
+        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        out.append((a + (b - a) * (place - F.floor(place))).alias(name))
+    edges = counted.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
+    return edges.select(*by, F.col("__n").alias("n"), *out)
+
 
+def _bracketed_tally(base: DataFrame, probabilities: list[float], by: list[str], accuracy: int) -> DataFrame:
+    """Counts per (brackets begun, value if bracketed), in value order, staged."""
     # Pass 1: a sketch per group.  A rank found by the sketch is off by at most
     # n/accuracy, so 3/accuracy on both sides is a safe bracket; small groups are
     # bracketed by their extremes.
@@ -52,49 +88,20 @@ def exact_quantiles(
         low = F.col("__min") if p <= margin else F.when(small, F.col("__min")).otherwise(F.col("__p")[2 * i])
         high = F.col("__max") if p >= 1 - margin else F.when(small, F.col("__max")).otherwise(F.col("__p")[2 * i + 1])
         bounds += [low.alias(f"__lo{i}"), high.alias(f"__hi{i}")]
-    brackets = stage(sketch.select(*by, "__n", *bounds), "brackets")
+    brackets = stage(sketch.select(*by, *bounds), "brackets")
 
-    # Pass 2: count per (how many brackets begin at or below the value, value if bracketed).
-    lows = sorted(range(len(probabilities)), key=lambda i: probabilities[i])
-    joined = base.join(brackets, by) if by else base.crossJoin(F.broadcast(brackets))
+    # Pass 2: between brackets only a count survives.
+    joined = base.join(brackets, by) if by else base.crossJoin(F.broadcast(brackets))  # one row
     inside, begun = F.lit(False), F.lit(0)
-    for i in lows:
+    for i in range(len(probabilities)):
         inside = inside | F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
         begun = begun + (F.col("__v") >= F.col(f"__lo{i}")).cast("int")
-    tally = stage(
+    return stage(
         joined.groupBy(*by, begun.alias("__begun"), F.when(inside, F.col("__v")).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c")),
         "tally",
     )
 
-    order = [F.col("__begun"), F.col("__v").asc_nulls_last()]
-    if tally.count() <= slice_rows:
-        earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        counted = tally.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
-    else:
-        counted = running_totals(tally, by, order, {"__before": "__c"})
-    sized = counted.join(brackets.select(*by, "__n"), by) if by else counted.crossJoin(
-        F.broadcast(brackets.select("__n"))
-    )
-
-    picks = []
-    for i, p in enumerate(probabilities):
-        place = (F.col("__n") - 1) * F.lit(float(p))
-        for side, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
-            holds = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
-            # A rank outside every bracket would make the result NULL: say so instead.
-            found = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(
-                F.raise_error(F.lit("quantile bracket missed its rank"))
-            )
-            picks.append(F.max(F.when(holds, found)).alias(f"__{side}{i}"))
-    edges = sized.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
-    out = []
-    for i, (p, name) in enumerate(zip(probabilities, names)):
-        place = (F.col("__n") - 1) * F.lit(float(p))
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        out.append((a + (b - a) * (place - F.floor(place))).alias(name))
-    return edges.select(*by, F.col("__n").alias("n"), *out)
-
 
 def median_by(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:
     """Exact median per group (or one row)."""

@@ -202,7 +202,7 @@ STEPS["history"] = f"""
         FROM (SELECT seller_id, purchase_ts, order_id, CAST(late AS INT) AS t FROM single)
         WINDOW w AS (PARTITION BY seller_id ORDER BY purchase_ts, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 STEPS["freight_orders"] = """
-  SELECT order_id, late, freight / gmv AS freight_ratio FROM labelled JOIN values_by_order USING (order_id) WHERE gmv > 0"""
+  SELECT order_id, late, ROUND(freight / gmv, 9) AS freight_ratio FROM labelled JOIN values_by_order USING (order_id) WHERE gmv > 0"""
 STEPS["product_orders"] = """
   SELECT l.order_id, l.late, f.product_category, f.product_weight_g, f.volume_cm3
   FROM labelled l JOIN first_rows f USING (order_id)"""
@@ -314,7 +314,7 @@ def _bins(source, value, bins, columns, ordinal="bin", shift=0):
 
 
 def _quantile_bins(source, value):
-    return _bins(source, value, 5, f"{count()} AS n, {LATE_PCT}, {r(f'median({value})', 'median_value')}")
+    return _bins(source, value, 5, f"{count()} AS n, {LATE_PCT}, {r(f'median({value})', 'median_value', 9)}")
 
 
 def _histogram(source, value, bins, low, high, groups=None):
@@ -547,10 +547,10 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["distance_table"] = f"SELECT order_id, seller_id, {rr('c_lat', 'c_lng', 's_lat', 's_lng', 'dist_km')}, same_state FROM distances"
     q["distance_coverage"] = f"""
       SELECT {count('dist_km')} AS placed, {big('COUNT(*) FILTER (c_lat IS NULL OR s_lat IS NULL)')} AS unplaced,
-             {r('quantile_cont(dist_km, 0.5)', 'median_km')}, {r('quantile_cont(dist_km, 0.9)', 'p90_km')} FROM distances"""
+             {r('quantile_cont(dist_km, 0.5)', 'median_km', 9)}, {r('quantile_cont(dist_km, 0.9)', 'p90_km', 9)} FROM distances"""
     q["distance_quintiles"] = _quantile_bins("distances", "dist_km")
     q["same_state_rate"] = f"SELECT same_state, {count()} AS n, {LATE_PCT} FROM distances WHERE dist_km IS NOT NULL GROUP BY 1"
-    q["feature_matrix"] = f"SELECT order_id, {rr(*MATRIX_COLUMNS)} FROM matrix"
+    q["feature_matrix"] = f"SELECT order_id, {rr(*MATRIX_COLUMNS, digits=9)} FROM matrix"
     names = ["promised_days", "dist_km", "freight_ratio", "product_weight_g", "seller_late_rate"]
     complete = " AND ".join(f"{c} IS NOT NULL" for c in names)
     q["feature_coverage"] = " UNION ALL ".join(

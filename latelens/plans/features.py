@@ -24,7 +24,7 @@ from latelens.functions.expressions import (
 )
 from latelens.operators.keyed import first_non_null, first_per_key, hash_sample
 from latelens.operators.ordered import rows_at_positions, running_totals
-from latelens.operators.quantiles import median_by
+from latelens.operators.quantiles import exact_quantiles
 from latelens.operators.staging import stage
 from latelens.schemas import (
     CLASS_LATE,
@@ -234,23 +234,33 @@ def impute_business(orders: DataFrame, fit_on: str = "all") -> DataFrame:
     preprocessing pipeline fills them from the training part.
     """
     sizes = ["peso_total_g", "volumen_total_cm3"]
-    gaps = orders.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*sizes, "ratio_flete"]]).first()
+    counted = orders.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in [*sizes, "ratio_flete"]]).first()
+    gaps = [c for c in [*sizes, "ratio_flete"] if counted[c]]
+    if not gaps:
+        return orders  # nothing to fill: no medians to compute
     fit = orders if fit_on == "all" else orders.where("split = 'train'")
-    for c in [*sizes, "ratio_flete"]:
-        if not gaps[c]:
-            continue  # nothing to fill: no medians to compute
-        filled = F.col(c)
-        if c in sizes:
-            by_category = stage(median_by(fit, c, ["categoria_principal"], "__cat"), "category_medians")
-            orders = orders.join(by_category, "categoria_principal", "left")
-            filled = F.coalesce(filled, F.col("__cat"))
-        overall = median_by(fit, c, name="__all")
-        orders = (
-            orders.crossJoin(F.broadcast(overall))  # one row
-            .withColumn(c, F.coalesce(filled, F.col("__all")))
-            .drop("__cat", "__all")
-        )
-    return orders
+
+    # All medians at once: each column over all rows, sizes also per category.
+    scopes = [(c, F.lit("all")) for c in gaps] + [
+        (c, F.concat(F.lit("of "), F.col("categoria_principal"))) for c in gaps if c in sizes
+    ]
+    long = stage(
+        fit.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), scope.alias("scope"), F.col(c).alias("value")) for c, scope in scopes
+        ]))),
+        "gap_columns",
+    )
+    medians = stage(exact_quantiles(long, "value", [0.5], ["column_name", "scope"], ["median"]), "medians")
+
+    def pick(c):
+        return F.max(F.when(F.col("column_name") == c, F.col("median")))
+
+    overall = medians.where("scope = 'all'").agg(*[pick(c).alias(f"__all_{c}") for c in gaps])
+    per_category = medians.where("scope <> 'all'").groupBy("scope").agg(*[pick(c).alias(f"__of_{c}") for c in gaps])
+    in_scope = F.concat(F.lit("of "), F.col("categoria_principal")) == F.col("scope")
+    wide = orders.join(per_category, in_scope, "left").crossJoin(F.broadcast(overall))  # one row
+    filled = wide.withColumns({c: F.coalesce(c, f"__of_{c}", f"__all_{c}") for c in gaps})
+    return filled.drop("scope", *[f"__of_{c}" for c in gaps], *[f"__all_{c}" for c in gaps])
 
 
 @dataclass

@@ -278,12 +278,12 @@ def history_window_sensitivity(ws):
 
 @query
 def freight_quintiles(ws):
-    return rounded(ex.late_by_quantile(ws.freight, "freight_ratio"))
+    return rounded(ex.late_by_quantile(ws.freight, "freight_ratio"), median_value=9)
 
 
 @query
 def weight_quintiles(ws):
-    return rounded(ex.late_by_quantile(ws.products, "product_weight_g"))
+    return rounded(ex.late_by_quantile(ws.products, "product_weight_g"), median_value=9)
 
 
 @query
@@ -334,12 +334,12 @@ def distance_table(ws):
 
 @query
 def distance_coverage(ws):
-    return rounded(ex.distance_coverage(ws.distances))
+    return rounded(ex.distance_coverage(ws.distances), 9)
 
 
 @query
 def distance_quintiles(ws):
-    return rounded(ex.late_by_quantile(ws.distances, "dist_km"))
+    return rounded(ex.late_by_quantile(ws.distances, "dist_km"), median_value=9)
 
 
 @query
@@ -349,7 +349,7 @@ def same_state_rate(ws):
 
 @query
 def feature_matrix(ws):
-    return rounded(ws.matrix)
+    return rounded(ws.matrix, 9)
 
 
 @query

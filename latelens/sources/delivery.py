@@ -24,7 +24,7 @@ def _in_days(ts, days):
 
 
 def item_view(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order item.  No join is hinted: table sizes decide."""
+    """One row per order item."""
     line = star(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), "l_linenumber", F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"), "l_shipdate", "l_quantity", "l_extendedprice",
@@ -39,16 +39,19 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
         first_value={"first_seller": "seller_id"},
     ).select("order_id", "order_item_id", "product_id", "seller_id", "first_seller", "l_extendedprice", "l_tax")
 
+    # Every dimension is joined as the table it is, so that its own size decides between
+    # broadcast and shuffle; joins of joins would only have a guessed size.
     nation = star(spark, folder, "nation")
-    buyers = star(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("customer_id"), "c_nationkey",
-        F.col("n_name").alias("customer_state"), F.col("n_regionkey").alias("c_region"),
+    supplier = star(spark, folder, "supplier")
+    sellers = supplier.select(F.col("s_suppkey").alias("seller_id"), "s_nationkey")
+    first_sellers = supplier.select(F.col("s_suppkey").alias("first_seller"), F.col("s_nationkey").alias("first_nation"))
+    seller_nation = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller_state"))
+    first_nation = nation.select(F.col("n_nationkey").alias("first_nation"), F.col("n_regionkey").alias("first_region"))
+    buyers = star(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
+    buyer_nation = nation.select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_state"),
+        F.col("n_regionkey").alias("c_region"),
     )
-    sellers = star(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("seller_id"), "s_nationkey",
-        F.col("n_name").alias("seller_state"), F.col("n_regionkey").alias("s_region"),
-    )
-    first_sellers = sellers.select(F.col("seller_id").alias("first_seller"), F.col("s_region").alias("first_region"))
     parts = star(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), "p_type", "p_size")
 
     oid = F.col("order_id")
@@ -56,6 +59,7 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
         star(spark, folder, "orders")
         .select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_orderdate")
         .join(buyers, "customer_id")
+        .join(buyer_nation, "c_nationkey")
         .withColumn("order_status", F.when(oid % 33 == 0, "canceled").otherwise("delivered"))
         .withColumn(
             "purchase_ts",
@@ -73,9 +77,12 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
     seller_unplaced = F.col("seller_id") % 23 == 5
 
     return (
-        numbered.join(orders, "order_id")
+        # The items are already partitioned and sorted by order: only the orders move.
+        numbered.join(orders.hint("merge"), "order_id")
         .join(first_sellers, "first_seller")
+        .join(first_nation, "first_nation")
         .join(sellers, "seller_id")
+        .join(seller_nation, "s_nationkey")
         .join(parts, "product_id")
         .select(
             "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "order_status", "purchase_ts",
