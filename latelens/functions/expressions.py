@@ -89,8 +89,9 @@ def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     half_dphi = F.radians(col(lat2) - col(lat1)) / 2
     half_dlng = F.radians(col(lng2) - col(lng1)) / 2
     h = F.pow(F.sin(half_dphi), 2) + F.cos(phi1) * F.cos(phi2) * F.pow(F.sin(half_dlng), 2)
-    # Rounding noise may push h a hair above 1 for antipodal points.
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # Rounding noise may push h a hair above 1 for antipodal points.  (``least`` would
+    # skip a NULL and turn a missing coordinate into the longest distance there is.)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 # -- bins -------------------------------------------------------------------

@@ -41,3 +41,9 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{staging_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete everything this session staged, once its frames are no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

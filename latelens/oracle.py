@@ -10,10 +10,12 @@ import re
 from latelens.plans.exploration import GAP_EDGES, MATRIX_COLUMNS
 from latelens.schemas import CATEGORICAL_FEATURES, CLASS_ORDER, NUMERIC_FEATURES
 
-HAVERSINE = (
-    "12742e0 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2)"
-    " + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
+_CHORD = (
+    "(pow(sin(radians({b} - {a}) / 2), 2)"
+    " + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))"
 )
+# Not least(): it skips NULL.
+HAVERSINE = f"12742e0 * asin(sqrt(CASE WHEN {_CHORD} > 1 THEN 1e0 ELSE {_CHORD} END))"
 
 
 def haversine(lat1, lng1, lat2, lng2):

@@ -34,7 +34,9 @@ def label_distribution(features: DataFrame) -> DataFrame:
     listed = [("entrega_tarde", 0, "on_time"), ("entrega_tarde", 1, "late")] + [
         ("clase_entrega", i, c) for i, c in enumerate(CLASS_ORDER)
     ]
-    classes = features.sparkSession.createDataFrame(listed, "label string, position int, class string")
+    classes = features.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit(i).alias("position"), F.lit(c).alias("class")) for label, i, c in listed
+    ])))
     both = binary.withColumn("label", F.lit("entrega_tarde")).unionByName(multi.withColumn("label", F.lit("clase_entrega")))
     return classes.join(both, ["label", "class"], "left").crossJoin(F.broadcast(total)).select(
         "label", "position", "class", F.coalesce("c", F.lit(0)).alias("n"),

@@ -2,14 +2,14 @@
 
 Order of work: keep labelable deliveries, roll items up to orders, label, derive the
 features known at purchase time, split by time, learn the late rate of the training
-part, add the seller history, fill gaps.
+part, fill gaps, add the seller history.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import (
@@ -288,13 +288,18 @@ def build_feature_table(
     impute_fit: str = "all",
     min_orders: int = MIN_SELLER_ORDERS,
 ) -> FeatureBuild:
-    """The whole feature build.  Orders are staged once after the rollup."""
+    """The whole feature build.
+
+    Orders are staged once after the rollup.  Splitting and gap filling only look at an
+    order's own row and a few constants, so they run in the same pass that feeds the
+    seller history, the one step that has to bring orders together again.
+    """
     orders = stage(labelled_orders(items, principal, empty_sum), "orders")
     split = temporal_split(orders)
     rate = stage(train_late_rate(split), "train_rate")
-    rated = add_seller_rate(split, rate, min_orders, history)
-    full = impute_business(stage(rated, "rated"), impute_fit)
-    full = full.withColumns({"n_items": F.col("n_items").cast("int")})
+    filled = impute_business(split, impute_fit)
+    rated = add_seller_rate(filled, rate, min_orders, history)
+    full = rated.withColumns({"n_items": F.col("n_items").cast("int")})
     return FeatureBuild(stage(full, "features"), rate)
 
 
