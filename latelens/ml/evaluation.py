@@ -57,7 +57,7 @@ def precision_recall_curve(curve: DataFrame, by: list[str] | None = None, endpoi
     by = by or []
     out = curve.select(*by, "threshold", _precision().alias("precision"), _recall().alias("recall"))
     if endpoint:
-        groups = curve.select(*by).distinct() if by else curve.select(F.lit(1)).limit(1)
+        groups = curve.select(*by).distinct() if by else curve.sparkSession.range(1)
         out = out.unionByName(groups.select(
             *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
         ))
@@ -73,7 +73,7 @@ def roc_curve(curve: DataFrame, by: list[str] | None = None, endpoint: bool = Tr
         ratio("hits", "positives").alias("tpr"),
     )
     if endpoint:
-        groups = curve.select(*by).distinct() if by else curve.select(F.lit(1)).limit(1)
+        groups = curve.select(*by).distinct() if by else curve.sparkSession.range(1)
         out = out.unionByName(groups.select(
             *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
         ))

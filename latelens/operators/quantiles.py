@@ -146,13 +146,19 @@ def histogram(
         F.when(F.col("__lo") == F.col("__hi"), F.col("__hi") + 0.5).otherwise(F.col("__hi")).alias("__hi"),
     )
     keys = [by] if by else []
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    # The quotient may be off by a rounding error next to an edge: the edges decide.
+    guess = F.least(F.floor((F.col("__x") - F.col("__lo")) / width).cast("int"), F.lit(bins - 1))
+    lower, upper = F.col("__lo") + F.col("__g") * width, F.col("__lo") + (F.col("__g") + 1) * width
+    settled = (
+        F.when(F.col("__x") < lower, F.col("__g") - 1)
+        .when((F.col("__x") >= upper) & (F.col("__g") < bins - 1), F.col("__g") + 1)
+        .otherwise(F.col("__g"))
+    )
     counts = (
         base.crossJoin(F.broadcast(span))  # one row
-        .withColumn(
-            "bin",
-            F.least(F.width_bucket("__x", "__lo", "__hi", F.lit(bins)), F.lit(bins)).cast("int"),
-        )
-        .groupBy(*keys, "bin")
+        .withColumn("__g", guess)
+        .groupBy(*keys, (settled + 1).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
@@ -160,7 +166,6 @@ def histogram(
         counts = stage(counts, "histogram")  # at most classes x bins rows
         totals = counts.groupBy(by).agg(F.sum("n").alias("__total"))
         grid = totals.crossJoin(grid)
-    width = (F.col("__hi") - F.col("__lo")) / bins
     filled = grid.join(counts, [*keys, "bin"], "left").crossJoin(F.broadcast(span))
     out = filled.select(
         *keys,

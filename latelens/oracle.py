@@ -329,7 +329,7 @@ def _histogram(source, value, bins, low, high, groups=None):
     return f"""
   SELECT {prefix}CAST(g.bin AS INT) AS bin, {r(f'lo + (g.bin - 1) * ((hi - lo) / {bins})', 'left_edge')}, {big('COALESCE(h.n, 0)')} AS n{density}
   FROM (SELECT unnest(range(1, {bins + 1})) AS bin) g CROSS JOIN {grid} t CROSS JOIN span
-  LEFT JOIN (SELECT {keys}least(CAST(floor((x - lo) / (hi - lo) * {bins}) AS INT) + 1, {bins}) AS bin, COUNT(*) AS n
+  LEFT JOIN (SELECT {keys}len(list_filter(range(1, {bins}), lambda i: lo + i * ((hi - lo) / {bins}) <= x)) + 1 AS bin, COUNT(*) AS n
              FROM x0, span GROUP BY ALL) h ON {match}""", {
         "x0": f"SELECT {keys}{x} AS x FROM {source} WHERE {value} IS NOT NULL",
         "span": "SELECT MIN(x) AS lo, MAX(x) AS hi FROM x0",
