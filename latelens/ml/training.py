@@ -98,11 +98,11 @@ def positive_probability(model, prepared: DataFrame) -> DataFrame:
     return model.transform(prepared).withColumn("score", vector_to_array("probability")[1])
 
 
-def prepare(pre: Preprocessor, part: DataFrame, weights) -> DataFrame:
+def prepare(pre: Preprocessor, features: DataFrame, weights) -> DataFrame:
     """Feature vectors, weights and the columns reports need, staged once for all fits."""
     late = F.col(LATE_LABEL) == 1
-    vectors = pre.transform(part).select(
-        "order_id", LATE_LABEL, "features", "customer_state", "sin_historial_vendedor",
+    vectors = pre.transform(features).select(
+        "order_id", "split", LATE_LABEL, "features", "customer_state", "sin_historial_vendedor",
         F.when(late, F.lit(weights["balanced_pos"])).otherwise(F.lit(weights["balanced_neg"])).alias("balanced_weight"),
         F.when(late, F.lit(weights["pos_weight"])).otherwise(F.lit(1.0)).alias("pos_weight"),
     )
@@ -164,7 +164,8 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
     parts = split_parts(features)
     weights = class_weights(parts["train"]).first()
     pre = Preprocessor.fit(parts["train"])
-    ready = {name: prepare(pre, part, weights) for name, part in parts.items()}
+    vectors = prepare(pre, features, weights)
+    ready = {name: vectors.where(F.col("split") == name) for name in parts}
 
     baselines = {MAJORITY: MajorityBaseline.fit(parts["train"]), RULE: RuleBaseline.fit(parts["train"])}
     grid = candidates(weights["n"], max_iter)

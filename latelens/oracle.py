@@ -319,7 +319,7 @@ def _quantile_bins(source, value):
     return _bins(source, value, 5, f"{count()} AS n, {LATE_PCT}, {r(f'median({value})', 'median_value', 9)}")
 
 
-def _histogram(source, value, bins, low, high, groups=None):
+def _histogram(source, value, bins, low, high, groups=None, digits=6):
     x = f"CAST(least({high}, greatest({low}, {value})) AS DOUBLE)" if low is not None else value
     keys = f"{groups}, " if groups else ""
     grid = f"(SELECT {keys}COUNT(*) AS c FROM x0 GROUP BY {groups})" if groups else "(SELECT COUNT(*) AS c FROM x0)"
@@ -327,7 +327,7 @@ def _histogram(source, value, bins, low, high, groups=None):
     density = f", {r(f'COALESCE(h.n, 0) / CAST(t.c AS DOUBLE) / ((hi - lo) / {bins})', 'density')}" if groups else ""
     prefix = f"t.{groups}, " if groups else ""
     return f"""
-  SELECT {prefix}CAST(g.bin AS INT) AS bin, {r(f'lo + (g.bin - 1) * ((hi - lo) / {bins})', 'left_edge')}, {big('COALESCE(h.n, 0)')} AS n{density}
+  SELECT {prefix}CAST(g.bin AS INT) AS bin, {r(f'lo + (g.bin - 1) * ((hi - lo) / {bins})', 'left_edge', digits)}, {big('COALESCE(h.n, 0)')} AS n{density}
   FROM (SELECT unnest(range(1, {bins + 1})) AS bin) g CROSS JOIN {grid} t CROSS JOIN span
   LEFT JOIN (SELECT {keys}len(list_filter(range(1, {bins}), lambda i: lo + i * ((hi - lo) / {bins}) <= x)) + 1 AS bin, COUNT(*) AS n
              FROM x0, span GROUP BY ALL) h ON {match}""", {
@@ -400,7 +400,7 @@ def _rates(prior):
     return f"""
   SELECT order_id, {big('prior_orders')} AS prior_orders, {big('prior_late')} AS prior_late,
          CAST(CASE WHEN prior_orders >= 5 THEN 0 ELSE 1 END AS INT) AS sin_historial_vendedor,
-         {r('CASE WHEN prior_orders >= 5 THEN prior_late / CAST(prior_orders AS DOUBLE) ELSE g END', 'tasa_vendedor')}
+         {r('CASE WHEN prior_orders >= 5 THEN prior_late / CAST(prior_orders AS DOUBLE) ELSE g END', 'tasa_vendedor', 9)}
   FROM ({prior}), train_rate"""
 
 
@@ -451,10 +451,10 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
                                   WHERE categoria_principal IS NOT NULL GROUP BY 1) USING (categoria_principal)"""
     feature_days = ["dias_vs_promesa", "dias_entrega_real", "dias_prometidos"]
     feature_numbers = ["dist_haversine_km", "ratio_flete", "precio_total",
-                       "flete_total", "peso_total_g", "volumen_total_cm3", "tasa_vendedor"]
+                       "flete_total", "peso_total_g", "volumen_total_cm3"]
     q["feature_table"] = f"""
       SELECT order_id, {t}, split, entrega_tarde, clase_entrega, n_items, mes_compra, dia_semana_compra, customer_state,
-             seller_state, categoria_principal, mismo_estado, sin_historial_vendedor, {rr(*feature_days, digits=8)}, {rr(*feature_numbers)} FROM features"""
+             seller_state, categoria_principal, mismo_estado, sin_historial_vendedor, {rr(*feature_days, digits=8)}, {rr(*feature_numbers)}, {r('tasa_vendedor', digits=9)} FROM features"""
     q["first_item"] = "SELECT order_id, seller_id, product_id FROM first_rows"
     q["hash_sample"] = """
       SELECT order_id, entrega_tarde FROM direct ORDER BY md5(concat_ws(':', CAST(order_id AS VARCHAR), '42')), order_id LIMIT 500"""
@@ -597,6 +597,14 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["split_spans"] = f"SELECT split, {count()} AS n, {r(LATE_RATE, 'late_rate')}, MIN({t}) AS first_purchase, MAX({t}) AS last_purchase FROM features GROUP BY 1"
     q["histogram_gap"] = _histogram("labelled", "gap_days", 80, -40, 40)
     q["histogram_distance"] = _histogram("distances", "dist_km", 50, 0, 2500)
+    q["histogram_cushion"] = _histogram("labelled", "cushion", 70, -20, 40)
+    q["histogram_seller_rate"] = _histogram("seller_rate_table", "late_rate", 40, None, None)
+    q["histogram_promise_gap"] = _histogram("features", "dias_vs_promesa", 60, -40, 40)
+    q["histogram_delivery_days"] = _histogram("features", "dias_entrega_real", 60, 0, 60)
+    q["histogram_promised_days"] = _histogram("features", "dias_prometidos", 50, 0, 60)
+    ratios = {"ratios": "SELECT ROUND(ratio_flete, 9) AS ratio_flete FROM features"}
+    text, steps = _histogram("ratios", "ratio_flete", 50, 0, 1.5, digits=9)
+    q["histogram_freight_ratio"] = (text, {**ratios, **steps})
     q["class_density_histogram"] = _histogram("features", "tasa_vendedor", 40, None, None, "entrega_tarde")
 
     q["rule_scores"] = "SELECT order_id, score, pred FROM scores"

@@ -103,7 +103,8 @@ def temporal_split(ws):
 def _rates(ws, history):
     orders = ws.build.full.drop("prior_orders", "prior_late", "sin_historial_vendedor", "tasa_vendedor")
     rated = fe.add_seller_rate(orders, ws.build.global_rate, history=history)
-    return rounded(rated.select("order_id", "prior_orders", "prior_late", "sin_historial_vendedor", "tasa_vendedor"))
+    return rounded(rated.select("order_id", "prior_orders", "prior_late", "sin_historial_vendedor", "tasa_vendedor"),
+                   tasa_vendedor=9)
 
 
 @query
@@ -135,7 +136,7 @@ def impute_business(ws):
 
 @query
 def feature_table(ws):
-    return rounded(ws.features, **DAYS)
+    return rounded(ws.features, tasa_vendedor=9, **DAYS)
 
 
 @query
@@ -423,6 +424,37 @@ def histogram_distance(ws):
     return rounded(histogram(ws.distances, "dist_km", 50, 0, 2500))
 
 
+@query
+def histogram_cushion(ws):
+    return rounded(histogram(ws.cushioned, "cushion", 70, -20, 40))
+
+
+@query
+def histogram_seller_rate(ws):
+    return rounded(histogram(ex.seller_rates(ws.single, 3), "late_rate", 40))
+
+
+@query
+def histogram_promise_gap(ws):
+    return rounded(histogram(ws.features, "dias_vs_promesa", 60, -40, 40))
+
+
+@query
+def histogram_delivery_days(ws):
+    return rounded(histogram(ws.features, "dias_entrega_real", 60, 0, 60))
+
+
+@query
+def histogram_promised_days(ws):
+    return rounded(histogram(ws.features, "dias_prometidos", 50, 0, 60))
+
+
+@query
+def histogram_freight_ratio(ws):
+    ratios = ws.features.select(F.round("ratio_flete", 9).alias("ratio_flete"))
+    return rounded(histogram(ratios, "ratio_flete", 50, 0, 1.5), 9)
+
+
 @query
 def class_density_histogram(ws):
     return rounded(histogram(ws.features, "tasa_vendedor", 40, by="entrega_tarde"))
