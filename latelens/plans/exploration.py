@@ -498,13 +498,18 @@ def spearman_matrix(matrix: DataFrame, columns: list[str] = MATRIX_COLUMNS) -> D
     """Rank correlation of every pair of columns over the rows that have both.
 
     Ranks of a column depend on which rows its partner lacks, so each pair is ranked on
-    its own rows: count per distinct value, running totals over the values, average
-    rank of ties, back to the rows.  Rows are first merged by their pair of values.
+    its own rows: count per distinct value, running totals over the values, average rank
+    of ties.  Squares come from the value counts alone.  For the product, rows merged by
+    their pair of values get the rank on the side with more distinct values and are then
+    summed per value of the other side, so that a two-valued column never is a join key
+    of many rows.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    sizes = matrix.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    narrow_wide = [sorted(pair, key=lambda c: sizes[c]) for pair in pairs]
     cells = F.array(*[
         F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(pairs)
+        for i, (a, b) in enumerate(narrow_wide)
     ])
     joint = stage(
         matrix.select(F.inline(cells)).where("x is not null and y is not null")
@@ -520,19 +525,23 @@ def spearman_matrix(matrix: DataFrame, columns: list[str] = MATRIX_COLUMNS) -> D
     )
     ranked = stage(
         running_totals(values, ["pair", "side"], ["v"], {"below": "ties"})
-        .select("pair", "side", "v", (F.col("below") + (F.col("ties") + 1) / 2).alias("rank")),
+        .select("pair", "side", "v", "ties", (F.col("below") + (F.col("ties") + 1) / 2).alias("rank")),
         "ranks",
     )
 
     def ranks(side):
         return ranked.where(F.col("side") == side).select("pair", F.col("v").alias(side), F.col("rank").alias(f"r{side}"))
 
-    placed = joint.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    per_x = joint.join(ranks("y"), ["pair", "y"]).groupBy("pair", "x").agg(F.sum(F.col("w") * F.col("ry")).alias("sy"))
+    products = per_x.join(ranks("x"), ["pair", "x"]).groupBy("pair").agg(F.sum(F.col("sy") * F.col("rx")).alias("xy"))
+
+    def squares(side):
+        return F.sum(F.when(F.col("side") == side, F.col("ties") * F.col("rank") * F.col("rank")))
+
+    sums = ranked.groupBy("pair").agg(
+        F.sum(F.when(F.col("side") == "x", F.col("ties"))).alias("n"), squares("x").alias("xx"), squares("y").alias("yy")
+    ).join(products, "pair")
     # Mean ranks are (n + 1) / 2, known without another pass.
-    sums = placed.groupBy("pair").agg(
-        F.sum(w).alias("n"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy")
-    )
     mean2 = F.col("n") * F.pow((F.col("n") + 1) / 2, 2)
     rho = ratio(F.col("xy") - mean2, F.sqrt((F.col("xx") - mean2) * (F.col("yy") - mean2)))
     names = [F.lit(a) for a, _ in pairs], [F.lit(b) for _, b in pairs]
