@@ -150,7 +150,7 @@ def pieces(placed: DataFrame, chosen: DataFrame, block_words: int = BLOCK_WORDS)
     words = F.least(F.col("start") + F.col("size"), at + F.col("take")) - begin
     return spread.join(chosen.drop("epoch"), ["place", "block"], "left").select(
         "place", "doc_id", "start", "size", "shard", "slot", (begin - F.col("start")).alias("first"),
-        F.greatest(F.lit(0).cast("long"), F.coalesce(words, F.lit(0))).alias("words"))
+        F.when(F.col("slot").isNull(), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), words)).alias("words"))
 
 
 def layout(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",

@@ -24,3 +24,7 @@ def op8_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op5_ngram_jaccard_join, op8_mixing_sources)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
