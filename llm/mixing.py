@@ -166,7 +166,9 @@ def layout(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     names = targets.select(F.col("source").alias("name"), "place", "rows")
     placed = scratch.keep(_positions(sized.join(names, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id", "size", "print", "place", "rows")), "placed")
-    return targets, placed, slots(targets, block_words=block_words, shard_words=shard_words, seed=seed)
+    # staged, so that its measured size decides whether it is broadcast
+    chosen = scratch.keep(slots(targets, block_words=block_words, shard_words=shard_words, seed=seed), "slots")
+    return targets, placed, chosen
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
