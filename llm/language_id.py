@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import as_bytes, small_batches
 
@@ -107,8 +108,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], *, epochs: int = 6, ba
     rng = np.random.default_rng(seed)
     net, used, width = ByteNet.fresh(langs, rng), ByteNet.used(), max(WIDTHS)
     names = ["embed", "bank", "bias", "dense", "shift"]
-    m, v, step = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2)), None, 0
-    m, v = m
+    m, v = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
+    step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for k in range(0, len(x), batch):
@@ -151,8 +152,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample_do
                           & ~held_out(id_col))
     order = F.xxhash64(F.lit("sample"), F.col(id_col))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(order, id_col))
-    chosen = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col)).withColumn("_rank", rank) \
-        .where(F.col("_rank") <= per_lang).orderBy("_rank", lang_col).limit(sample_docs).select("_id").toPandas()["_id"]
+    chosen = labelled.select(id_col, lang_col, rank.alias("_rank")).where(F.col("_rank") <= per_lang) \
+        .orderBy("_rank", lang_col).limit(sample_docs).select(F.col(id_col).alias("_id")).toPandas()["_id"]
     if not len(chosen):
         return None
     ids = spark.createDataFrame([(i,) for i in chosen.tolist()], f"_id {docs.schema[id_col].dataType.simpleString()}").distinct()
@@ -206,7 +207,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)],
                                              names=[*names, "lang_pred", "score"])
 
-    schema = base.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return base.mapInArrow(predict, schema)
 
 

@@ -56,8 +56,9 @@ def runs(texts: list[bytes | None], least_words: int, longest: int):
     n = len(owner)
     owner, place = np.array(owner, np.int64), np.array(place, np.int64)
     total = np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
-    weight = np.cumprod(np.concatenate([[1], np.full(n, _STEP, np.uint64)]).astype(np.uint64))
-    unweight = np.cumprod(np.concatenate([[1], np.full(n, _BACK, np.uint64)]).astype(np.uint64))
+    one = np.ones(1, np.uint64)
+    weight = np.cumprod(np.concatenate([one, np.full(n, _STEP, np.uint64)]))
+    unweight = np.cumprod(np.concatenate([one, np.full(n, _BACK, np.uint64)]))
     summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(name, np.uint64) * weight[:n])])
     start = np.arange(n)
     stop = np.maximum(np.searchsorted(total, total[:-1] + least_words), start + 2)  # exclusive

@@ -11,6 +11,7 @@ Votes are weighted by distance and mapped to a probability by isotonic regressio
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +144,14 @@ class Neighbours:
 
     def calibrate(self, rows: list[tuple[int, list[int], list[int], int]]) -> None:
         """Isotonic steps from votes to shares of toxic rows, by pooling adjacent violators."""
-        votes = sorted((self.vote(t, n)[0], y) for _, t, n, y in rows)
+        votes = sorted((round(self.vote(t, n)[0], 9), y) for _, t, n, y in rows)
         mean = sum(y for _, y in votes) / len(votes) if votes else 0
         odds = {1: self.prior / max(mean, 1e-9), 0: (1 - self.prior) / max(1 - mean, 1e-9)}
         pools: list[list[float]] = []
-        for v, y in votes:
-            pools.append([v, odds[y] * y, odds[y]])
-            while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
+        for v, equal in groupby(votes, key=lambda x: x[0]):
+            labels = [y for _, y in equal]
+            pools.append([v, odds[1] * sum(labels), sum(odds[y] for y in labels)])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 _, a, b = pools.pop()
                 pools[-1][1] += a
                 pools[-1][2] += b
@@ -159,7 +161,7 @@ class Neighbours:
     def score(self, vote: float) -> float:
         if self.steps is None:
             return vote
-        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], vote, side="right") - 1)])
+        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], round(vote, 9), side="right") - 1)])
 
 
 def vocabulary(sample: DataFrame, per_label: dict[int, int]) -> list[bytes]:
