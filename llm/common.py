@@ -72,8 +72,8 @@ class Scratch:
                 path, fs = self._at(name)
                 fs.delete(path, True)
 
-    def result(self, df: DataFrame) -> DataFrame:
-        out = self._written(df, f"{self.folder}/result")
+    def result(self, df: DataFrame, label: str = "result") -> DataFrame:
+        out = self._written(df, f"{self.folder}/{label}")
         path, fs = self._at(self.folder)
         fs.deleteOnExit(path)
         return out

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import contaminated
+from llm.embedding_neardup import embedding_neardup
 from llm.language_id import identify
 from llm.mixing import mix
 from llm.ngram_jaccard import ngram_jaccard_join
 from llm.substring_dedup import substring_dedup
+from llm.token_count import token_counts
 from llm.toxicity import toxicity
 
 
@@ -18,10 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_neardup(table(spark, folder, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents"), words=3, percent=90)
 
@@ -42,7 +52,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = (op2_decontamination, op5_ngram_jaccard_join, op7_language_id, op8_mixing_sources, op9_substring_dedup,
+QUERIES = (op1_token_counts, op2_decontamination, op3_embedding_neardup, op5_ngram_jaccard_join, op7_language_id, op8_mixing_sources, op9_substring_dedup,
            op10_toxicity)
 
 
