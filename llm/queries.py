@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import contaminated
 from llm.embedding_neardup import embedding_neardup
+from llm.html_text import extract_text
 from llm.language_id import identify
+from llm.license_scan import license_scan
 from llm.mixing import mix
 from llm.ngram_jaccard import ngram_jaccard_join
 from llm.substring_dedup import substring_dedup
@@ -32,10 +34,18 @@ def op3_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_neardup(table(spark, folder, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -52,8 +62,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = (op1_token_counts, op2_decontamination, op3_embedding_neardup, op5_ngram_jaccard_join, op7_language_id, op8_mixing_sources, op9_substring_dedup,
-           op10_toxicity)
+QUERIES = (op1_token_counts, op2_decontamination, op3_embedding_neardup, op4_license_scan, op5_ngram_jaccard_join,
+           op6_html_extraction, op7_language_id, op8_mixing_sources, op9_substring_dedup, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
