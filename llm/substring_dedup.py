@@ -3,7 +3,8 @@
 A text is cut into sentences; from every sentence on, the shortest run of at least two
 sentences with enough words is hashed.  Runs join globally by hash, the first place of each
 (smallest id, then position) keeps it, and every sentence that another place's run covers
-is removed.
+is removed.  Repeats within a text are found where the text is, so the join sees a run once
+per text.
 """
 
 from __future__ import annotations
@@ -75,16 +76,19 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     def found(batches):
         for batch in batches:
             owner, first, last, code = runs(as_bytes(batch.column(1)), least_words, longest)
+            again = np.ones(len(code), bool)  # not the first of its text
+            again[np.unique(np.stack([owner, code]), axis=1, return_index=True)[1]] = False
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code), batch.column(0).take(pa.array(owner)), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-                names=["code", "id", "first", "last"])
+                [pa.array(code), batch.column(0).take(pa.array(owner)), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
+                 pa.array(again)], names=["code", "id", "first", "last", "again"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_runs = scratch.keep(texts.mapInArrow(found, "code long, id long, first int, last int"), "runs")
-    origin = all_runs.groupBy("code").agg(
-        F.min(F.struct("id", "first")).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    return all_runs.join(origin, "code").where("id != origin.id or first != origin.first").select("id", "first", "last")
+    all_runs = scratch.keep(texts.mapInArrow(found, "code long, id long, first int, last int, again boolean"), "runs")
+    origin = all_runs.where("not again").groupBy("code").agg(
+        F.min("id").alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1").select("code", "origin")
+    elsewhere = all_runs.where("not again").join(origin, "code").where("id != origin").select("id", "first", "last")
+    return elsewhere.union(all_runs.where("again").select("id", "first", "last"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 15,
@@ -103,7 +107,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at_text = names.index(text_col)
     with Scratch(docs.sparkSession) as scratch:
         spans = repeated_spans(docs, scratch, id_col, text_col, least_words, longest)
-        covers = scratch.keep(spans.groupBy(F.col("id").alias("_llm_id")).agg(
+        covers = scratch.result(spans.groupBy(F.col("id").alias("_llm_id")).agg(
             F.collect_list("first").alias("_llm_first"), F.collect_list("last").alias("_llm_last")), "covers")
         joined = base.join(covers, base[id_col].cast("long") == F.col("_llm_id"), "left").drop("_llm_id")
         schema = T.StructType([*base.schema.fields, *(T.StructField(k, v) for k, v in new.items())])
@@ -134,4 +138,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns += [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-        return scratch.result(joined.mapInArrow(cut, schema))
+        return joined.mapInArrow(cut, schema)
