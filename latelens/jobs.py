@@ -1,4 +1,4 @@
-"""The three batch jobs, from files to files."""
+"""The three batch jobs, from files to files; what they stage on the way is deleted at their end."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from latelens.ml import bundles
 from latelens.ml.preprocess import Preprocessor
 from latelens.ml.training import split_parts, train_models
+from latelens.operators.staging import staged_until_done
 from latelens.plans.features import assert_no_leak, audit_seller_rate, build_feature_table
+from latelens.schemas import FEATURE_TABLE
 from latelens.session import use_fixed_zone
 from latelens.sources.tables import read_consolidated, read_features, write_table
 
@@ -19,21 +21,23 @@ def build_features(spark: SparkSession, items_path: str, features_path: str, pre
     Nothing is written if the audit finds a leak in the seller rate.
     """
     use_fixed_zone(spark)
-    build = build_feature_table(read_consolidated(spark, items_path), **options)
-    assert_no_leak(audit_seller_rate(build.full))
-    train = split_parts(build.table)["train"]
-    bundles.save_preprocessor(spark, Preprocessor.fit(train), build.global_rate.first()[0], preprocessor_path)
-    write_table(build.table, features_path, format, partition_by=["split"] if format == "parquet" else None)
-    return build.table
+    with staged_until_done(spark):
+        build = build_feature_table(read_consolidated(spark, items_path), **options)
+        assert_no_leak(audit_seller_rate(build.full))
+        train = split_parts(build.table)["train"]
+        bundles.save_preprocessor(spark, Preprocessor.fit(train), build.global_rate.first()[0], preprocessor_path)
+        write_table(build.table, features_path, format, partition_by=["split"] if format == "parquet" else None)
+    return read_features(spark, features_path).select(*FEATURE_TABLE.fieldNames())
 
 
 def train(spark: SparkSession, features_path: str, bundle_path: str, metrics_path: str,
           max_iter: int | None = None, regions: DataFrame | None = None) -> dict:
     """Feature table in, chosen model and metrics document out."""
     use_fixed_zone(spark)
-    run = train_models(read_features(spark, features_path), max_iter, regions)
-    bundles.save_bundle(spark, bundles.bundle_of(run), bundle_path)
-    bundles.write_metrics(bundles.metrics_document(spark, run.report), metrics_path)
+    with staged_until_done(spark):
+        run = train_models(read_features(spark, features_path), max_iter, regions)
+        bundles.save_bundle(spark, bundles.bundle_of(run), bundle_path)
+        bundles.write_metrics(bundles.metrics_document(spark, run.report), metrics_path)
     return run.report
 
 

@@ -3,23 +3,19 @@
 A window partition lives in one task.  Here a key (a seller, a single global group)
 may hold any share of the rows, so ordered work is cut into *ranges*: the rows are
 range-partitioned by (keys, order), each range is scanned on its own, and what came
-before a range is added from a table with at most one row per range.
-
-An input counted at no more than ``ONE_TASK_ROWS`` rows fits one task whatever its keys
-look like; it gets a plain window instead.
+before a range is added from a table with at most one row per range.  Inputs of every
+size take this path.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latelens.operators.staging import stage
 
-ONE_TASK_ROWS = 1_000_000
-ROWS_PER_RANGE = 4_000_000
+#: A key with more rows than this is numbered range by range, not in one task.
+HOT_KEY_ROWS = 1_000_000
 _RANGE = "__range"
 
 
@@ -27,10 +23,9 @@ def _as_columns(columns) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def range_count(df: DataFrame, rows: int) -> int:
-    """Ranges to cut ``rows`` into: the session's shuffle width, more if they get large."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, width, ceil(rows / ROWS_PER_RANGE))
+def range_count(df: DataFrame) -> int:
+    """Ranges to cut a frame into: the session's shuffle width."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_into_ranges(df: DataFrame, by: list, ranges: int, label: str = "ranges") -> DataFrame:
@@ -52,19 +47,11 @@ def running_totals(
     """Add, per measure, its total over all *earlier* rows of the same key.
 
     ``order`` must be a total order within a key (end it with an id).  ``keys`` may be
-    empty for a global running total.  The input is counted first, so hand in a scan or
-    a staged frame.
+    empty for a global running total.
     """
     order = _as_columns(order)
     values = {name: (F.col(m) if isinstance(m, str) else m) for name, m in measures.items()}
-    if ranges is None:
-        rows = df.count()
-        if rows <= ONE_TASK_ROWS:
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-            return df.select(
-                "*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(name) for name, v in values.items()]
-            )
-        ranges = range_count(df, rows)
+    ranges = ranges or range_count(df)
     ranged = cut_into_ranges(df, [*keys, *order], ranges)
 
     earlier = (
@@ -97,16 +84,13 @@ def running_totals(
     return joined.select(*kept, *totals)
 
 
-def rows_at_positions(df: DataFrame, order: list, positions: list[int], rows: int) -> DataFrame:
+def rows_at_positions(df: DataFrame, order: list, positions: list[int]) -> DataFrame:
     """The rows at the given 0-based positions of the global sort order.
 
     Only the ranges that hold a wanted position are sorted.
     """
     order = _as_columns(order)
-    if rows <= ONE_TASK_ROWS:
-        place = (F.row_number().over(Window.partitionBy().orderBy(*order)) - 1).cast("bigint")
-        return df.withColumn("position", place).where(F.col("position").isin(positions))
-    ranged = cut_into_ranges(df, order, range_count(df, rows))
+    ranged = cut_into_ranges(df, order, range_count(df))
     # One count per range comes to the driver, nothing that grows with the rows.
     counts = ranged.groupBy(_RANGE).count().orderBy(_RANGE).collect()
     wanted, start = None, 0
@@ -169,10 +153,9 @@ def number_rows(
     """Number the rows of each key from 1 and repeat chosen values of row 1 on all rows.
 
     Keys are expected to be small; a key above ``hot_rows`` is numbered range by range
-    instead of in one task.  The check reads one column, and is skipped when the whole
-    input is no larger than one allowed key.
+    instead of in one task.  Looking for such keys reads one column, while the plan is built.
     """
-    hot_rows = ONE_TASK_ROWS if hot_rows is None else hot_rows
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     first_value = first_value or {}
     order = _as_columns(order)
 
@@ -181,8 +164,6 @@ def number_rows(
         first = [F.first(c).over(w).alias(a) for a, c in first_value.items()]
         return part.select("*", F.row_number().over(w).alias(number), *first)
 
-    if df.count() <= hot_rows:
-        return in_one_window(df)
     hot = stage(df.groupBy(key).count().where(F.col("count") > hot_rows).select(key), "hot_keys")
     if hot.isEmpty():
         return in_one_window(df)

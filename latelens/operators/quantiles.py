@@ -2,8 +2,8 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in one task.  Here a
 bounded sketch first brackets each wanted rank, and a second pass keeps exact counts
-only for values inside a bracket; everything between brackets is a plain count.  Inputs
-counted at no more than ``ONE_TASK_ROWS`` rows need no brackets.
+only for values inside a bracket; everything between brackets is a plain count.  A bracket
+that misses its rank is widened, and the second pass repeated, until it holds it.
 """
 
 from __future__ import annotations
@@ -25,56 +25,53 @@ def exact_quantiles(
     by: list[str] | None = None,
     names: list[str] | None = None,
     accuracy: int = SKETCH_ACCURACY,
+    margin: float | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group; NULL values and NULL groups drop out.
 
-    The input is read more than once: hand in a scan or a staged frame.
+    The input is read more than once: hand in a scan or a staged frame.  ``margin`` is the
+    first width of the brackets as a share of the rows, on either side of a rank.
     """
     by = by or []
     names = names or [f"q{i}" for i in range(len(probabilities))]
     base = df.select(*by, F.col(value).cast("double").alias("__v")).dropna()
-    if df.count() <= ordered.ONE_TASK_ROWS:
-        tally = base.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-        order = ["__v"]
-    else:
-        tally = _bracketed_tally(base, probabilities, by, accuracy)
-        order = ["__begun", F.col("__v").asc_nulls_last()]
-
-    if "__begun" in tally.columns and tally.count() > ordered.ONE_TASK_ROWS:
-        before = ordered.running_totals(tally, by, order, {"__before": "__c"})
-        sizes = tally.groupBy(*by).agg(F.sum("__c").alias("__n"))
-        counted = before.join(sizes, by) if by else before.crossJoin(F.broadcast(sizes))  # one row
-    else:
-        group = Window.partitionBy(*by)
-        earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        counted = tally.select(
-            "*",
-            F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"),
-            F.sum("__c").over(group).alias("__n"),
-        )
-
-    picks, out = [], []
+    # A rank found by the sketch is off by at most n/accuracy: three times that is safe.
+    margin = 3.0 / accuracy if margin is None else margin
+    while True:
+        edges = stage(_edges(base, probabilities, by, accuracy, margin), "quantiles")  # a row per group
+        if margin >= 1 or edges.where("__missed").isEmpty():
+            break
+        margin = max(margin * 16, 1.0 / accuracy)
+    out = []
     for i, (p, name) in enumerate(zip(probabilities, names)):
         place = (F.col("__n") - 1) * F.lit(float(p))
-        for side, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
-            holds = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
-            # A rank outside every bracket would make the result NULL: say so instead.
-            found = F.when(F.col("__v").isNotNull(), F.col("__v")).otherwise(
-                F.raise_error(F.lit("quantile bracket missed its rank"))
-            )
-            picks.append(F.max(F.when(holds, found)).alias(f"__{side}{i}"))
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         out.append((a + (b - a) * (place - F.floor(place))).alias(name))
-    edges = counted.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
     return edges.select(*by, F.col("__n").alias("n"), *out)
 
 
-def _bracketed_tally(base: DataFrame, probabilities: list[float], by: list[str], accuracy: int) -> DataFrame:
+def _edges(base: DataFrame, probabilities: list[float], by: list[str], accuracy: int, margin: float) -> DataFrame:
+    """Per group: its size, the values on both sides of each rank, and whether a bracket missed one."""
+    tally = _bracketed_tally(base, probabilities, by, accuracy, margin)
+    order = ["__begun", F.col("__v").asc_nulls_last()]
+    before = ordered.running_totals(tally, by, order, {"__before": "__c"})
+    sizes = tally.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    counted = before.join(sizes, by) if by else before.crossJoin(F.broadcast(sizes))  # one row
+    picks, missed = [], F.lit(False)
+    for i, p in enumerate(probabilities):
+        place = (F.col("__n") - 1) * F.lit(float(p))
+        for side, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
+            holds = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c"))
+            picks.append(F.max(F.when(holds, F.col("__v"))).alias(f"__{side}{i}"))
+            missed = missed | (holds & F.col("__v").isNull())
+    return counted.groupBy(*by).agg(F.max("__n").alias("__n"), F.max(missed).alias("__missed"), *picks)
+
+
+def _bracketed_tally(
+    base: DataFrame, probabilities: list[float], by: list[str], accuracy: int, margin: float
+) -> DataFrame:
     """Counts per (brackets begun, value if bracketed), in value order, staged."""
-    # Pass 1: a sketch per group.  A rank found by the sketch is off by at most
-    # n/accuracy, so 3/accuracy on both sides is a safe bracket; small groups are
-    # bracketed by their extremes.
-    margin = 3.0 / accuracy
+    # Pass 1: a sketch per group; small groups are bracketed by their extremes.
     points = [min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-margin, margin)]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),

@@ -5,29 +5,58 @@ filter push-down, and has a known size, so that Spark's own broadcast threshold
 decides about join strategies from measured bytes instead of guesses.
 
 The folder is the one named by ``spark.checkpoint.dir``.  Only a local session that
-names none gets a folder of its own.
+names none gets a folder of its own.  Staged tables end with the session; those staged
+inside ``staged_until_done`` end with its block, also when it fails.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_folders: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def staging_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/staged-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="latelens-")
-    return _local_roots[app]
+        folder = f"{shared.rstrip('/')}/staged-{app}"
+    else:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="latelens-")
+        folder = _local_roots[app]
+    if folder not in _folders:
+        path, fs = _hadoop(spark, folder)
+        fs.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
+
+
+@contextmanager
+def staged_until_done(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, what is staged inside it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path, fs = _hadoop(spark, name)
+            fs.delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -39,11 +68,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def stage(df: DataFrame, label: str = "table") -> DataFrame:
     """Materialise a frame once; the result is a plain Parquet scan."""
     path = f"{staging_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this session staged, once its frames are no longer needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _hadoop(spark, staging_folder(spark))
+    fs.delete(path, True)

@@ -96,8 +96,14 @@ STEPS["geolocation"] = """
          -80e0 + ((c_custkey * 31) % 500) * 1e-1 AS lng
   FROM customer"""
 STEPS["order_rows"] = """
-  SELECT order_id, customer_id, customer_state, order_status, purchase_ts, carrier_ts, delivered_ts, estimated_ts
-  FROM items WHERE order_item_id = 1"""
+  SELECT *, CASE WHEN order_id % 251 <> 0 THEN purchase_ts + INTERVAL '1' HOUR * CAST(order_id % 48 AS INT) END AS approved_ts
+  FROM (SELECT order_id, customer_id, customer_state, order_status, purchase_ts, carrier_ts, delivered_ts, estimated_ts
+        FROM items WHERE order_item_id = 1
+        UNION ALL
+        SELECT order_id, customer_id, customer_state, order_status, purchase_ts,
+               CASE WHEN order_id % 307 = 0 THEN NULL ELSE purchase_ts + INTERVAL '1' DAY * CAST(1 + order_id % 6 AS INT) END,
+               NULL, DATE_TRUNC('day', purchase_ts) + INTERVAL '1' DAY * promised_days
+        FROM orders_x WHERE order_id NOT IN (SELECT order_id FROM items))"""
 STEPS["first_rows"] = """
   SELECT *, product_length_cm * product_height_cm * product_width_cm AS volume_cm3 FROM items WHERE order_item_id = 1"""
 
@@ -460,7 +466,8 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
       SELECT order_id, entrega_tarde FROM direct ORDER BY md5(concat_ws(':', CAST(order_id AS VARCHAR), '42')), order_id LIMIT 500"""
 
     q["lifecycle_nulls"] = _null_rows("order_rows", {
-        "order_purchase_timestamp": "purchase_ts", "order_delivered_carrier_date": "carrier_ts",
+        "order_purchase_timestamp": "purchase_ts", "order_approved_at": "approved_ts",
+        "order_delivered_carrier_date": "carrier_ts",
         "order_delivered_customer_date": "delivered_ts", "order_estimated_delivery_date": "estimated_ts",
     })
     q["order_status_counts"] = _frequency("order_rows", "order_status")

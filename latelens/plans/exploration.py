@@ -45,8 +45,9 @@ def late_share() -> Column:
 
 # -- data quality -------------------------------------------------------------
 def lifecycle_nulls(orders: DataFrame) -> DataFrame:
-    """Missing timestamps along the life of an order."""
-    return null_profile(orders, [c for c in LIFECYCLE if c in orders.columns])
+    """Missing timestamps along the life of an order; a column the table lacks is missing everywhere."""
+    absent = [c for c in LIFECYCLE if c not in orders.columns]
+    return null_profile(orders.select("*", *[F.lit(None).cast("timestamp_ntz").alias(c) for c in absent]), LIFECYCLE)
 
 
 def status_counts(orders: DataFrame) -> DataFrame:
@@ -235,6 +236,7 @@ def cushion_by_state(cushioned: DataFrame, min_orders: int = 200) -> DataFrame:
 
 def extremes(report: DataFrame, metric: str, key: str, k: int) -> DataFrame:
     """The k lowest and the k highest rows of a report, marked by ``end``."""
+    report = stage(report, "report")  # a row per key, read twice
     low = report.orderBy(F.asc(metric), F.asc(key)).limit(k).withColumn("end", F.lit("low"))
     high = report.orderBy(F.desc(metric), F.asc(key)).limit(k).withColumn("end", F.lit("high"))
     return low.unionByName(high)

@@ -139,7 +139,7 @@ def temporal_split(
     """
     rows = orders.count()
     i_val, i_test = cut_positions(rows, train, val)
-    marks = rows_at_positions(orders.select(*TIME_ORDER), TIME_ORDER, [i_val, i_test], rows)
+    marks = rows_at_positions(orders.select(*TIME_ORDER), TIME_ORDER, [i_val, i_test])
     key = F.struct(*TIME_ORDER)
     cuts = stage(
         marks.agg(

@@ -74,9 +74,9 @@ AFTER_PURCHASE_COLUMNS = [
 
 # Brazilian states by region.
 STATES_BY_REGION = {
-    "Norte": ["AC", "AM", "AP", "PA", "RO", "RR", "TO"],
+    "Norte": ["AC", "AP", "AM", "PA", "RO", "RR", "TO"],
     "Nordeste": ["AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"],
-    "Centro-Oeste": ["DF", "GO", "MS", "MT"],
+    "Centro-Oeste": ["DF", "GO", "MT", "MS"],
     "Sudeste": ["ES", "MG", "RJ", "SP"],
     "Sul": ["PR", "RS", "SC"],
 }

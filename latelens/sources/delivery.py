@@ -23,6 +23,37 @@ def _in_days(ts, days):
     return ts + F.make_dt_interval(days=days.cast("int"))
 
 
+def _promised(purchase):
+    return _in_days(F.to_date(purchase).cast("timestamp_ntz"), F.col("promised_days"))
+
+
+def _carried(oid, purchase):
+    return F.when(oid % 307 != 0, _in_days(purchase, 1 + oid % 6))
+
+
+def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order, with or without items: buyer, status, purchase time, promise."""
+    nation = star(spark, folder, "nation")
+    buyers = star(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
+    buyer_nation = nation.select(
+        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_state"),
+        F.col("n_regionkey").alias("c_region"),
+    )
+    oid = F.col("order_id")
+    return (
+        star(spark, folder, "orders")
+        .select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_orderdate")
+        .join(buyers, "customer_id")
+        .join(buyer_nation, "c_nationkey")
+        .withColumn("order_status", F.when(oid % 33 == 0, "canceled").otherwise("delivered"))
+        .withColumn(
+            "purchase_ts",
+            F.col("o_orderdate") + F.make_dt_interval(secs=((oid * 7919) % 86400).cast("decimal(18,6)")),
+        )
+        .withColumn("promised_days", (13 + (oid * 13) % 17).cast("int"))
+    )
+
+
 def item_view(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order item."""
     line = star(spark, folder, "lineitem").select(
@@ -47,26 +78,10 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
     first_sellers = supplier.select(F.col("s_suppkey").alias("first_seller"), F.col("s_nationkey").alias("first_nation"))
     seller_nation = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller_state"))
     first_nation = nation.select(F.col("n_nationkey").alias("first_nation"), F.col("n_regionkey").alias("first_region"))
-    buyers = star(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
-    buyer_nation = nation.select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_state"),
-        F.col("n_regionkey").alias("c_region"),
-    )
     parts = star(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), "p_type", "p_size")
 
     oid = F.col("order_id")
-    orders = (
-        star(spark, folder, "orders")
-        .select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_orderdate")
-        .join(buyers, "customer_id")
-        .join(buyer_nation, "c_nationkey")
-        .withColumn("order_status", F.when(oid % 33 == 0, "canceled").otherwise("delivered"))
-        .withColumn(
-            "purchase_ts",
-            F.col("o_orderdate") + F.make_dt_interval(secs=((oid * 7919) % 86400).cast("decimal(18,6)")),
-        )
-        .withColumn("promised_days", (13 + (oid * 13) % 17).cast("int"))
-    )
+    orders = placed_orders(spark, folder)
     actual_days = (
         1 + (oid * 7 + F.col("customer_id") * 3) % 12 + F.col("first_seller") % 5
         + F.when(F.col("c_region") != F.col("first_region"), 3).otherwise(0)
@@ -86,12 +101,12 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
         .join(parts, "product_id")
         .select(
             "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "order_status", "purchase_ts",
-            _in_days(F.to_date(purchase).cast("timestamp_ntz"), F.col("promised_days")).alias("estimated_ts"),
+            _promised(purchase).alias("estimated_ts"),
             F.when(
                 ~undelivered,
                 _in_days(purchase, actual_days) + F.make_dt_interval(hours=((oid * 131) % 24).cast("int")),
             ).alias("delivered_ts"),
-            F.when(oid % 307 != 0, _in_days(purchase, 1 + oid % 6)).alias("carrier_ts"),
+            _carried(oid, purchase).alias("carrier_ts"),
             _in_days(purchase, F.lit(4)).alias("shipping_limit_ts"),
             F.when(oid % 211 == 0, F.lit(0.0)).otherwise(F.col("l_extendedprice")).alias("price"),
             (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
@@ -122,11 +137,19 @@ def consolidated(items: DataFrame) -> DataFrame:
     })
 
 
-def order_rows(items: DataFrame) -> DataFrame:
-    """The raw orders table: order-level columns, one row per order with items."""
-    return items.where("order_item_id = 1").select(
+def order_rows(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
+    """The raw orders table: order-level columns, one row per order; one without items was never delivered."""
+    oid, purchase = F.col("order_id"), F.col("purchase_ts")
+    first = items.where("order_item_id = 1")
+    bare = placed_orders(spark, folder).join(first.select("order_id"), "order_id", "left_anti").select(
+        "order_id", "customer_id", "order_status", "purchase_ts", _carried(oid, purchase).alias("carrier_ts"),
+        F.lit(None).cast("timestamp_ntz").alias("delivered_ts"), _promised(purchase).alias("estimated_ts"),
+    )
+    every = first.select(*bare.columns).unionByName(bare)
+    return every.select(
         "order_id", "customer_id", "order_status",
-        F.col("purchase_ts").alias("order_purchase_timestamp"),
+        purchase.alias("order_purchase_timestamp"),
+        F.when(oid % 251 != 0, purchase + F.make_dt_interval(hours=(oid % 48).cast("int"))).alias("order_approved_at"),
         F.col("carrier_ts").alias("order_delivered_carrier_date"),
         F.col("delivered_ts").alias("order_delivered_customer_date"),
         F.col("estimated_ts").alias("order_estimated_delivery_date"),

@@ -17,7 +17,8 @@ def read_table(
     """Parquet as it is; CSV with a header, by column name, under an explicit schema.
 
     CSV timestamps are read as text and parsed so that a bad date becomes NULL.
-    Columns the schema does not name are ignored, columns the file lacks are an error.
+    Columns the schema does not name are ignored, columns the file lacks are an error, and
+    so is a file of a folder whose header differs from the others'.
     ``line_breaks`` is for quoted text that spans lines; such files cannot be split, so
     work is then shared per file rather than per block.
     """
@@ -35,7 +36,7 @@ def read_table(
             for c in header
         ])
         raw = (
-            spark.read.schema(as_text).option("header", True).option("multiLine", line_breaks)
+            spark.read.schema(as_text).option("header", True).option("enforceSchema", False).option("multiLine", line_breaks)
             .option("quote", '"').option("escape", '"').csv(path)
         )
         return raw.select(*[

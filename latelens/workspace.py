@@ -49,7 +49,7 @@ class Workspace:
 
     @property
     def orders(self) -> DataFrame:
-        return delivery.order_rows(self.view)
+        return delivery.order_rows(self.spark, self.folder, self.view)
 
     @property
     def reviews(self) -> DataFrame:

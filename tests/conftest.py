@@ -11,11 +11,3 @@ def spark():
     from latelens.session import local_session
 
     return local_session(cores=8, memory="6g", name="tests")
-
-
-@pytest.fixture
-def in_ranges(monkeypatch):
-    """No input counts as small: everything takes the distributed way."""
-    from latelens.operators import ordered
-
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 0)

@@ -40,10 +40,7 @@ def test_average_precision_is_not_the_trapezoid(spark):
     assert curve.agg(ev.average_precision()).first()[0] == pytest.approx(0.58333, abs=1e-5)
 
 
-@pytest.mark.parametrize("path", ["small", "ranges"])
-def test_random_scores_with_ties(spark, path, request):
-    if path == "ranges":
-        request.getfixturevalue("in_ranges")
+def test_random_scores_with_ties(spark):
     rng = random.Random(11)
     pairs = [(rng.randrange(30) / 30, int(rng.random() < 0.2)) for _ in range(400)]
     row = ev.threshold_curve(scored(spark, pairs)).agg(ev.average_precision(), ev.roc_auc()).first()

@@ -109,10 +109,7 @@ def test_cut_positions_truncate():
     assert fe.cut_positions(96_470) == (67_529, 81_999)
 
 
-@pytest.mark.parametrize("path", ["small", "ranges"])
-def test_temporal_split(spark, path, request):
-    if path == "ranges":
-        request.getfixturevalue("in_ranges")
+def test_temporal_split(spark):
     rows = [(f"{i:03d}", START + (i // 3) * DAY) for i in range(40)]
     random.Random(1).shuffle(rows)
     df = stage(spark.createDataFrame(rows, "order_id string, order_purchase_timestamp timestamp_ntz"), "split_input")

@@ -25,3 +25,20 @@ def test_files_to_files(spark, tmp_path):
     assert scored.count() == table.count() == 1425
     models = {r["modelo"] for r in comparison_table(read_metrics(spark, path["metrics"])).collect()}
     assert models == set(report["metricas"]) and len(models) == 4
+
+
+def test_jobs_leave_nothing_staged(spark, tmp_path):
+    from latelens.operators import staging
+
+    with staging.staged_until_done(spark):
+        kept = staging.stage(spark.range(3), "probe")
+        assert kept.count() == 3
+        path, fs = staging._hadoop(spark, kept.inputFiles()[0])
+        assert fs.exists(path)
+    assert not fs.exists(path)
+    try:
+        with staging.staged_until_done(spark):
+            path, fs = staging._hadoop(spark, staging.stage(spark.range(3), "probe").inputFiles()[0])
+            raise RuntimeError
+    except RuntimeError:
+        assert not fs.exists(path)

@@ -36,22 +36,17 @@ def totals(df, keys):
     return {r["id"]: (r["n"], r["late"]) for r in out.collect()}
 
 
-def test_running_totals_small(skewed):
+def test_running_totals_in_ranges(skewed):
     rows, df = skewed
     assert totals(df, ["k"]) == brute_totals(rows)
 
 
-def test_running_totals_in_ranges(skewed, in_ranges):
-    rows, df = skewed
-    assert totals(df, ["k"]) == brute_totals(rows)
-
-
-def test_global_running_totals_in_ranges(skewed, in_ranges):
+def test_global_running_totals_in_ranges(skewed):
     rows, df = skewed
     assert totals(df, []) == brute_totals(rows, keyed=False)
 
 
-def test_range_plan_has_no_single_task_exchange_of_rows(skewed, in_ranges):
+def test_range_plan_has_no_single_task_exchange_of_rows(skewed):
     """Only the table of range totals may meet in one task; the rows may not."""
     _, df = skewed
     plan = running_totals(df, [], ["t", "id"], {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
@@ -59,21 +54,18 @@ def test_range_plan_has_no_single_task_exchange_of_rows(skewed, in_ranges):
     assert "SinglePartition" not in before_carried
 
 
-def test_descending_order_in_ranges(skewed, in_ranges):
+def test_descending_order_in_ranges(skewed):
     rows, df = skewed
     points = stage(df.groupBy("t").agg(F.count("*").alias("c")), "points")
     got = {r["t"]: r["above"] for r in running_totals(points, [], [F.desc("t")], {"above": "c"}).collect()}
     assert got == {t: sum(r[1] > t for r in rows) for t in got}
 
 
-@pytest.mark.parametrize("path", ["small", "ranges"])
-def test_rows_at_positions(skewed, path, request):
-    if path == "ranges":
-        request.getfixturevalue("in_ranges")
+def test_rows_at_positions(skewed):
     rows, df = skewed
     order = sorted(rows, key=lambda r: (r[1], r[2]))
     wanted = [0, 1, 999, 1500, len(rows) - 1, len(rows)]
-    got = {r["position"]: r["id"] for r in rows_at_positions(df, ["t", "id"], wanted, len(rows)).collect()}
+    got = {r["position"]: r["id"] for r in rows_at_positions(df, ["t", "id"], wanted).collect()}
     assert got == {p: order[p][2] for p in wanted if p < len(rows)}
 
 
@@ -93,10 +85,8 @@ def test_rolling_means(skewed, chunk):
 
 
 @pytest.mark.parametrize("hot", [10_000, 100])
-def test_number_rows(skewed, hot, request):
+def test_number_rows(skewed, hot):
     """With a low limit the hot key is numbered range by range."""
-    if hot == 100:
-        request.getfixturevalue("in_ranges")
     rows, df = skewed
     keyed = [r for r in rows if r[0] is not None]
     out = number_rows(df.where("k is not null"), "k", ["t", "id"], "no", {"first_id": "id"}, hot_rows=hot)

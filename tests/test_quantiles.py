@@ -25,13 +25,11 @@ def grouped(spark):
     return rows, stage(spark.createDataFrame(rows, "g string, x double").repartition(4), "grouped")
 
 
-@pytest.mark.parametrize("accuracy", [None, 50, 2000])
-def test_quantiles_by_group(grouped, accuracy, request):
-    """accuracy None: small input; 50: real brackets; 2000: brackets and whole small groups."""
+@pytest.mark.parametrize(("accuracy", "margin"), [(10_000, None), (50, None), (2000, None), (50, 0.0), (50, 0.001)])
+def test_quantiles_by_group(grouped, accuracy, margin):
+    """accuracy 10,000: whole groups; 50: real brackets; 2000: both; tight margins: brackets miss and are widened."""
     rows, df = grouped
-    if accuracy:
-        request.getfixturevalue("in_ranges")
-    out = exact_quantiles(df, "x", PROBS, ["g"], accuracy=accuracy or 10_000).collect()
+    out = exact_quantiles(df, "x", PROBS, ["g"], accuracy=accuracy, margin=margin).collect()
     got = {r["g"]: [r[f"q{i}"] for i in range(len(PROBS))] for r in out}
     assert set(got) == {"a", "b", "c"}
     for g in got:
@@ -39,12 +37,10 @@ def test_quantiles_by_group(grouped, accuracy, request):
         assert got[g] == pytest.approx(list(np.quantile(values, PROBS)), abs=1e-12)
 
 
-@pytest.mark.parametrize("accuracy", [None, 40])
-def test_global_quantiles(grouped, accuracy, request):
+@pytest.mark.parametrize(("accuracy", "margin"), [(10_000, None), (40, None), (40, 0.0)])
+def test_global_quantiles(grouped, accuracy, margin):
     rows, df = grouped
-    if accuracy:
-        request.getfixturevalue("in_ranges")
-    row = exact_quantiles(df, "x", PROBS, accuracy=accuracy or 10_000).first()
+    row = exact_quantiles(df, "x", PROBS, accuracy=accuracy, margin=margin).first()
     values = [x for _, x in rows if x is not None]
     assert row["n"] == len(values)
     assert list(row[1:]) == pytest.approx(list(np.quantile(values, PROBS)), abs=1e-12)
