@@ -118,7 +118,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 stored, probed = polytope_codes(x / np.linalg.norm(x, axis=1, keepdims=True))
                 table = np.arange(1, TABLES + 1, dtype=np.uint64)[:, None] << np.uint64(40)
                 for k, s, p in zip(rows, stored, probed, strict=True):
-                    seed = np.uint64(xxhash.xxh3_64_intdigest(f"{labels[k]} {d}".encode()))
+                    seed = np.array(xxhash.xxh3_64_intdigest(f"{labels[k]} {d}".encode()), np.uint64, ndmin=1)
                     codes = np.concatenate([s[:, None], p], axis=1).astype(np.uint64) + table
                     names[k] = mixed(codes ^ mixed(seed)).tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary()), pa.array(
