@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm import twins
 from llm.decontaminate import contaminated
 from llm.embedding_neardup import embedding_neardup
 from llm.html_text import extract_text
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embedding_neardup": twins.OP3, "op5_ngram_jaccard_join": twins.OP5}

@@ -12,6 +12,7 @@ import corpus_pipeline  # noqa: E402
 from llm.queries import oracle_sql, queries  # noqa: E402
 from tests.llm.brute import jaccard_components, lower  # noqa: E402
 from tests.llm.test_substring_dedup import brute  # noqa: E402
+from tests.oracle_check import compare  # noqa: E402
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 COLUMNS = {
@@ -65,5 +66,15 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     assert sum(r.taken for r in mixed.values()) > 0
 
 
-def test_twins_are_of_registered_queries():
-    assert set(oracle_sql()) <= set(queries())
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_its_twin(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    assert compare(queries()[name](spark, FOLDER), con, oracle_sql()[name]) is None
+
+
+def test_entry_registers_all_of_them():
+    import __spark_entry__ as entry
+
+    assert {*queries(), "pipeline"} <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
