@@ -561,10 +561,10 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["same_state_rate"] = f"SELECT same_state, {count()} AS n, {LATE_PCT} FROM distances WHERE dist_km IS NOT NULL GROUP BY 1"
     q["feature_matrix"] = f"SELECT order_id, {rr(*MATRIX_COLUMNS, digits=9)} FROM matrix"
     names = ["promised_days", "dist_km", "freight_ratio", "product_weight_g", "seller_late_rate"]
-    complete = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    complete, every = (" AND ".join(f"{c} IS NOT NULL" for c in part) for part in (names, MATRIX_COLUMNS))
     q["feature_coverage"] = " UNION ALL ".join(
         f"SELECT '{n}' AS feature, {big(f'COUNT(*) FILTER ({c})')} AS n, {r(f'COUNT(*) FILTER ({c}) / CAST(COUNT(*) AS DOUBLE) * 100', 'coverage_pct')} FROM matrix"
-        for n, c in [(n, f"{n} IS NOT NULL") for n in names] + [("all_features", complete)]
+        for n, c in [(n, f"{n} IS NOT NULL") for n in names] + [("all_features", complete), ("all_columns", every)]
     )
     q["spearman_matrix"] = _spearman()
 
@@ -634,8 +634,11 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
         FROM scores, (SELECT [{inner}] AS edges FROM scores WHERE split = 'test') WHERE split = 'test') GROUP BY 1"""
     q["errors_by_region"] = _region_errors("(nation JOIN region ON n_regionkey = r_regionkey)")
     asia = "(SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') r"
+    coded = """(SELECT n_name, CASE WHEN i < 7 THEN 'Norte' WHEN i < 16 THEN 'Nordeste' WHEN i < 20 THEN 'Centro-Oeste'
+                                    WHEN i < 24 THEN 'Sudeste' WHEN i < 27 THEN 'Sul' END AS r_name
+                FROM (SELECT n_name, (n_nationkey * 9) % 28 AS i FROM nation)) r"""
     q["errors_by_region_reported"] = f"""
-      {_region_errors("(SELECT n_name, CAST(NULL AS VARCHAR) AS r_name FROM nation) r")}
+      {_region_errors(coded)}
       UNION ALL {_region_errors(asia, "r_name IS NOT NULL")}"""
     q["cold_start_metrics"] = f"""
       SELECT segmento, {big('all_rows')} AS n_ordenes, {r('tasa_base', 'tasa_tarde_real')}, {rr('pr_auc', 'roc_auc', 'recall', chr(34) + 'precision' + chr(34))}

@@ -483,14 +483,15 @@ def feature_matrix(
 
 
 def feature_coverage(matrix: DataFrame) -> DataFrame:
-    """Share of orders that have each feature, and that have all of them."""
+    """Share of orders that have each feature, that have all of them, and that have every matrix column."""
     names = ["promised_days", "dist_km", "freight_ratio", "product_weight_g", "seller_late_rate"]
     counted = matrix.agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count(c).alias(c) for c in names],
         F.count_if(~any_null(*names)).alias("all_features"),
+        F.count_if(~any_null(*MATRIX_COLUMNS)).alias("all_columns"),
     )
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in [*names, "all_features"]])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in [*names, "all_features", "all_columns"]])
     return counted.select("__rows", F.inline(cells)).select(
         "feature", "n", percent(ratio("n", "__rows")).alias("coverage_pct")
     )

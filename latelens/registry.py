@@ -18,7 +18,7 @@ from latelens.operators.staging import stage
 from latelens.plans import before_after as ba
 from latelens.plans import exploration as ex
 from latelens.plans import features as fe
-from latelens.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from latelens.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, STATES_BY_REGION
 from latelens.session import use_fixed_zone
 from latelens.sources import delivery
 from latelens.workspace import Workspace, workspace
@@ -531,8 +531,12 @@ def errors_by_region(ws):
 
 @query
 def errors_by_region_reported(ws):
-    """Fixed state map: states it does not know are pooled, then left out of the report."""
-    pooled = ev.errors_by_region(ws.rule_part("test"))
+    """Fixed state map, hit by a code per nation and one unknown code; then a report that leaves a region out."""
+    codes = F.array(*[F.lit(s) for s in [*(s for states in STATES_BY_REGION.values() for s in states), "unknown"]])
+    nation = delivery.star(ws.spark, ws.folder, "nation").select(
+        F.col("n_name").alias("customer_state"), F.get(codes, (F.col("n_nationkey") * 9 % 28).cast("int")).alias("code"))
+    coded = ws.rule_part("test").join(nation, "customer_state").drop("customer_state").withColumnRenamed("code", "customer_state")
+    pooled = ev.errors_by_region(coded)
     known = ev.regions_for_report(ev.errors_by_region(ws.rule_part("test"), ws.regions.where("region <> 'ASIA'")))
     return rounded(pooled.unionByName(known))
 
