@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: bounds a Python worker's memory even for very long texts.
@@ -113,6 +113,19 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def bounded_sample(scratch: Scratch, rows: DataFrame, by: str, id_col: str, per: int) -> DataFrame:
+    """About ``per`` rows of each value of ``by``, at most, chosen by a hash of the id; adds ``place`` 1, 2, ...
+
+    A threshold on the hash, from the counts, thins the rows out before any are ranked, so a hot
+    value sends no more rows to the ranking than a rare one.
+    """
+    counts = scratch.keep(rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    draw = F.xxhash64(F.lit("sample"), F.col(id_col)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
+    thin = rows.join(counts, F.col(by) == F.col("_by")).where(draw * F.col("_n") <= 1.2 * per + 50).drop("_by", "_n")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(draw, id_col))
+    return thin.withColumn("place", place).where(F.col("place") <= per)
+
+
 class Forest:
     """Union-find over positions 0..n-1; the root of a set is its smallest member."""
 

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import as_bytes, small_batches
+from llm.common import Scratch, as_bytes, bounded_sample, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -150,10 +150,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample_do
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
                           & ~held_out(id_col))
-    order = F.xxhash64(F.lit("sample"), F.col(id_col))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(order, id_col))
-    chosen = labelled.select(id_col, lang_col, rank.alias("_rank")).where(F.col("_rank") <= per_lang) \
-        .orderBy("_rank", lang_col).limit(sample_docs).select(F.col(id_col).alias("_id")).toPandas()["_id"]
+    order = F.xxhash64(F.lit("windows"), F.col(id_col))
+    with Scratch(spark) as scratch:
+        chosen = bounded_sample(scratch, labelled.select(id_col, lang_col), lang_col, id_col, per_lang).orderBy(
+            "place", lang_col).limit(sample_docs).select(F.col(id_col).alias("_id")).toPandas()["_id"]
     if not len(chosen):
         return None
     ids = spark.createDataFrame([(i,) for i in chosen.tolist()], f"_id {docs.schema[id_col].dataType.simpleString()}").distinct()
