@@ -15,10 +15,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, as_bytes
+from llm.common import Scratch, as_bytes, bounded_sample
 from llm.decontaminate import PUNCTUATION
 from llm.language_id import held_out
 
@@ -82,31 +82,38 @@ class BlockMaxIndex:
         np.maximum.at(self.peak, cell, self.weight)
         self.peak = self.peak.reshape(terms, self.blocks)
 
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Exact cosines with every example of the given blocks, a row per block, from their posting lists."""
+        cell = (terms[:, None] * self.blocks + blocks[None]).ravel()
+        first, size = self.start[cell], self.start[cell + 1] - self.start[cell]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        row = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size)
+        gain = np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at]
+        return np.bincount(row * BLOCK + self.doc[at] % BLOCK, gain, len(blocks) * BLOCK).reshape(-1, BLOCK)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest, and of all that tie with the k-th."""
+        """Examples and cosines of the k nearest, and of all that tie with the k-th.
+
+        The most promising blocks give the k-th best so far; then every block that can reach it is opened.
+        """
         bound = weights @ self.peak[terms]
         order = np.argsort(-bound, kind="stable")
-        docs, values, least, at, step = [], [], -1.0, 0, 4
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            for b in order[at:at + step]:
-                if bound[b] < least - 1e-12:
-                    break
-                scores = np.zeros(min(BLOCK, self.n - b * BLOCK))
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    a, z = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                    if a < z:
-                        scores[self.doc[a:z] - b * BLOCK] += w * self.weight[a:z]
-                docs.append(np.arange(b * BLOCK, b * BLOCK + len(scores)))
-                values.append(scores)
-            at, step = at + step, step * 2
-            seen = np.concatenate(values)
-            if len(seen) > k:
-                least = np.partition(seen, len(seen) - k)[len(seen) - k]
-        if not docs:
-            return np.empty(0, np.int64), np.empty(0)
+        opened = order[:8 + k // BLOCK]
+        docs, values = [], []
+        while len(opened):
+            docs.append((opened[:, None] * BLOCK + np.arange(BLOCK)).ravel())
+            values.append(self.cosines(terms, weights, opened).ravel())
+            if len(docs) == 2:
+                break
+            real = np.sort(values[0][docs[0] < self.n])
+            least = real[-k] if len(real) >= k else -1.0
+            rest = order[len(opened):]
+            opened = rest[bound[rest] >= least - 1e-9]
         docs, values = np.concatenate(docs), np.concatenate(values)
+        docs, values = docs[docs < self.n], values[docs < self.n]
+        least = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else -1.0
         near = np.flatnonzero(values >= least - 1e-9)
-        near = near[np.lexsort((docs[near], -values[near]))]
+        near = near[np.lexsort((docs[near], -np.round(values[near], 9)))]
         return docs[near], values[near]
 
 
@@ -115,6 +122,8 @@ class Neighbours:
 
     def __init__(self, idf: np.ndarray, rows: list[tuple[int, list[int], list[int], int]], prior: float):
         self.idf = idf
+        # examples with the same heaviest terms stand together, so that the blocks' bounds are tight
+        rows = sorted(rows, key=lambda r: (sorted(r[1], key=lambda t: (-idf[t], t)), r[0]))
         self.ids = np.array([r[0] for r in rows])
         self.toxic = np.array([r[3] for r in rows], np.float64)
         mean = self.toxic.mean()
@@ -206,8 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).where("y in (0, 1)")
         totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         prior = totals.get(1, 0) / max(1, sum(totals.values()))
-        place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id"))
-        chosen = scratch.keep(known.withColumn("place", place).where(F.col("place") <= per_label), "chosen")
+        chosen = scratch.keep(bounded_sample(scratch, known, "y", "id", per_label), "chosen")
         # at most twice per_label rows: a bounded broadcast
         sample = texts.where("text is not null").join(F.broadcast(chosen), "id")
         per = {r.y: r.n for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -224,7 +232,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         kind = docs.schema[id_col].dataType.simpleString()
         counted = scratch.keep(texts.mapInArrow(count, f"id {kind}, terms array<int>, times array<int>"), "counted")
         size = counted.count()
-        df = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
+        def present(batches):
+            for batch in batches:
+                n = np.bincount(batch.column(0).flatten().to_numpy(), minlength=held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["t", "n"])
+
+        df = counted.select("terms").mapInArrow(present, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
         idf = np.ones(held)
         for r in df:
             idf[r.t] = np.log(1 + size / r.n)
