@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; from every sentence on, the shortest run of at least two
+A text is cut into sentences, and long sentences where their own words say so; from every sentence on, the shortest run of at least two
 sentences with enough words is hashed.  Runs join globally by hash, the first place of each
 (smallest id, then position) keeps it, and every sentence that another place's run covers
 is removed.  Repeats within a text are found where the text is, so the join sees a run once
@@ -13,54 +13,99 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.common import Scratch, as_bytes
-from llm.words import mixed
+from llm.words import mixed, word_hashes
 
-_END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D][\x20\x09-\x0D]*")
+#: What ends a sentence, in a word with the space behind it.
+_LAST = re.compile(rb"[.!?][\x20\x09-\x0D]+\Z|[\x0A\x0D]")
+_LINE = re.compile(rb"[\x0A\x0D]")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-#: An odd multiplier; its powers weigh the sentences of a run.
+#: An odd multiplier; its powers weigh the words of a sentence and the sentences of a run.
 _STEP = 0xD6E8FEB86659FD93
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
-def sentences(text: bytes, longest: int) -> list[bytes]:
-    """Pieces that concatenate to the text; a piece of over ``longest`` words is cut after each ``longest``."""
-    ends = [m.end() for m in _END.finditer(text)]
-    out = []
-    for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
-        piece = text[a:b]
-        if b - a <= 2 * longest or len(words := _WORD.findall(piece)) <= longest:
-            if piece:
-                out.append(piece)
-        else:
-            lead = piece[:len(piece) - sum(map(len, words))]
-            words[0] = lead + words[0]
-            out += [b"".join(words[k:k + longest]) for k in range(0, len(words), longest)]
+def places(texts: list[bytes | None], longest: int):
+    """Of a batch: words with the space behind them, their hashes and text numbers, and whether a piece ends behind each.
+
+    A piece ends with its sentence, and inside a sentence behind the word whose hash with the next is least
+    (the last of equals) of any ``window`` such places in a row that lie in the sentence.  So a piece has
+    ``window`` words at most, and where a repeated passage is cut depends on its own words only, but for
+    the ``window - 1`` places at either end.
+    """
+    window = max(1, longest * 3 // 8)
+    words, low, sizes, ends = [], [], [], []
+    for text in texts:
+        found = _WORD.findall(text) if text else []
+        words += found
+        low += text.lower().split() if text else []
+        sizes.append(len(found))
+        ends += [bool(_LAST.search(w)) for w in found]
+    name, last = word_hashes(low), np.array(ends, bool)
+    sizes = np.array(sizes, np.int64)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    n = len(name) - window
+    if n > 0:
+        code = mixed(name[:-1] * np.uint64(_STEP) + name[1:])
+        least, at = code[:n].copy(), np.zeros(n, np.int64)
+        for k in range(1, window):
+            here = code[k:k + n]
+            lower = here <= least
+            least[lower], at[lower] = here[lower], k
+        ended = np.concatenate([[0], np.cumsum(last)])
+        inside = np.flatnonzero(ended[window:window + n] == ended[:n])
+        last[inside + at[inside]] = True
+    return words, name, np.repeat(np.arange(len(sizes)), sizes), last
+
+
+def _lead(text: bytes) -> bytes:
+    return text[:len(text) - len(text.lstrip())]
+
+
+def pieces_of(texts: list[bytes | None], longest: int) -> list[list[bytes]]:
+    """Of each text the pieces, which concatenate to it; white space before the first word is one if it has a line end."""
+    words, _, owner, last = places(texts, longest)
+    out: list[list[bytes]] = []
+    for text in texts:
+        lead = _lead(text or b"")
+        out.append([lead] if lead and (len(lead) == len(text) or _LINE.search(lead)) else [])
+    stop = np.flatnonzero(last) + 1
+    for d, a, b in zip(owner[stop - 1].tolist(), np.concatenate([[0], stop])[:-1].tolist(), stop.tolist(), strict=True):
+        out[d].append(b"".join(words[a:b]))
+    heads = np.searchsorted(owner, np.arange(len(texts))).tolist()
+    for d, text in enumerate(texts):
+        if text and heads[d] < len(owner) and owner[heads[d]] == d and (lead := _lead(text)) and not _LINE.search(lead):
+            out[d][0] = lead + out[d][0]
     return out
 
 
+def sentences(text: bytes, longest: int) -> list[bytes]:
+    """Pieces that concatenate to the text, cut as ``places`` says."""
+    return pieces_of([text], longest)[0]
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
 def runs(texts: list[bytes | None], least_words: int, longest: int):
     """Of a batch: text number, first and last sentence and hash of every run, as arrays."""
-    owner, place, name, size = [], [], [], []
-    for d, text in enumerate(texts):
-        for k, piece in enumerate(sentences(text, longest) if text else []):
-            if words := piece.lower().split():
-                owner.append(d)
-                place.append(k)
-                name.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                size.append(len(words))
-    n = len(owner)
-    owner, place = np.array(owner, np.int64), np.array(place, np.int64)
-    total = np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
-    one = np.ones(1, np.uint64)
-    weight = np.cumprod(np.concatenate([one, np.full(n, _STEP, np.uint64)]))
-    unweight = np.cumprod(np.concatenate([one, np.full(n, _BACK, np.uint64)]))
-    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(name, np.uint64) * weight[:n])])
+    _, word, owner, last = places(texts, longest)
+    # a piece's name: its words' hashes, weighed by their places in it
+    stop = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], stop])[:-1].astype(np.int64)
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * _powers(len(word), _STEP)[:-1])])
+    name = mixed((summed[stop] - summed[start]) * _powers(len(word), _BACK)[start] + (stop - start).astype(np.uint64))
+    owner, size, n = owner[start], stop - start, len(start)
+    blank = np.array([bool(t and (lead := _lead(t)) and _LINE.search(lead)) for t in texts], np.int64)
+    place = np.arange(n) - np.searchsorted(owner, owner) + blank[owner]
+    total = np.concatenate([[0], np.cumsum(size)])
+    weight, unweight = _powers(n, _STEP), _powers(n, _BACK)
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * weight[:n])])
     start = np.arange(n)
     stop = np.maximum(np.searchsorted(total, total[:-1] + least_words), start + 2)  # exclusive
     ok = stop <= n
@@ -96,8 +141,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` with repeated spans cut out of the text, and n_sentences, n_removed, removed.
 
     ``removed`` lists the texts cut out.  A run has two sentences and ``least_words`` words at
-    least; sentences of over ``longest`` words count as several.  Case and white space between words do
-    not matter.  Null texts stay null, empty ones empty, with 0 sentences.  A row without id keeps
+    least; sentences of over ``longest * 3 // 8`` words count as several.  Any passage of more than
+    ``2 * longest`` words that stands at an earlier place loses a run, whatever stands around it
+    (at 15 and 24); up to three pieces at either end of it may stay.  Case and white space between words do not matter,
+    but line ends end sentences.  Null texts stay null, empty ones empty, with 0 sentences.  A row without id keeps
     its text and is no one's first place.  Rows that repeat an id at the same place keep the
     passage together.  All columns are kept; three of them, if so named, give way to the new ones.
     """
@@ -115,9 +162,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def cut(batches):
             for batch in batches:
                 texts, counts, gone, lost = [], [], [], []
-                for text, first, last in zip(as_bytes(batch.column(at_text)), batch.column("_llm_first").to_pylist(),
-                                             batch.column("_llm_last").to_pylist(), strict=True):
-                    pieces = sentences(text, longest) if text else []
+                bodies = as_bytes(batch.column(at_text))
+                for text, pieces, first, last in zip(bodies, pieces_of(bodies, longest), batch.column("_llm_first").to_pylist(),
+                                                     batch.column("_llm_last").to_pylist(), strict=True):
                     drop = np.zeros(len(pieces) + 1, np.int64)
                     np.add.at(drop, first or [], 1)
                     np.add.at(drop, [k + 1 for k in last or []], -1)

@@ -65,3 +65,21 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted(((r.doc_id, r.n_removed) for r in substring_dedup(frame).collect()), key=str)
     assert got == sorted([(1, 0), (1, 0), (2, 2), (None, 0)], key=str)
     assert substring_dedup(frame.limit(0)).count() == 0
+
+
+def test_repeated_passages_of_50_words_are_found_wherever_they_stand(spark):
+    """Plain search that does not use sentences(): passages inside longer sentences, with lead-ins of other lengths."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, planted = [], {}
+    for k in range(60):
+        passage = [word() + rng.choice(["", "", "", "", "", "", "", "", ",", "."]) for _ in range(50)]
+        for d in (k, 100 + k):
+            lead, tail = ([word() for _ in range(rng.randint(0, 30))] for _ in range(2))
+            rows.append((d, " ".join([*lead, *passage, *tail, "end."])))
+        planted[100 + k] = " ".join(passage)
+    got = {r.doc_id: r for r in substring_dedup(docs_frame(spark, rows)).collect()}
+    whole = {d for d, p in planted.items() if len(got[d].removed) != 1 or got[d].removed[0].strip() not in p
+             or len(got[d].removed[0].split()) < 15}
+    assert not whole
+    assert all(got[d].text == t for d, t in rows if d < 100)
