@@ -4,9 +4,11 @@ Distances count words inserted, deleted or replaced.  From every word of a text,
 an item's size is walked at random: at step j the walk reads the word under it and moves on if
 a fixed random bit of (j, word) says so.  Equal steps of two walks tell a small edit distance,
 so windows and items that agree at a few sampled steps form a candidate; the sampling is
-repeated until the chance to miss an item is small.  Candidates are verified by the exact
-edit distance.  Windows that hold too few of the items' word pairs to be within the distance
-(an edit breaks two pairs at most) are left out before the walks.
+repeated.  Candidates are verified by the exact edit distance.  Windows that hold too few of
+the items' word pairs to be within the distance (an edit breaks two pairs at most) are left out
+before the walks.  Near the distance walks meet too seldom, above all after deletions, so every
+window that holds enough pairs of one item is a candidate too: m words within e edits keep
+m - 1 - 2 e of the item's pairs, so that none is missed.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return words_of(text.translate(None, PUNCTUATION)) if text else []
 
 
-def edit_distance(masks: dict[int, int], m: int, text: np.ndarray) -> tuple[int, int]:
+def edit_distance(masks: dict[int, int], m: int, text: np.ndarray, anywhere: bool = False) -> tuple[int, int]:
     """(distance, end): the prefix of ``text`` nearest to a pattern of m symbols, by bit-parallel columns.
 
-    ``masks`` has the positions of each symbol in the pattern as bits.
+    ``masks`` has the positions of each symbol in the pattern as bits.  With ``anywhere`` the nearest
+    passage may begin behind the start of ``text``.
     """
+    open_start = 0 if anywhere else 1
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     best, end = m, 0
@@ -49,7 +53,7 @@ def edit_distance(masks: dict[int, int], m: int, text: np.ndarray) -> tuple[int,
         d0 = (((x & up) + up) ^ up) | x
         plus, minus = down | (~(d0 | up) & full), d0 & up
         score += 1 if plus & top else -1 if minus & top else 0
-        plus = (plus << 1 | 1) & full
+        plus = (plus << 1 | open_start) & full
         up, down = (minus << 1 & full) | (~(d0 | plus) & full), plus & d0
         if score < best:
             best, end = score, k
@@ -73,6 +77,10 @@ class Index:
         self.pairs = np.zeros(_SLOTS, bool)
         for _, s in self.items:
             self.pairs[self.pair_slots(s)] = True
+        self.single: dict[int, list[int]] = defaultdict(list)
+        for k, (_, s) in enumerate(self.items):
+            if len(s) == 1:
+                self.single[int(s[0])].append(k)
         self.classes = []
         order = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
         while order:
@@ -90,7 +98,47 @@ class Index:
                     key = self.walk(s, np.zeros(1, np.int64), np.full(1, len(s)), steps, r)
                     table[tuple(key[:, 0].tolist())].append(k)
                 tables.append((steps, dict(table)))
-            self.classes.append((size, spare, tables))
+            self.classes.append((size, spare, tables, *self.postings(inside)))
+
+    def postings(self, inside: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pair slots, sorted, and the item of each, of the items whose least number of kept pairs is positive."""
+        least = {k: len(self.items[k][1]) - 1 - 2 * self.edits[k] for k in inside}
+        slots = [(k, np.unique(self.pair_slots(self.items[k][1]))) for k in inside if least[k] > 0]
+        slot = np.concatenate([np.empty(0, np.int64), *(x for _, x in slots)])
+        item = np.repeat(np.array([k for k, _ in slots], np.int64), [len(x) for _, x in slots])
+        order = np.argsort(slot, kind="stable")
+        return slot[order], item[order]
+
+    def counted(self, slots: np.ndarray, start: np.ndarray, stop: np.ndarray, slot: np.ndarray, item: np.ndarray):
+        """(start, item) of every window that holds the least number of pairs of an item of the class.
+
+        ``start`` has the windows left of the class; only what lies in them is looked up.
+        """
+        longest = max((len(self.items[k][1]) for k in np.unique(item).tolist()), default=0)
+        if not longest:
+            return
+        near = np.zeros(len(stop) + 1, np.int64)
+        near[start] += 1
+        np.subtract.at(near, np.minimum(start + longest, len(stop)), 1)
+        at = np.flatnonzero((np.cumsum(near)[:len(slots)] > 0) & (slots >= 0))
+        low, high = np.searchsorted(slot, slots[at]), np.searchsorted(slot, slots[at], side="right")
+        times = high - low
+        place = np.repeat(at, times)
+        found = item[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(len(place))]
+        order = np.lexsort((place, found))
+        place, found = place[order], found[order]
+        size = np.array([len(s) for _, s in self.items], np.int64)[found]
+        last = np.arange(len(found)) + size - 2 - 2 * np.array(self.edits, np.int64)[found]
+        ok = last < len(found)
+        ok[ok] &= found[last[ok]] == found[ok]
+        # of a window of the item's size: its first pair at the latest here, its last needed one at the earliest there
+        ok[ok] &= place[last[ok]] - place[ok] <= size[ok] - 2
+        first, reach, found = place[ok], place[last[ok]] - size[ok] + 2, found[ok]
+        many = first - reach + 1
+        begin = np.repeat(reach - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        first, found = np.repeat(first, many), np.repeat(found, many)
+        same = (begin >= 0) & (stop[np.maximum(begin, 0)] == stop[first])
+        yield from zip(begin[same].tolist(), found[same].tolist(), strict=True)
 
     def pair_slots(self, s: np.ndarray) -> np.ndarray:
         code = mixed(s[:-1].astype(np.uint64) * np.uint64(0x100000001B3) + s[1:].astype(np.uint64))
@@ -110,16 +158,19 @@ class Index:
         return np.array(read)
 
     def candidates(self, words: np.ndarray, stop: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that share a bucket; ``stop`` has the end of each word's text."""
+        """(start, item) pairs that share a bucket or enough word pairs; ``stop`` has the end of each word's text."""
         hit = np.zeros(len(words), np.int64)
         slots = self.pair_slots(words)
         hit[:-1] = (slots >= 0) & self.pairs[slots]
         summed = np.concatenate([[0], np.cumsum(hit)])
         found: set[tuple[int, int]] = set()
-        if not summed[-1]:
+        if self.single:
+            for s in np.flatnonzero(np.isin(words, list(self.single))).tolist():
+                found.update((s, k) for k in self.single[int(words[s])])
+        if not summed[-1] and all(size - 1 > 2 * spare for size, spare, *_ in self.classes if size > 1):
             return found
         place = np.arange(len(words))
-        for size, spare, tables in self.classes:
+        for size, spare, tables, slot, item in self.classes:
             pairs = summed[np.minimum(place + size - 1, stop - 1).clip(0)] - summed[:-1]
             start = np.flatnonzero((pairs >= size - 1 - 2 * spare) & (place + size - spare <= stop))
             if not len(start):
@@ -129,8 +180,20 @@ class Index:
                 for s, key in zip(start.tolist(), map(tuple, keys.T.tolist()), strict=True):
                     for k in table.get(key, ()):
                         found.add((s, k))
+            found.update(self.counted(slots, start, stop, slot, item))
         return found
 
+    def stretches(self, words: np.ndarray, stop: np.ndarray, owner: np.ndarray):
+        """Of each text and item the candidates as (first start, last start) of starts near each other."""
+        grouped: dict[tuple[int, int], list[list[int]]] = {}
+        for s, k in sorted(self.candidates(words, stop)):
+            spans = grouped.setdefault((int(owner[s]), k), [])
+            if spans and s - spans[-1][1] <= len(self.items[k][1]):
+                spans[-1][1] = s
+            else:
+                spans.append([s, s])
+        return grouped.items()
+
     def matches(self, texts: list[bytes | None]):
         """(text, item id, first word, words, distance): the best place of each item within its distance."""
         lists = [plain_words(t) for t in texts]
@@ -142,14 +205,20 @@ class Index:
         ends = np.cumsum(sizes)
         stop, owner = np.repeat(ends - 1, sizes), np.repeat(np.arange(len(lists)), sizes)
         best: dict[tuple[int, int], tuple] = {}
-        for s, k in sorted(self.candidates(words, stop)):
+        for (d, k), starts in self.stretches(words, stop, owner):
             m, most = len(self.items[k][1]), self.edits[k]
-            held = best.get((int(owner[s]), k))
-            if held and held[0] == 0:
-                continue
-            distance, end = edit_distance(self.masks[k], m, words[s:min(stop[s], s + m + most)])
-            if distance <= most and (held is None or distance < held[0]):
-                best[int(owner[s]), k] = (distance, s, end)
+            for first, last in starts:
+                held = best.get((d, k))
+                if held and held[0] == 0:
+                    break
+                # one search over all windows of the stretch, then the first start of the passage it found
+                distance, end = edit_distance(self.masks[k], m, words[first:min(stop[first], last + m + most)], True)
+                if distance > most or held and distance >= held[0]:
+                    continue
+                for s in range(max(first, first + end - m - distance), first + end - m + distance + 1):
+                    if (hit := edit_distance(self.masks[k], m, words[s:min(stop[s], s + m + most)]))[0] == distance:
+                        best[d, k] = (distance, s, hit[1])
+                        break
         for (d, k), (distance, s, end) in sorted(best.items()):
             yield d, self.items[k][0], int(s - (ends[d] - sizes[d])), end, distance
 
@@ -160,7 +229,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, first_word, n_words, distance): items found in documents, the best place of each.
 
     An item of m words is found where some passage is within floor(share * m) word edits; case and
-    punctuation do not count.  Null or empty texts and items match nothing.  Repeated rows give
+    punctuation do not count.  None is missed (recall 1) where
+    the m - 1 - 2 floor(share * m) pairs that must be left are at least one: at 0.2 from two words on, and
+    single words are looked up; with shares that leave none, walks alone find candidates.  Null or empty texts and items match nothing.  Repeated rows give
     repeated matches, null ids are carried along.  The items are read in passes of ITEMS_AT_ONCE,
     so what a task holds does not grow with their number.  Other columns are not read.
     """

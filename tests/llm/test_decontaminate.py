@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from llm.decontaminate import contaminated, decontaminate, edit_distance, plain_words
+from llm.decontaminate import Index, contaminated, decontaminate, edit_distance, plain_words
 from tests.llm.brute import docs_frame, edited, prose, word_distance
 
 ITEMS = "item_id long, text string, lang string"
@@ -64,3 +64,36 @@ def test_decontaminate_drops_only_contaminated_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {2, 3, None}
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == 4
+
+
+def test_nothing_is_missed_at_the_full_distance():
+    """Single deletions, one gap, one inserted block, substitutions and mixed edits of a fifth of the words."""
+    rng = random.Random(6)
+    fresh = lambda: f"x{rng.randrange(10**6)}"
+
+    def mixed_edits(words, e):
+        for _ in range(e):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at:at + (kind > 0)] = [] if kind == 1 else [fresh()]
+        return words
+
+    def block(words, e, at):
+        return words[:at] + [fresh() for _ in range(e)] + words[at:]
+
+    kinds = {
+        "deletions": lambda w, e: [w[k] for k in sorted(rng.sample(range(len(w)), len(w) - e))],
+        "substitutions": lambda w, e: [fresh() if k in chosen else x for chosen in [set(rng.sample(range(len(w)), e))] for k, x in enumerate(w)],
+        "gap": lambda w, e: (lambda a: w[:a] + w[a + e:])(rng.randrange(len(w) - e)),
+        "block": lambda w, e: block(w, e, rng.randrange(len(w))),
+        "mixed": lambda w, e: mixed_edits(list(w), e),
+    }
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(m)).encode()) for k, m in enumerate([1, 2, 5, 9, 16, 30, 40, 50, 59] * 3)]
+    index = Index(items, 0.2)
+    for kind, edit in kinds.items():
+        for i, text in items:
+            words = text.decode().split()
+            inner = edit(words, int(0.2 * len(words)))
+            lead, tail = ([fresh() for _ in range(n)] for n in (rng.randrange(40), rng.randrange(40)))
+            doc = " ".join([*lead, *inner, *tail]).encode()
+            hits = {h[1]: h[4] for h in index.matches([b"other words", doc, b""])}
+            assert i in hits and hits[i] <= int(0.2 * len(words)), (kind, i)
