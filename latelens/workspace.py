@@ -160,5 +160,5 @@ class Workspace:
 
     @cached_property
     def training(self) -> TrainingRun:
-        """Both families with few trees: the full grid takes hours of trees."""
-        return train_models(self.features, max_iter=5, regions=self.regions)
+        """Both families with the full grid, fitted once per session, as ``jobs.train`` does."""
+        return train_models(self.features, regions=self.regions)

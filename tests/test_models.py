@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from latelens import workspace as workspaces
 from latelens.ml import bundles, training
 from latelens.ml.baselines import MajorityBaseline, RuleBaseline
 from latelens.ml.evaluation import average_precision, threshold_curve
@@ -179,3 +180,12 @@ def test_candidate_grid_keeps_its_tree_counts(spark):
     assert [label for label, _ in grid[training.LINEAR]] == ["lr_C1.0", "lr_C0.3"]
     assert [e.getMaxIter() for _, e in grid[training.BOOSTED]] == [300, 350]
     assert all(isinstance(e, LogisticRegression) for _, e in grid[training.LINEAR])
+
+
+def test_registered_queries_train_the_full_grid(monkeypatch):
+    asked = []
+    monkeypatch.setattr(workspaces, "train_models", lambda features, max_iter=None, regions=None: asked.append(max_iter))
+    monkeypatch.setattr(workspaces.Workspace, "features", None)
+    monkeypatch.setattr(workspaces.Workspace, "regions", None)
+    workspaces.Workspace(None, FOLDER).training  # noqa: B018
+    assert asked == [None]
