@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from llm import twins
 from llm.decontaminate import contaminated
 from llm.embedding_neardup import embedding_neardup
+from llm.filter_audit import filter_audit
 from llm.html_text import extract_text
+from llm.importance_resampling import resampling_table
 from llm.language_id import identify
 from llm.license_scan import license_scan
 from llm.mixing import mix
@@ -17,6 +19,7 @@ from llm.ngram_jaccard import ngram_jaccard_join
 from llm.substring_dedup import substring_dedup
 from llm.token_count import token_counts
 from llm.toxicity import toxicity
+from llm.warc import archived
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,8 +66,22 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling_table(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = (op1_token_counts, op2_decontamination, op3_embedding_neardup, op4_license_scan, op5_ngram_jaccard_join,
-           op6_html_extraction, op7_language_id, op8_mixing_sources, op9_substring_dedup, op10_toxicity)
+           op6_html_extraction, op7_language_id, op8_mixing_sources, op9_substring_dedup, op10_toxicity,
+           op11_importance_resampling, op12_warc, op13_filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_neardup": twins.OP3, "op5_ngram_jaccard_join": twins.OP5}
+    return {"op3_embedding_neardup": twins.OP3, "op5_ngram_jaccard_join": twins.OP5, "op11_importance_resampling": twins.OP11,
+            "op12_warc": twins.OP12, "op13_filter_audit": twins.OP13}
