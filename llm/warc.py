@@ -143,14 +143,15 @@ class Blocks:
 
 def member(blocks: Blocks, start: int) -> tuple[dict | None, int]:
     """The record that begins at ``start`` and the offset behind it; no record: (None, start + 1)."""
-    inflate, known, at = zlib.decompressobj(31), False, start
-    piece = blocks.piece(at)
+    inflate, known, at, begun = zlib.decompressobj(31), False, start, b""
     try:
-        begun = inflate.decompress(piece, 64)  # no more than tells whether this is a record
+        # No more than tells whether this is a record; a block may end anywhere in its first bytes.
+        while len(begun) < 7 and not inflate.eof and (piece := blocks.piece(at)):
+            begun += inflate.decompress(piece, 64)
+            at += len(piece)
         known = begun.startswith(b"WARC/1.")
         if not known:
             return None, start + 1
-        at += len(piece)
         out = [begun, inflate.decompress(inflate.unconsumed_tail)]
         while not inflate.eof and (piece := blocks.piece(at)):
             out.append(inflate.decompress(piece))

@@ -70,6 +70,15 @@ def test_every_cut_gives_each_record_once():
         assert parts == whole
 
 
+@pytest.mark.parametrize("block", [*range(3, 40), 64, 101, 500])
+def test_blocks_may_end_anywhere(monkeypatch, block):
+    data = b"".join(member(k, s) for k, s in enumerate([0, 1, 30, 500, 5, 90]))
+    whole = list(records(pa.BufferReader(data), 0, len(data)))
+    assert len(whole) == 6
+    monkeypatch.setattr("llm.warc.BLOCK", block)
+    assert list(records(pa.BufferReader(data), 0, len(data))) == whole
+
+
 def test_magic_inside_data_and_across_blocks():
     lure = b"\x1f\x8b\x08" * 50 + zlib.compressobj(wbits=31).flush() + gzip.compress(b"no record at all")
     data = lure + member(1, 20) + lure + b"\x00" * (BLOCK - 2 * len(lure) - len(member(1, 20)) - 1) + member(2, 30)
