@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import optional_column
+from latelens.ml.boosting import BoostedModel
 from latelens.ml.preprocess import Preprocessor
 from latelens.ml.training import BOOSTED, LINEAR, TrainingRun, positive_probability
 from latelens.schemas import (
@@ -21,7 +22,10 @@ from latelens.schemas import (
     NUMERIC_FEATURES,
 )
 
-_KINDS = {LINEAR: LogisticRegressionModel, BOOSTED: GBTClassificationModel}
+_LOADERS = {
+    LINEAR: lambda spark, path: LogisticRegressionModel.load(path),
+    BOOSTED: BoostedModel.load,
+}
 
 _METRIC = (
     "struct<pr_auc:double,roc_auc:double,f1:double,precision:double,recall:double,brier:double,"
@@ -91,13 +95,16 @@ def bundle_of(run: TrainingRun) -> ModelBundle:
 
 def save_bundle(spark: SparkSession, bundle: ModelBundle, path: str) -> None:
     bundle.preprocessor.save(spark, f"{path}/preprocessor")
-    bundle.model.write().overwrite().save(f"{path}/model")
+    if isinstance(bundle.model, BoostedModel):
+        bundle.model.save(spark, f"{path}/model")
+    else:
+        bundle.model.write().overwrite().save(f"{path}/model")
     _write_json(spark, bundle.metadata, f"{path}/metadata")
 
 
 def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
     metadata = _read_json(spark, f"{path}/metadata")
-    model = _KINDS[metadata["nombre_modelo"]].load(f"{path}/model")
+    model = _LOADERS[metadata["nombre_modelo"]](spark, f"{path}/model")
     return ModelBundle(Preprocessor.load(spark, f"{path}/preprocessor"), model, metadata)
 
 

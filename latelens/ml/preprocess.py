@@ -94,6 +94,16 @@ class Preprocessor:
             names += [f"cat__{c}_{v}" for v in values] + ([f"cat__{c}_infrequent"] if c in with_rare else [])
         return cls(numbers, modes, kept, {c: c in with_rare for c in kept}, names, rare)
 
+    def groups(self) -> list[tuple[int, int]]:
+        """(first place, length) of each category column's indicators in the vector."""
+        out, place = [], len(self.numbers)
+        for c, values in self.kept.items():
+            size = len(values) + self.has_rare[c]
+            if size:
+                out.append((place, size))
+            place += size
+        return out
+
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add the feature vector; only columns with rare levels need a (small) lookup."""
         columns = []

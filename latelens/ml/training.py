@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latelens.ml.baselines import MajorityBaseline, RuleBaseline
+from latelens.ml.boosting import BoostedModel, BoostedTrees
 from latelens.ml.evaluation import (
     METRICS,
     best_f1_threshold,
@@ -26,7 +27,7 @@ from latelens.ml.evaluation import (
     threshold_curve,
 )
 from latelens.ml.preprocess import Preprocessor
-from latelens.operators.staging import ensure_checkpoint_dir, stage
+from latelens.operators.staging import stage
 from latelens.schemas import FEATURES, LATE_LABEL, RECALL_TARGET
 from latelens.sources.guards import forbid_late_knowledge, require_columns
 
@@ -37,10 +38,8 @@ MAJORITY, RULE = "baseline_mayoritaria", "baseline_regla"
 # The candidate grid.
 LINEAR_GRID = [("lr_C1.0", 1.0), ("lr_C0.3", 0.3)]
 BOOSTED_GRID = [
-    ("gbt_d4", {"maxDepth": 4, "maxIter": 300, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9",
-                "minInstancesPerNode": 5}),
-    ("gbt_d6", {"maxDepth": 6, "maxIter": 350, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
-                "minInstancesPerNode": 10}),
+    ("gbt_d4", {"rounds": 300, "depth": 4, "penalty": 2.0, "least_hessian": 5.0, "row_share": 0.9, "column_share": 0.9}),
+    ("gbt_d6", {"rounds": 350, "depth": 6, "penalty": 5.0, "least_hessian": 10.0, "row_share": 0.8, "column_share": 0.8}),
 ]
 
 
@@ -66,12 +65,13 @@ def class_weights(train: DataFrame) -> DataFrame:
     )
 
 
-def candidates(rows: int, max_iter: int | None = None) -> dict[str, list[tuple[str, object]]]:
+def candidates(
+    rows: int, max_iter: int | None = None, groups: list[tuple[int, int]] | None = None
+) -> dict[str, list[tuple[str, object]]]:
     """Estimators per family; the first of a family is its default.
 
-    The linear penalty is given per row, so 1/(C n).  Boosted trees have no exact
-    counterpart for leaf penalties; depth, shrinkage, sampling and leaf size are set.
-    ``max_iter`` caps the number of trees for quick runs.
+    The linear penalty is given per row, so 1/(C n).  ``groups`` are the runs of indicators in the
+    feature vector of which at most one is set.  ``max_iter`` caps the number of trees for quick runs.
     """
     linear = [
         (name, LogisticRegression(
@@ -82,11 +82,9 @@ def candidates(rows: int, max_iter: int | None = None) -> dict[str, list[tuple[s
     ]
     boosted = []
     for name, knobs in BOOSTED_GRID:
-        knobs = dict(knobs, maxIter=min(knobs["maxIter"], max_iter or knobs["maxIter"]))
-        boosted.append((name, GBTClassifier(
-            labelCol=LATE_LABEL, weightCol="pos_weight", stepSize=0.05, maxBins=256, seed=SEED,
-            cacheNodeIds=True, checkpointInterval=10, **knobs,
-        )))
+        knobs = dict(knobs, rounds=min(knobs["rounds"], max_iter or knobs["rounds"]))
+        boosted.append((name, BoostedTrees(
+            label=LATE_LABEL, weight="pos_weight", key="order_id", rate=0.05, seed=SEED, groups=groups or [], **knobs)))
     return {LINEAR: linear, BOOSTED: boosted}
 
 
@@ -95,6 +93,8 @@ def default_models(rows: int, max_iter: int | None = None) -> dict[str, object]:
 
 
 def positive_probability(model, prepared: DataFrame) -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.score(prepared)
     return model.transform(prepared).withColumn("score", vector_to_array("probability")[1])
 
 
@@ -110,9 +110,9 @@ def prepare(pre: Preprocessor, features: DataFrame, weights) -> DataFrame:
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
-    """Tree gain or absolute coefficient per output feature, largest first."""
-    if hasattr(model, "featureImportances"):
-        values = [float(v) for v in model.featureImportances.toArray()]
+    """Mean gain or absolute coefficient per output feature, largest first."""
+    if isinstance(model, BoostedModel):
+        values = model.importances().tolist()
     elif hasattr(model, "coefficients"):
         values = [abs(float(v)) for v in model.coefficients.toArray()]
     else:
@@ -160,7 +160,6 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
 
     All models of a step are evaluated together, from one curve grouped by model.
     """
-    ensure_checkpoint_dir(features.sparkSession)
     parts = split_parts(features)
     weights = class_weights(parts["train"]).first()
     pre = Preprocessor.fit(parts["train"])
@@ -168,7 +167,7 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
     ready = {name: vectors.where(F.col("split") == name) for name in parts}
 
     baselines = {MAJORITY: MajorityBaseline.fit(parts["train"]), RULE: RuleBaseline.fit(parts["train"])}
-    grid = candidates(weights["n"], max_iter)
+    grid = candidates(weights["n"], max_iter, pre.groups())
     fitted = {label: estimator.fit(ready["train"]) for family in grid.values() for label, estimator in family}
 
     # Validation: candidates, thresholds, selection.

@@ -178,7 +178,7 @@ def test_importance_share():
 def test_candidate_grid_keeps_its_tree_counts(spark):
     grid = training.candidates(1000)
     assert [label for label, _ in grid[training.LINEAR]] == ["lr_C1.0", "lr_C0.3"]
-    assert [e.getMaxIter() for _, e in grid[training.BOOSTED]] == [300, 350]
+    assert [e.rounds for _, e in grid[training.BOOSTED]] == [300, 350]
     assert all(isinstance(e, LogisticRegression) for _, e in grid[training.LINEAR])
 
 
