@@ -14,30 +14,27 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latelens.operators.quantiles import exact_quantiles
+from latelens.operators.quantiles import long_form, medians_of
 from latelens.operators.staging import stage
 from latelens.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 MIN_FREQUENCY = 0.01  # so a column keeps at most 100 levels of its own
 
 
-def long_form(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in columns
-    ])
-    return df.select(F.inline(cells))
-
-
 def numeric_profile(train: DataFrame, columns: list[str] = NUMERIC_FEATURES) -> DataFrame:
     """Per numeric column: exact median, then mean and deviation of the filled values."""
-    long = stage(long_form(train, columns, "double"), "numbers")
-    medians = stage(exact_quantiles(long, "value", [0.5], ["column_name"], ["median"]).drop("n"), "medians")
-    filled = long.join(F.broadcast(medians), "column_name")  # one row per numeric column
-    return filled.groupBy("column_name").agg(
-        F.first("median").alias("median"),
-        F.avg(F.coalesce("value", "median")).alias("mean"),
-        F.stddev_pop(F.coalesce("value", "median")).alias("deviation"),
+    medians = stage(medians_of(train, columns, [f"__m_{c}" for c in columns]), "medians")
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}
+    one = train.crossJoin(F.broadcast(medians)).agg(  # one row
+        *[F.first(f"__m_{c}").alias(f"__m_{c}") for c in columns],
+        *[F.avg(v).alias(f"__a_{c}") for c, v in filled.items()],
+        *[F.stddev_pop(v).alias(f"__d_{c}") for c, v in filled.items()],
     )
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"__m_{c}").alias("median"), F.col(f"__a_{c}").alias("mean"),
+                 F.col(f"__d_{c}").alias("deviation")) for c in columns
+    ])
+    return one.select(F.inline(cells)).where("median is not null")  # a column without any value has none
 
 
 def category_levels(

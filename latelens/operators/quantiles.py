@@ -52,10 +52,11 @@ def exact_quantiles(
 
 def _edges(base: DataFrame, probabilities: list[float], by: list[str], accuracy: int, margin: float) -> DataFrame:
     """Per group: its size, the values on both sides of each rank, and whether a bracket missed one."""
-    tally = _bracketed_tally(base, probabilities, by, accuracy, margin)
+    brackets = _brackets(base, probabilities, by, accuracy, margin)
+    tally = _bracketed_tally(base, brackets, probabilities, by)
     order = ["__begun", F.col("__v").asc_nulls_last()]
     before = ordered.running_totals(tally, by, order, {"__before": "__c"})
-    sizes = tally.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    sizes = brackets.select(*by, "__n")
     counted = before.join(sizes, by) if by else before.crossJoin(F.broadcast(sizes))  # one row
     picks, missed = [], F.lit(False)
     for i, p in enumerate(probabilities):
@@ -67,11 +68,11 @@ def _edges(base: DataFrame, probabilities: list[float], by: list[str], accuracy:
     return counted.groupBy(*by).agg(F.max("__n").alias("__n"), F.max(missed).alias("__missed"), *picks)
 
 
-def _bracketed_tally(
-    base: DataFrame, probabilities: list[float], by: list[str], accuracy: int, margin: float
-) -> DataFrame:
-    """Counts per (brackets begun, value if bracketed), in value order, staged."""
-    # Pass 1: a sketch per group; small groups are bracketed by their extremes.
+def _brackets(base: DataFrame, probabilities: list[float], by: list[str], accuracy: int, margin: float) -> DataFrame:
+    """First pass, staged: per group its size and, from a sketch, bounds around each rank.
+
+    Small groups are bracketed by their extremes.
+    """
     points = [min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-margin, margin)]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -85,19 +86,34 @@ def _bracketed_tally(
         low = F.col("__min") if p <= margin else F.when(small, F.col("__min")).otherwise(F.col("__p")[2 * i])
         high = F.col("__max") if p >= 1 - margin else F.when(small, F.col("__max")).otherwise(F.col("__p")[2 * i + 1])
         bounds += [low.alias(f"__lo{i}"), high.alias(f"__hi{i}")]
-    brackets = stage(sketch.select(*by, *bounds), "brackets")
+    return stage(sketch.select(*by, "__n", *bounds), "brackets")
 
-    # Pass 2: between brackets only a count survives.
+
+def _bracketed_tally(base: DataFrame, brackets: DataFrame, probabilities: list[float], by: list[str]) -> DataFrame:
+    """Second pass: counts per (brackets begun, value if bracketed); between brackets only a count survives."""
     joined = base.join(brackets, by) if by else base.crossJoin(F.broadcast(brackets))  # one row
     inside, begun = F.lit(False), F.lit(0)
     for i in range(len(probabilities)):
         inside = inside | F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
         begun = begun + (F.col("__v") >= F.col(f"__lo{i}")).cast("int")
-    return stage(
-        joined.groupBy(*by, begun.alias("__begun"), F.when(inside, F.col("__v")).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c")),
-        "tally",
-    )
+    return joined.groupBy(*by, begun.alias("__begun"), F.when(inside, F.col("__v")).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"))
+
+
+def long_form(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(column_name, value), one row per cell; to be counted or sketched, not to be stored."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in columns
+    ])
+    return df.select(F.inline(cells))
+
+
+def medians_of(df: DataFrame, columns: list[str], names: list[str] | None = None) -> DataFrame:
+    """One row: the exact medians of several columns, from one sketch pass and one exact pass over all of them."""
+    found = exact_quantiles(long_form(df, columns, "double"), "value", [0.5], ["column_name"], ["median"])
+    return found.agg(*[
+        F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(n) for c, n in zip(columns, names or columns, strict=True)
+    ])
 
 
 def median_by(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:

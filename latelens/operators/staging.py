@@ -59,18 +59,15 @@ def staged_until_done(spark: SparkSession) -> Iterator[None]:
             fs.delete(path, True)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Iterative Spark ML estimators cut their lineage in the same folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(staging_folder(spark) + "/checkpoints")
+def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+    """Materialise a frame once; the result is a plain Parquet scan.
 
-
-def stage(df: DataFrame, label: str = "table") -> DataFrame:
-    """Materialise a frame once; the result is a plain Parquet scan."""
+    With ``partition_by``, the last columns, a filter on them reads and sizes only its own files.
+    """
     path = f"{staging_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

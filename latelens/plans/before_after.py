@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latelens.functions.expressions import any_null, percent, ratio
 from latelens.operators.keyed import first_non_null, frequency
-from latelens.operators.quantiles import median_by, with_quantile_bin
+from latelens.operators.quantiles import medians_of, with_quantile_bin
 from latelens.schemas import CLASS_ORDER
 
 def late_rate() -> Column:
@@ -49,9 +49,8 @@ def label_medians(features: DataFrame) -> DataFrame:
     out = features.agg(
         F.avg("dias_vs_promesa").alias("dias_vs_promesa_mean"), F.avg("dias_entrega_real").alias("dias_entrega_real_mean")
     )
-    for c in ("dias_vs_promesa", "dias_entrega_real"):
-        out = out.crossJoin(median_by(features, c, name=f"{c}_median"))
-    return out
+    days = ["dias_vs_promesa", "dias_entrega_real"]
+    return out.crossJoin(F.broadcast(medians_of(features, days, [f"{c}_median" for c in days])))  # one row each
 
 
 def regional_gradient(features: DataFrame, more_than: int = 200) -> DataFrame:

@@ -24,7 +24,7 @@ from latelens.functions.expressions import (
 )
 from latelens.operators.keyed import first_per_key, frequency, latest_per_key, null_profile, orphans
 from latelens.operators.ordered import rolling_means, running_totals
-from latelens.operators.quantiles import exact_quantiles, median_by, with_quantile_bin
+from latelens.operators.quantiles import exact_quantiles, median_by, medians_of, with_quantile_bin
 from latelens.operators.staging import stage
 
 PURCHASE, CARRIER, DELIVERY, PROMISE = (
@@ -220,9 +220,7 @@ def promise_cushion(cushioned: DataFrame) -> DataFrame:
         *[F.avg(c).alias(f"{c}_mean") for c in names],
         percent(F.avg((F.col("cushion") < 0).cast("double"))).alias("short_pct"),
     )
-    for c in names:
-        out = out.crossJoin(median_by(cushioned, c, name=f"{c}_median"))
-    return out
+    return out.crossJoin(F.broadcast(medians_of(cushioned, names, [f"{c}_median" for c in names])))  # one row each
 
 
 def cushion_by_state(cushioned: DataFrame, min_orders: int = 200) -> DataFrame:
@@ -500,57 +498,47 @@ def feature_coverage(matrix: DataFrame) -> DataFrame:
 def spearman_matrix(matrix: DataFrame, columns: list[str] = MATRIX_COLUMNS) -> DataFrame:
     """Rank correlation of every pair of columns over the rows that have both.
 
-    Ranks of a column depend on which rows its partner lacks, so each pair is ranked on
-    its own rows: count per distinct value, running totals over the values, average rank
-    of ties.  Squares come from the value counts alone.  For the product, rows merged by
-    their pair of values get the rank on the side with more distinct values and are then
-    summed per value of the other side, so that a two-valued column never is a join key
-    of many rows.
+    Ranks of a column depend on which rows its partner lacks.  One count per (column, value) therefore
+    has a field per partner, with the rows that have the partner too; running totals over a column's
+    values turn all fields into mean ranks at once.  Each value then looks up its ranks, and a single
+    aggregate over the rows sums the products of all pairs.  Rows are copied once per column for the
+    counts, where equal values meet before the shuffle, and never per pair.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    sizes = matrix.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    narrow_wide = [sorted(pair, key=lambda c: sizes[c]) for pair in pairs]
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(narrow_wide)
-    ])
-    joint = stage(
-        matrix.select(F.inline(cells)).where("x is not null and y is not null")
-        .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")),
-        "pairs",
-    )
-    sides = F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"))
-    )
-    values = stage(
-        joint.select("pair", "w", F.inline(sides)).groupBy("pair", "side", "v").agg(F.sum("w").alias("ties")),
-        "values",
-    )
+    places = range(len(columns))
+    pairs = [(i, j) for i in places for j in places if i < j]
+    wide = matrix.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
+    has = [F.col(f"__v{i}").isNotNull().cast("int") for i in places]
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"__v{i}").alias("v")) for i in places])
+    values = (
+        wide.select(*[h.alias(f"__h{j}") for j, h in enumerate(has)], F.inline(cells)).where("v is not null")
+        .groupBy("column", "v").agg(*[F.sum(f"__h{j}").alias(f"n{j}") for j in places])
+    )
+    totals = running_totals(values, ["column"], ["v"], {f"below{j}": f"n{j}" for j in places})
     ranked = stage(
-        running_totals(values, ["pair", "side"], ["v"], {"below": "ties"})
-        .select("pair", "side", "v", "ties", (F.col("below") + (F.col("ties") + 1) / 2).alias("rank")),
-        "ranks",
-    )
-
-    def ranks(side):
-        return ranked.where(F.col("side") == side).select("pair", F.col("v").alias(side), F.col("rank").alias(f"r{side}"))
-
-    per_x = joint.join(ranks("y"), ["pair", "y"]).groupBy("pair", "x").agg(F.sum(F.col("w") * F.col("ry")).alias("sy"))
-    products = per_x.join(ranks("x"), ["pair", "x"]).groupBy("pair").agg(F.sum(F.col("sy") * F.col("rx")).alias("xy"))
-
-    def squares(side):
-        return F.sum(F.when(F.col("side") == side, F.col("ties") * F.col("rank") * F.col("rank")))
-
-    sums = ranked.groupBy("pair").agg(
-        F.sum(F.when(F.col("side") == "x", F.col("ties"))).alias("n"), squares("x").alias("xx"), squares("y").alias("yy")
-    ).join(products, "pair")
+        totals.select("v", *[f"n{j}" for j in places],
+                      *[(F.col(f"below{j}") + (F.col(f"n{j}") + 1) / 2).alias(f"r{j}") for j in places], "column"),
+        "ranks", partition_by=["column"],
+    )
+    # Sums over one column's ranks need no row: ties and ranks are enough.
+    own = ranked.groupBy("column").agg(
+        *[F.sum(f"n{j}").alias(f"n{j}") for j in places],
+        *[F.sum(F.col(f"n{j}") * F.col(f"r{j}") * F.col(f"r{j}")).alias(f"s{j}") for j in places],
+    )
+    looked_up = wide
+    for i in places:
+        ranks = ranked.where(F.col("column") == i).select(
+            F.col("v").alias(f"__v{i}"), *[F.col(f"r{j}").alias(f"__r{i}_{j}") for j in places if j != i])
+        looked_up = looked_up.join(ranks, f"__v{i}", "left")
+    products = looked_up.agg(*[F.sum(F.col(f"__r{i}_{j}") * F.col(f"__r{j}_{i}")).alias(f"xy{i}_{j}") for i, j in pairs])
+    sums = own.agg(*[  # one row per column
+        F.max(F.when(F.col("column") == i, F.col(f"{f}{j}"))).alias(f"{f}{i}_{j}") for f in ("n", "s") for i in places for j in places
+    ]).crossJoin(F.broadcast(products))
+    rows = F.array(*[
+        F.struct(F.lit(columns[i]).alias("left_column"), F.lit(columns[j]).alias("right_column"), F.col(f"n{i}_{j}").alias("n"),
+                 F.col(f"s{i}_{j}").alias("xx"), F.col(f"s{j}_{i}").alias("yy"), F.col(f"xy{i}_{j}").alias("xy"))
+        for i, j in pairs
+    ])
     # Mean ranks are (n + 1) / 2, known without another pass.
     mean2 = F.col("n") * F.pow((F.col("n") + 1) / 2, 2)
     rho = ratio(F.col("xy") - mean2, F.sqrt((F.col("xx") - mean2) * (F.col("yy") - mean2)))
-    names = [F.lit(a) for a, _ in pairs], [F.lit(b) for _, b in pairs]
-    return sums.select(
-        F.element_at(F.array(*names[0]), F.col("pair") + 1).alias("left_column"),
-        F.element_at(F.array(*names[1]), F.col("pair") + 1).alias("right_column"),
-        "n",
-        rho.alias("rho"),
-    )
+    return sums.select(F.inline(rows)).where("n > 0").select("left_column", "right_column", "n", rho.alias("rho"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import (
@@ -309,27 +309,35 @@ def audit_seller_rate(
     """Recompute the seller rate of sampled orders straight from the orders before them.
 
     One row per sampled order that has a history: expected and stored rate and whether
-    they agree.  The sample (at most n rows) is sent to the orders, never the reverse.
+    they agree.  A seller's sampled orders are points on the seller's time line.  The points (at most
+    n) go to the orders; every order of such a seller is read once, finds the stretch between two
+    points it lies in, and is counted there.  Totals over the stretches before a point, at
+    most n + 1 in all, then give its history, however many orders a seller has.
     """
     sample = hash_sample(orders.where("sin_historial_vendedor = 0"), "order_id", n).select(
-        F.col("order_id").alias("audited_order"),
         F.col("seller_id").alias("__seller"),
-        F.struct(*TIME_ORDER).alias("__key"),
-        F.col("tasa_vendedor").alias("stored_rate"),
+        F.struct(F.struct(*TIME_ORDER).alias("key"), F.col("order_id").alias("audited_order"),
+                 F.col("tasa_vendedor").alias("stored_rate")).alias("__point"),
     )
-    sample = stage(sample, "audit_sample")
-    earlier = (F.col("seller_id") == F.col("__seller")) & (F.struct(*TIME_ORDER) < F.col("__key"))
-    recomputed = (
+    points = stage(sample.groupBy("__seller").agg(F.sort_array(F.collect_list("__point")).alias("__points")), "audit_points")
+    key = F.struct(*TIME_ORDER)
+    stretch = F.size(F.filter("__points", lambda p: p["key"] <= key))
+    counted = (
         orders.select("seller_id", *TIME_ORDER, "entrega_tarde")
-        .join(F.broadcast(sample), earlier)
-        .groupBy("audited_order")
-        .agg(
-            F.count(F.lit(1)).alias("prior_orders"),
-            F.avg("entrega_tarde").alias("expected_rate"),
-            F.first("stored_rate").alias("stored_rate"),
-        )
+        .join(F.broadcast(points), F.col("seller_id") == F.col("__seller"))  # at most n rows
+        .withColumn("__at", stretch)
+        .where(F.col("__at") < F.size("__points"))
+        .groupBy("__seller", "__at").agg(F.count(F.lit(1)).alias("__n"), F.sum("entrega_tarde").alias("__late"))
+    )
+    each = points.select("__seller", F.posexplode("__points").alias("__at", "__point"))
+    upto = Window.partitionBy("__seller").orderBy("__at")
+    recomputed = each.join(counted, ["__seller", "__at"], "left").select(
+        F.col("__point.audited_order"),
+        F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("prior_orders"),
+        ratio(F.sum("__late").over(upto), F.sum("__n").over(upto)).alias("expected_rate"),
+        F.col("__point.stored_rate"),
     )
-    return recomputed.where(F.col("prior_orders") >= min_orders).withColumn(
+    return recomputed.where((F.col("prior_orders") >= min_orders) & (F.col("prior_orders") > 0)).withColumn(
         "agrees", F.abs(F.col("expected_rate") - F.col("stored_rate")) <= tolerance
     )
 
