@@ -35,8 +35,8 @@ PILOTS = 4
 QUERIES = 1024
 #: Columns of the matrix of counts: shingles are counted by so many hash ranges.
 COLUMNS = 256
-#: Counts end here; a text that reaches it is bounded by nothing.
-FULL = 32_767
+#: Counts end here; a text or group that reaches it anywhere is bounded by nothing and compared exactly.
+FULL = 127
 
 
 def slot_filter(slots: DataFrame) -> np.ndarray:
@@ -83,7 +83,7 @@ def signature(packed: bytes) -> tuple[int, int]:
     return (sign >> 64) - (1 << 63), (sign & (1 << 64) - 1) - (1 << 63)
 
 
-def _profiles(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _profiles(texts: DataFrame, n: int, percent: int, frequent: np.ndarray, full: int) -> DataFrame:
     """Per text: set size, 128-bit set signature, min-hash and prefix in the global order."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -98,18 +98,18 @@ def _profiles(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                 if len(prefix) < first:
                     prefix = np.concatenate([prefix, s[late][:first - len(prefix)]])
                 for row, value in zip(rows, (len(s), *signature(s.tobytes()), s[:1].view(np.int64)[0] if len(s) else 0, prefix.view(np.int64),
-                                             np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=COLUMNS), FULL)),
+                                             np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=COLUMNS), full)),
                                       strict=True):
                     row.append(value)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int16())]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int8())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
                 names=["id", "n", "s1", "s2", "low", "prefix", "counts"])
 
-    return texts.mapInArrow(profile, "id long, n long, s1 long, s2 long, low long, prefix array<long>, counts array<short>")
+    return texts.mapInArrow(profile, "id long, n long, s1 long, s2 long, low long, prefix array<long>, counts array<byte>")
 
 
-def _refined(blocks: DataFrame, percent: int) -> DataFrame:
+def _refined(blocks: DataFrame, percent: int, most_count: int) -> DataFrame:
     """Cuts blocks of equal min-hash into groups whose members may link, by their counts per column."""
     names = blocks.columns
 
@@ -119,7 +119,7 @@ def _refined(blocks: DataFrame, percent: int) -> DataFrame:
             counts = group.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, COLUMNS)
             n, gid = group.column("n").to_numpy(), group.column("gid")[0].as_py()
             forest = Forest(len(n))
-            central, full = np.zeros(len(n)), counts.max(1) == FULL
+            central, full = np.zeros(len(n)), counts.max(1) == most_count
             for k in range(len(n)):
                 bound = np.minimum(counts[k], counts).sum(1, dtype=np.int64) / np.maximum(n[k], n)
                 bound[full | full[k]] = 1
@@ -148,11 +148,11 @@ def _most(rows: DataFrame) -> DataFrame:
             counts = group.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, COLUMNS).max(0)
             yield pa.RecordBatch.from_arrays(
                 [group.column("gid").combine_chunks().slice(0, 1), pa.array([min(group.column("n").to_pylist())], pa.int64()),
-                 pa.array([group.num_rows], pa.int64()), pa.array([counts], pa.list_(pa.int16()))],
+                 pa.array([group.num_rows], pa.int64()), pa.array([counts], pa.list_(pa.int8()))],
                 names=["gid", "lo", "members", "counts"])
 
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(
-        most, "gid long, lo long, members long, counts array<short>")
+        most, "gid long, lo long, members long, counts array<byte>")
 
 
 def _sets(texts: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
@@ -246,20 +246,21 @@ def _links(pairs: DataFrame, members: DataFrame, percent: int, parts: int) -> Da
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3,
-                       percent: int = 90, group_rows: int = 128, frequent_from: int = 20) -> DataFrame:
+                       percent: int = 90, group_rows: int = 128, frequent_from: int = 20, full: int = FULL) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id.
 
     Two texts link when 100 * |A n B| >= percent * |A u B|.  Null and blank texts have an empty
     set: n_shingles 0, linked with nothing, their own class and component.  Rows that repeat an id
     are rows like others.  A row without id belongs to the class of its set, if that class has
-    any id.  Other columns are never read.  An empty table gives an empty table.
+    any id.  Other columns are never read.  An empty table gives an empty table.  Counts per hash range
+    stop at ``full``, 127 at most; what reaches it is compared exactly.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     with Scratch(spark) as scratch:
         frequent = frequent_shingles(texts, words, percent, frequent_from)
-        profiles = scratch.keep(_profiles(texts, words, percent, frequent), "profiles")
+        profiles = scratch.keep(_profiles(texts, words, percent, frequent, full), "profiles")
         classes = scratch.keep(profiles.where("n > 0 and id is not null").groupBy("s1", "s2").agg(
             F.min("id").alias("rep"), F.min("n").alias("n"), F.min("low").alias("low")), "classes")
         per_low = classes.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
@@ -273,8 +274,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             held = held.dropDuplicates(["rep", "s1", "s2"])
         placed = scratch.keep(placed.join(held, ["rep", "s1", "s2"]), "placed")
         grouped = scratch.keep(placed.where("members = 1").union(
-            _refined(placed.where("members > 1"), percent)), "groups")
+            _refined(placed.where("members > 1"), percent, full)), "groups")
         scratch.drop(placed)
+        # From here on only names and sizes of all texts are needed; the wide table is the largest of all.
+        named = scratch.keep(profiles.select("id", "n", "s1", "s2"), "named")
+        scratch.drop(profiles)
 
         entries = grouped.select("gid", "n", "members", F.explode("prefix").alias("token"))
         alone = entries.where("members = 1").select("token", "gid", F.col("n").alias("lo"), F.col("n").alias("hi"))
@@ -288,8 +292,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bounds = scratch.keep(grouped.where("members = 1").select("gid", F.col("n").alias("lo"), "members", "counts").union(
             _most(grouped.where("members > 1").select("gid", "n", "counts"))), "bounds")
         overlap = F.aggregate(F.zip_with("k1", "k2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        unbounded = (F.array_max("k1") >= full) | (F.array_max("k2") >= full)
         pairs = scratch.keep(met.join(bounds.toDF("g1", "lo1", "m1", "k1"), "g1").join(
-            bounds.toDF("g2", "lo2", "m2", "k2"), "g2").where(100 * overlap >= percent * F.greatest("lo1", "lo2")).select(
+            bounds.toDF("g2", "lo2", "m2", "k2"), "g2").where(
+            unbounded | (100 * overlap >= percent * F.greatest("lo1", "lo2"))).select(
             "g1", "g2", "m1", "m2"), "near-pairs")
         # of each group, its pairs with the largest other group and with two more: compared early, by pilots
         ends = pairs.select(F.col("g1").alias("g"), F.col("g2").alias("o"), F.col("m2").alias("m")).union(
@@ -320,7 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             connected_components(scratch, links).withColumnRenamed("id", "s1"), "s1", "left")
         nodes = scratch.keep(nodes.withColumn("component", F.coalesce("component", "s1")), "nodes")
         smallest = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
-        out = profiles.select("id", "n", "s1", "s2").join(
+        out = named.join(
             nodes.join(smallest, "component").drop("component"), ["s1", "s2"], "left")
         return scratch.result(out.select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

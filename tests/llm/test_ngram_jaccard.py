@@ -30,6 +30,13 @@ def test_components_equal_brute_force(spark, n, percent, group_rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == jaccard_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("full", [1, 2, 5])
+def test_counts_that_stop_lose_no_link(spark, full):
+    rows = sample()
+    out = ngram_jaccard_join(docs_frame(spark, rows), words=3, percent=90, group_rows=8, frequent_from=8, full=full)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == jaccard_components(rows, 3, 90)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (3, "x y z"), (1, "X y z"), (None, "a B c d"), (None, None)]
     frame = docs_frame(spark, rows)
