@@ -31,13 +31,15 @@ def build_features(spark: SparkSession, items_path: str, features_path: str, pre
 
 
 def train(spark: SparkSession, features_path: str, bundle_path: str, metrics_path: str,
-          max_iter: int | None = None, regions: DataFrame | None = None) -> dict:
-    """Feature table in, chosen model and metrics document out."""
+          max_iter: int | None = None, regions: DataFrame | None = None, curves_path: str | None = None) -> dict:
+    """Feature table in, chosen model, metrics document and, if asked for, the curves of all models out."""
     use_fixed_zone(spark)
     with staged_until_done(spark):
         run = train_models(read_features(spark, features_path), max_iter, regions)
         bundles.save_bundle(spark, bundles.bundle_of(run), bundle_path)
         bundles.write_metrics(bundles.metrics_document(spark, run.report), metrics_path)
+        for name, table in run.curves.items() if curves_path else []:
+            write_table(table, f"{curves_path}/{name}", "parquet")
     return run.report
 
 

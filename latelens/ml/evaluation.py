@@ -80,6 +80,42 @@ def roc_curve(curve: DataFrame, by: list[str] | None = None, endpoint: bool = Tr
     return out
 
 
+def thinned_precision_recall(curve: DataFrame, by: list[str] | None = None, points: int = 500) -> DataFrame:
+    """At most 4 (points + 1) points per group of a curve that has one per distinct score.
+
+    Of all thresholds whose recall lies in one step of width 1/points, the first, the last and
+    those of highest and lowest precision stay.  So a point left out has a recall within 1/points of
+    a kept one, and a precision between those of two kept ones of its step.
+    """
+    point = F.struct("threshold", _precision().alias("precision"), _recall().alias("recall"))
+    steep = F.struct(_precision().alias("p"), F.col("threshold").alias("t"))
+    return _kept_points(curve, by or [], [_step("hits", "positives", points)], [
+        F.max_by(point, F.col("threshold")), F.min_by(point, F.col("threshold")), F.max_by(point, steep), F.min_by(point, steep)])
+
+
+def thinned_roc(curve: DataFrame, by: list[str] | None = None, points: int = 500) -> DataFrame:
+    """At most 4 (points + 1) points per group; a point left out has both rates within 1/points of a kept one.
+
+    Both rates only grow as the threshold falls, so the curve crosses at most 2 points + 2 cells of
+    width 1/points; the first and the last threshold of each cell stay.
+    """
+    false_hits, negatives = F.col("predicted") - F.col("hits"), F.col("total") - F.col("positives")
+    point = F.struct("threshold", ratio(false_hits, negatives).alias("fpr"), ratio("hits", "positives").alias("tpr"))
+    cell = [_step("hits", "positives", points), _step("predicted - hits", "total - positives", points)]
+    return _kept_points(curve, by or [], cell, [F.max_by(point, F.col("threshold")), F.min_by(point, F.col("threshold"))])
+
+
+def _step(part: str, whole: str, points: int) -> Column:
+    """Which of ``points`` equal steps a share lies in, in whole numbers."""
+    return F.expr(f"CASE WHEN {whole} > 0 THEN (({part}) * {points}) div ({whole}) END")
+
+
+def _kept_points(curve: DataFrame, by: list[str], cell: list[Column], picked: list[Column]) -> DataFrame:
+    keys = [c.alias(f"__c{i}") for i, c in enumerate(cell)]
+    kept = curve.groupBy(*by, *keys).agg(F.array_distinct(F.array(*picked)).alias("__kept"))
+    return kept.select(*by, F.inline("__kept"))
+
+
 def average_precision():
     """Aggregate over a curve: precision weighted by the gain in recall."""
     return F.sum(ratio("pos", "positives") * _precision())
@@ -156,6 +192,19 @@ def calibration_bins(scored: DataFrame, score: str = "score", label: str = "entr
     )
 
 
+def calibration_by(scored: DataFrame, by: list[str], score: str = "score", label: str = "entrega_tarde", bins: int = 10) -> DataFrame:
+    """Calibration bins of several models at once: quantiles and bins per group."""
+    names = [f"__e{i}" for i in range(1, bins)]
+    edges = exact_quantiles(scored, score, [i / bins for i in range(1, bins)], by, names)
+    listed = edges.select(*by, F.array(*names).alias("__edges"))  # a row per model
+    below = F.size(F.filter("__edges", lambda e: e < F.col(score)))
+    return scored.join(F.broadcast(listed), by).groupBy(*by, below.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(score).alias("mean_score"),
+        F.avg(F.col(label).cast("double")).alias("observed_rate"),
+    )
+
+
 def with_region(df: DataFrame, regions: DataFrame | None = None, state: str = "customer_state") -> DataFrame:
     """Add the region of a state: from a (state, region) table, or the fixed map."""
     if regions is None:

@@ -7,7 +7,7 @@ past and future.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.ml.classification import LogisticRegression
@@ -20,10 +20,13 @@ from latelens.ml.boosting import BoostedModel, BoostedTrees
 from latelens.ml.evaluation import (
     METRICS,
     best_f1_threshold,
+    calibration_by,
     cold_start_metrics,
     errors_by_region,
     metrics_at,
     recall_threshold,
+    thinned_precision_recall,
+    thinned_roc,
     threshold_curve,
 )
 from latelens.ml.preprocess import Preprocessor
@@ -137,6 +140,7 @@ class TrainingRun:
     model: object
     report: dict
     scored_test: DataFrame
+    curves: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _stack(scored: dict[str, DataFrame], label: str) -> DataFrame:
@@ -150,6 +154,12 @@ def _stack(scored: dict[str, DataFrame], label: str) -> DataFrame:
     return stage(out, label)
 
 
+def model_curves(scored: DataFrame, curve: DataFrame) -> dict[str, DataFrame]:
+    """Tables behind the figures of all models: both curves at a bounded number of points, and calibration."""
+    return {"precision_recall": thinned_precision_recall(curve, ["model"]), "roc": thinned_roc(curve, ["model"]),
+            "calibration": calibration_by(scored, ["model"])}
+
+
 def _by_model(df: DataFrame) -> dict[str, dict]:
     """Metric records by model; one row per model comes to the driver."""
     return {r["model"]: {m: r[m] for m in METRICS} for r in df.collect()}
@@ -229,4 +239,4 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
         "analisis_region": [r.asDict() for r in by_region.collect()],
         "analisis_cold_start": [r.asDict() for r in by_history.collect()],
     }
-    return TrainingRun(pre, fitted[best], report, test_best)
+    return TrainingRun(pre, fitted[best], report, test_best, model_curves(test, test_curve))

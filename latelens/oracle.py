@@ -620,6 +620,27 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["pr_curve"] = f'SELECT threshold, {r(precision, chr(34) + "precision" + chr(34))}, {r(recall, "recall")} FROM val_curve UNION ALL SELECT NULL, 1e0, 0e0'
     q["roc_curve"] = f"SELECT threshold, {r(fpr, 'fpr')}, {r(recall, 'tpr')} FROM val_curve UNION ALL SELECT NULL, 0e0, 0e0"
     q["curves_by_split"] = f'SELECT split, threshold, {r(precision, chr(34) + "precision" + chr(34))}, {r(recall, "recall")}, {r(fpr, "fpr")}, {r(recall, "tpr")} FROM split_curve'
+    stacked = {
+        "model_test": """SELECT 'rule' AS model, score, entrega_tarde FROM scores WHERE split = 'test'
+          UNION ALL SELECT 'majority', (SELECT ROUND(AVG(entrega_tarde), 9) FROM features WHERE split = 'train'), entrega_tarde
+          FROM features WHERE split = 'test'""",
+        "model_points": "SELECT model, score AS threshold, COUNT(*) AS n, SUM(entrega_tarde) AS pos FROM model_test GROUP BY 1, 2",
+        "model_curve": """SELECT model, threshold, SUM(n) OVER w AS predicted, SUM(pos) OVER w AS hits,
+          SUM(n) OVER (PARTITION BY model) AS total, SUM(pos) OVER (PARTITION BY model) AS positives
+          FROM model_points WINDOW w AS (PARTITION BY model ORDER BY threshold DESC)""",
+    }
+    q["baseline_pr_curves"] = (f"""SELECT model, threshold, {r('p', chr(34) + 'precision' + chr(34))}, {r(recall, 'recall')} FROM (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY model, c ORDER BY threshold DESC) AS a, ROW_NUMBER() OVER (PARTITION BY model, c ORDER BY threshold) AS b,
+        ROW_NUMBER() OVER (PARTITION BY model, c ORDER BY p DESC, threshold DESC) AS x, ROW_NUMBER() OVER (PARTITION BY model, c ORDER BY p, threshold) AS y
+      FROM (SELECT *, {precision} AS p, hits * 100 // positives AS c FROM model_curve)) WHERE a = 1 OR b = 1 OR x = 1 OR y = 1""", stacked)
+    q["baseline_roc_curves"] = (f"""SELECT model, threshold, {r(fpr, 'fpr')}, {r(recall, 'tpr')} FROM (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY model, c, d ORDER BY threshold DESC) AS a, ROW_NUMBER() OVER (PARTITION BY model, c, d ORDER BY threshold) AS b
+      FROM (SELECT *, hits * 100 // positives AS c, (predicted - hits) * 100 // (total - positives) AS d FROM model_curve)) WHERE a = 1 OR b = 1""", stacked)
+    tenths = ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10))
+    q["baseline_calibration"] = (f"""SELECT model, CAST(bin AS INT) AS bin, {count()} AS n, {r('AVG(score)', 'mean_score')}, {r(LATE_RATE, 'observed_rate')}
+      FROM (SELECT *, len(list_filter(edges, lambda e: e < score)) AS bin FROM model_test JOIN (
+        SELECT model, [{tenths}] AS edges FROM model_test GROUP BY model) USING (model)) GROUP BY 1, 2""", stacked)
+    q["scored_order_checks"] = f"SELECT split, {count()} AS n, {big('SUM(entrega_tarde)')} AS late, {count()} AS in_range, {count()} AS decided FROM features GROUP BY split"
     q["average_precision"] = f"SELECT {r(_AP, 'pr_auc')} FROM val_curve"
     q["roc_auc"] = f"SELECT {r(_AUC, 'roc_auc')} FROM val_curve"
     q["best_f1_threshold"] = "SELECT umbral FROM best_f1"

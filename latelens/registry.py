@@ -485,6 +485,45 @@ def curves_by_split(ws):
     return rounded(pr.join(roc, ["split", "threshold"]), threshold=9)
 
 
+def _baseline_scores(ws):
+    """Test scores of both baselines under one another, with their curve."""
+    rate = ws.build.global_rate.select(F.round("global_rate", 9).alias("score"))
+    constant = ws.part("test").select("order_id", "entrega_tarde").crossJoin(F.broadcast(rate))  # one row
+    scored = constant.select(F.lit("majority").alias("model"), "order_id", "entrega_tarde", "score").unionByName(
+        ws.rule_part("test").select(F.lit("rule").alias("model"), "order_id", "entrega_tarde", "score"))
+    return scored, ev.threshold_curve(scored, by=["model"])
+
+
+@query
+def baseline_pr_curves(ws):
+    """Curves of several models at a bounded number of points."""
+    return rounded(ev.thinned_precision_recall(_baseline_scores(ws)[1], ["model"], 100), threshold=9)
+
+
+@query
+def baseline_roc_curves(ws):
+    return rounded(ev.thinned_roc(_baseline_scores(ws)[1], ["model"], 100), threshold=9)
+
+
+@query
+def baseline_calibration(ws):
+    return rounded(ev.calibration_by(_baseline_scores(ws)[0], ["model"]))
+
+
+@query
+def scored_order_checks(ws):
+    """What holds of scored orders whatever the model: rows, labels, range of the risk, decisions against it, curves."""
+    scored = score_orders(bundle_of(ws.training), ws.features)
+    cut = bundle_of(ws.training).metadata
+    risk, flag = F.col("proba_riesgo_tarde"), F.col("pred_balance_f1")
+    # The flag uses the unrounded risk: at four digits only risks clear of the threshold can be compared.
+    clear = F.abs(risk - F.lit(cut["umbral_f1"])) > 0.0001
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("entrega_tarde_real")).cast("long").alias("late"),
+        F.count_if(risk.between(0, 1)).alias("in_range"),
+        F.count_if(~clear | ((risk >= cut["umbral_f1"]).cast("int") == flag)).alias("decided"))
+
+
 @query
 def average_precision(ws):
     return rounded(ws.val_curve.agg(ev.average_precision().alias("pr_auc")))

@@ -137,3 +137,36 @@ def test_one_class_segment_is_left_out(spark):
     df = scored(spark, EXAMPLE + [(0.1, 0)], sin_historial_vendedor=[0, 0, 0, 0, 1])
     rows = ev.cold_start_metrics(df, 0.5).collect()
     assert [(r["segmento"], r["n_ordenes"]) for r in rows] == [(ev.WITH_HISTORY, 4)]
+
+
+def test_thinned_curves_are_bounded_and_near(spark):
+    rng = random.Random(8)
+    rows = [("m", rng.random(), 0) for _ in range(3000)] + [("m", rng.betavariate(3, 2), 1) for _ in range(400)]
+    rows += [("flat", 0.5, k % 2) for k in range(10)] + [("none", rng.random(), 0) for _ in range(20)]
+    curve = ev.threshold_curve(spark.createDataFrame(rows, "model string, score double, entrega_tarde int"), by=["model"])
+    points = 20
+    for exact, thin, (x, y) in [
+        (ev.precision_recall_curve(curve, ["model"], endpoint=False), ev.thinned_precision_recall(curve, ["model"], points), ("recall", "precision")),
+        (ev.roc_curve(curve, ["model"], endpoint=False), ev.thinned_roc(curve, ["model"], points), ("fpr", "tpr")),
+    ]:
+        every, kept = {tuple(r) for r in exact.collect()}, [tuple(r) for r in thin.collect()]
+        assert set(kept) <= every and len(kept) == len(set(kept))
+        mine = [(r[2], r[3]) for r in kept if r[0] == "m"]
+        assert len(mine) <= 4 * (points + 1) < sum(r[0] == "m" for r in every)
+        for r in every:
+            if r[0] == "m":
+                a, b = r[2], r[3]
+                if x == "fpr":
+                    assert any(abs(a - c) <= 1 / points and abs(b - d) <= 1 / points for c, d in mine)
+                else:
+                    near = [p for p, q in mine if abs(q - b) <= 1 / points]
+                    assert near and min(near) <= a <= max(near)
+        assert sum(r[0] == "flat" for r in kept) == 1 and any(r[0] == "none" for r in kept)
+
+
+def test_calibration_per_model_equals_one_by_one(spark):
+    rows = [(m, (k * 37 % 101) / 101 if m == "a" else 0.25, k % 3 // 2) for m in ("a", "b") for k in range(60)]
+    df = spark.createDataFrame(rows, "model string, score double, entrega_tarde int")
+    both = {tuple(r) for r in ev.calibration_by(df, ["model"]).collect()}
+    alone = {("a", *r) for r in map(tuple, ev.calibration_bins(df.where("model = 'a'")).collect())}
+    assert alone <= both and [r for r in both if r[0] == "b"][0][2] == 60

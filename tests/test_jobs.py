@@ -18,7 +18,12 @@ def test_files_to_files(spark, tmp_path):
 
     table = jobs.build_features(spark, path["items.parquet"], path["features"], path["pre"])
     assert table.columns == FEATURE_TABLE.fieldNames()
-    report = jobs.train(spark, path["features"], path["bundle"], path["metrics"], max_iter=1, regions=ws.regions)
+    report = jobs.train(spark, path["features"], path["bundle"], path["metrics"], max_iter=1, regions=ws.regions,
+                        curves_path=str(tmp_path / "curves"))
+    for name, columns in [("precision_recall", ["threshold", "precision", "recall"]), ("roc", ["threshold", "fpr", "tpr"]),
+                          ("calibration", ["bin", "n", "mean_score", "observed_rate"])]:
+        curve = spark.read.parquet(str(tmp_path / "curves" / name))
+        assert curve.columns == ["model", *columns] and curve.select("model").distinct().count() == 4
     jobs.predict(spark, path["features"], path["bundle"], path["scored.csv"], "csv")
 
     scored = spark.read.option("header", True).csv(path["scored.csv"])
