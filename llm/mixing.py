@@ -3,8 +3,9 @@
 The words of a source form one stream, in a fixed order of its documents, cut into blocks of
 fixed length.  A source's target is so many whole passes over its blocks and a rest; a pass
 visits the blocks in the order of a keyed pseudorandom permutation, and the last slot is cut
-to the word.  Each source's slots are dealt to output shards by a multinomial draw, slots are
-mapped to block numbers by the permutation, and blocks join by (source, number).
+to the word.  Source counts are drawn for every output shard, multinomial given the sources'
+totals; a shard's slots are the next ones of each source; slots are mapped to block numbers by
+the permutation, and blocks join by (source, number).
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ SHARD_WORDS = 1 << 24
 ROUNDS = 24
 #: Documents per chunk when stream positions are added up.
 CHUNK_ROWS = 4096
+#: Slots, or shards, handled in one row or window.
+RUN = 4096
+#: Slots a task makes, about.
+TASK_SLOTS = 1 << 18
 
 
 def word_count(text: Column) -> Column:
@@ -88,34 +93,62 @@ def _positions(docs: DataFrame) -> DataFrame:
         "place", "doc_id", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
+def draw(numbers: DataFrame, per_shard: int, tasks: int, seed: int = 0) -> DataFrame:
+    """Draws the source counts of every shard: (place, shard, n, first), n > 0.
+
+    ``numbers`` has (place, slots) and any more columns, which are kept.  A shard has ``per_shard``
+    slots, only the last fewer.  Multinomial draws of all shards, given that each source comes to its number of
+    slots, are draws without replacement: all slots of all sources are dealt to the shards' places
+    by one pseudorandom permutation and counted.  ``first`` is what earlier shards took of the source.
+    """
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
+    source = numbers.withColumn("offset", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn(
+        "all_slots", F.sum("slots").over(Window.partitionBy()))
+    # a row per run of slots, then its slots: no row ever holds a source's whole range
+    dealt = source.select("place", "offset", "all_slots", "slots", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run")) \
+        .repartition(tasks, "place", "run").select("place", "all_slots", F.explode(F.sequence(
+            F.col("offset") + F.col("run") * RUN,
+            F.col("offset") + F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1)).alias("number"))
+    at = permuted(F.col("number"), F.col("all_slots"), F.xxhash64(F.lit(seed), F.lit("shard")))
+    counts = dealt.groupBy("place", F.floor(at / per_shard).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+    # what earlier shards took, in groups of shards and then within a group
+    counts = counts.withColumn("group", F.floor(F.col("shard") / RUN))
+    earlier = Window.partitionBy("place").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("place", "group").agg(F.sum("n").alias("in_group")).select(
+        "place", "group", F.coalesce(F.sum("in_group").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("place", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    return counts.join(groups, ["place", "group"]).withColumn("first", first).drop("group", "base").join(numbers, "place")
+
+
 def slots(targets: DataFrame, *, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
           seed: int = 0) -> DataFrame:
     """(shard, place, slot, epoch, block, take): what every output shard takes, in order.
 
+    A shard takes the next slots of each source, as many as drawn for it.
     Slots of a source fill whole passes first.  A pass's short last block may stand anywhere in
     its order; slots behind it start that much earlier, which sets how much the last slot takes.
     """
     source = targets.where("words > 0 and target >= 0.5").select(
         "place", F.col("words"), F.round("target").cast("long").alias("goal"),
         F.ceil(F.col("words") / block_words).alias("blocks"))
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("goal").over(Window.partitionBy()) / shard_words)).cast("long")
-    source = source.withColumn("shards", shards).withColumn(
+    source = source.withColumn(
         "passes", F.floor(F.col("goal") / F.col("words"))).withColumn(
         "rest", F.col("goal") - F.col("passes") * F.col("words"))
     numbers = source.withColumn("slots", F.col("passes") * F.col("blocks")
                                 + F.least(F.col("blocks"), F.ceil(F.col("rest") / block_words) + F.lit(1)))
-    # a row per run of slots, then its slots: no row ever holds a source's whole range
-    run = 4096
-    runs = numbers.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))).alias("run")) \
-        .repartition(F.col("place"), F.col("run"))
-    rows = runs.select("*", F.explode(F.sequence(
-        F.col("run") * run, F.least(F.col("slots"), (F.col("run") + 1) * run) - 1)).alias("slot"))
+    # one number comes to the driver: it sets the tasks, which no later step may merge
+    total = numbers.agg(F.sum("slots")).first()[0] or 0
+    spark = targets.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLOTS))
+    drawn = draw(numbers, max(1, shard_words // block_words), tasks, seed).repartition(tasks, "place", "shard")
+    rows = drawn.select("*", F.explode(F.sequence(
+        F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     rows = rows.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn(
         "step", F.col("slot") - F.col("epoch") * F.col("blocks"))
 
-    def key(epoch: Column) -> Column:
-        return F.xxhash64(F.lit(seed), "place", epoch)
-
     key = F.xxhash64(F.lit(seed), "place", "epoch")
     rows = rows.withColumn("block", permuted(F.col("step"), F.col("blocks"), key))
     back = permuted(F.col("blocks") - 1, F.col("blocks"), key, back=True)  # the step of the short block
@@ -125,10 +158,7 @@ def slots(targets: DataFrame, *, block_words: int = BLOCK_WORDS, shard_words: in
     start = F.col("step") * block_words - behind
     take = F.when(F.col("epoch") < F.col("passes"), length).otherwise(
         F.greatest(F.lit(0).cast("long"), F.least(length, F.col("rest") - start)))
-    # one uniform draw per slot: given a source's slots, its counts per shard are multinomial
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "place", "slot"), F.col("shards"))
-    return rows.withColumn("take", take).where("take > 0").select(
-        shard.alias("shard"), "place", "slot", "epoch", "block", "take")
+    return rows.withColumn("take", take).where("take > 0").select("shard", "place", "slot", "epoch", "block", "take")
 
 
 def shard_counts(taken: DataFrame) -> DataFrame:

@@ -70,6 +70,30 @@ def test_slots_are_whole_passes_and_shards_are_drawn(spark):
     assert len({r.shard for r in counts}) > 3 and sum(r.words for r in counts) == 1565
 
 
+def test_counts_are_drawn_per_shard_in_many_tasks(spark):
+    numbers = spark.createDataFrame([(1, 9000), (2, 3000), (3, 5)], "place int, slots long")
+    drawn = m.draw(numbers, 100, 16)
+    rows = drawn.collect()
+    shards, sources = defaultdict(int), defaultdict(list)
+    for r in rows:
+        shards[r.shard] += r.n
+        sources[r.place].append((r["first"], r.n))
+    assert sorted(shards) == list(range(121)) and all(shards[k] == 100 for k in range(120)) and shards[120] == 5
+    for place, total in [(1, 9000), (2, 3000), (3, 5)]:
+        at = 0
+        for first, n in sorted(sources[place]):  # a source's slots, one after another
+            assert first == at
+            at += n
+        assert at == total
+    # without replacement: mean 75 and variance 100 * 0.75 * 0.25 or so
+    counts = [n for _, n in sources[1]][:]
+    assert 73 < sum(counts) / 120 < 77 and 10 < sum((n - 75) ** 2 for n in counts if n > 10) / 120 < 30
+    assert sorted(map(str, m.draw(numbers, 100, 3).collect())) == sorted(map(str, rows))
+    targets = spark.createDataFrame([("a", 1, 10**6, 5, 1.5e6)], "source string, place int, words long, rows long, target double")
+    sizes = m.slots(targets, block_words=16, shard_words=1600).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 60_000  # of 93750
+
+
 def test_pieces_cover_what_is_taken(spark):
     with Scratch(spark) as scratch:
         _, placed, chosen = m.layout(docs_frame(spark, sample()), scratch, block_words=8)
