@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latelens.functions.expressions import (
@@ -189,25 +189,33 @@ def prior_counts(orders: DataFrame, history: str = "row_order") -> DataFrame:
             "left",
         ).drop("__s", "__t")
     if history == "known_outcome":
-        # Outcomes and questions on one time line; a question sees the outcomes before it.
-        # At the same instant the question comes first, so nothing sees itself.
-        asks = orders.withColumns({
-            "__at": F.col(PURCHASE), "__kind": F.lit(0), "__n": F.lit(0), "__l": F.lit(0).cast("bigint"),
-        })
-        known_at = F.greatest(DELIVERY, PURCHASE)
-        empty = [F.lit(None).cast(t).alias(c) for c, t in orders.dtypes if c not in ("seller_id", "order_id")]
-        tells = orders.where(F.col(DELIVERY).isNotNull()).select(
-            "seller_id", "order_id", *empty, known_at.alias("__at"),
-            F.lit(1).alias("__kind"), F.lit(1).alias("__n"), late.alias("__l"),
-        )
-        line = stage(asks.unionByName(tells), "time_line")
-        totals = running_totals(
-            line, ["seller_id"], ["__at", "__kind", "order_id"], {"prior_orders": "__n", "prior_late": "__l"}
-        )
-        return totals.where("__kind = 0").drop("__at", "__kind", "__n", "__l")
+        return known_before(orders, late)
     raise ValueError(f"unknown history rule {history!r}")
 
 
+def known_before(orders: DataFrame, late: Column) -> DataFrame:
+    """Counts, per order, the seller's outcomes that were known before its purchase.
+
+    Two clocks on one time line: purchases ask, deliveries tell, and an ask sees the tells before it.
+    At the same instant the ask comes first, so nothing sees itself.  Only keys, times and the
+    label go through the sweep; its counts come back to the orders by ``order_id``, which is unique.
+    """
+    told_at = F.when(F.col(DELIVERY).isNotNull(), F.greatest(DELIVERY, PURCHASE))
+
+    def event(at, kind, n, late_n):
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(n).alias("n"), late_n.alias("l"))
+
+    none = F.lit(0).cast("bigint")
+    asks_and_tells = orders.select(
+        "seller_id", "order_id",
+        F.inline(F.array(event(F.col(PURCHASE), 0, 0, none), event(told_at, 1, 1, late))),
+    ).where("kind = 0 or at is not null")
+    counted = running_totals(
+        asks_and_tells, ["seller_id"], ["at", "kind", "order_id"], {"prior_orders": "n", "prior_late": "l"}
+    ).where("kind = 0").select(F.col("order_id").alias("__o"), "prior_orders", "prior_late")
+    return orders.join(counted, F.col("order_id").eqNullSafe(F.col("__o"))).drop("__o")
+
+
 def add_seller_rate(
     orders: DataFrame,
     global_rate: DataFrame,

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latelens.operators import ordered
 from latelens.operators.staging import stage
 from latelens.plans import features as fe
 from latelens.schemas import CONSOLIDATED, FEATURE_TABLE_COLUMNS
@@ -174,6 +175,21 @@ def test_rate_ignores_own_and_later_labels(spark, history):
         assert a[r[0]] == b[r[0]]
 
 
+def test_known_outcomes_against_a_plain_count(spark, monkeypatch):
+    """A hot seller, ties of both clocks, missing deliveries, deliveries before the purchase; only slim rows are staged."""
+    rng = random.Random(9)
+    rows = [(f"{i:03d}", rng.choice(["hot", "hot", "b", None]), START + rng.randrange(40) * DAY,
+             rng.choice([None, START + rng.randrange(60) * DAY]), rng.randrange(2)) for i in range(300)]
+    df = stage(spark.createDataFrame(rows, ORDERS), "two_clocks").withColumn("wide", F.lit("x" * 50))
+    staged = []
+    monkeypatch.setattr(ordered, "stage", lambda frame, label: staged.append(frame.columns) or stage(frame, label))
+    got = {r["order_id"]: (r["prior_orders"], r["prior_late"]) for r in fe.prior_counts(df, "known_outcome").collect()}
+    for order, seller, bought, _, _ in rows:
+        known = [r[4] for r in rows if r[1] == seller and r[3] is not None and max(r[3], r[2]) < bought]
+        assert got[order] == (len(known), sum(known))
+    assert staged and all("wide" not in columns for columns in staged)
+
+
 def test_audit_finds_a_leak(spark):
     rows = [(f"{i:02d}", "s", START + i * DAY, START + 50 * DAY, i % 2) for i in range(12)]
     df = stage(spark.createDataFrame(rows, ORDERS), "audit")
