@@ -9,20 +9,28 @@ from latelens.ml.preprocess import Preprocessor
 from latelens.ml.training import split_parts, train_models
 from latelens.operators.staging import staged_until_done
 from latelens.plans.features import assert_no_leak, audit_seller_rate, build_feature_table
-from latelens.schemas import FEATURE_TABLE
+from latelens.schemas import CONSOLIDATED, FEATURE_TABLE
 from latelens.session import use_fixed_zone
+from latelens.sources.rescue import load_text
 from latelens.sources.tables import read_consolidated, read_features, write_table
 
 
 def build_features(spark: SparkSession, items_path: str, features_path: str, preprocessor_path: str,
-                   format: str = "parquet", **options) -> DataFrame:
+                   format: str = "parquet", quarantine_path: str | None = None, most_rejected: float | None = None,
+                   **options) -> DataFrame:
     """Consolidated item table in, feature table and fitted preprocessor out.
 
-    Nothing is written if the audit finds a leak in the seller rate.
+    With ``quarantine_path`` the items are text, and rows that do not parse are written there; the job
+    stops if they are more than the share ``most_rejected``.  Nothing else is written if the audit
+    finds a leak in the seller rate.
     """
     use_fixed_zone(spark)
     with staged_until_done(spark):
-        build = build_feature_table(read_consolidated(spark, items_path), **options)
+        if quarantine_path is None:
+            items = read_consolidated(spark, items_path)
+        else:
+            items = load_text(spark, items_path, CONSOLIDATED, quarantine_path, most_rejected).rows
+        build = build_feature_table(items, **options)
         assert_no_leak(audit_seller_rate(build.full))
         train = split_parts(build.table)["train"]
         bundles.save_preprocessor(spark, Preprocessor.fit(train), build.global_rate.first()[0], preprocessor_path)

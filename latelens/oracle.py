@@ -44,6 +44,12 @@ STEPS["orders_x"] = """
          o_orderdate + INTERVAL '1' SECOND * CAST((o_orderkey * 7919) % 86400 AS INT) AS purchase_ts,
          CAST(13 + (o_orderkey * 13) % 17 AS INT) AS promised_days
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+STEPS["order_text"] = """
+  SELECT order_id, purchase_ts, promised_days, order_id % 101 = 0 AS short, order_id % 103 = 0 AND order_id % 101 <> 0 AS long,
+         order_id % 107 = 0 AS bad_buyer, order_id % 109 = 0 AS bad_date,
+         CASE WHEN order_id % 107 = 0 THEN 'n/a' WHEN order_id % 113 = 0 THEN '' ELSE CAST(customer_id AS VARCHAR) END AS buyer,
+         CASE WHEN order_id % 109 = 0 THEN 'never' ELSE strftime(purchase_ts, '%Y-%m-%d %H:%M:%S') END AS bought
+  FROM orders_x"""
 STEPS["sellers_x"] = """
   SELECT s_suppkey AS seller_id, s_nationkey, n_name AS seller_state, n_regionkey AS s_region
   FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
@@ -435,6 +441,18 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["direct_features"] = f"""
       SELECT order_id, mes_compra, dia_semana_compra, mismo_estado,
              {r('dias_prometidos', digits=8)}, {rr('ratio_flete', 'dist_haversine_km', 'peso_total_g', 'volumen_total_cm3')} FROM direct"""
+    q["text_orders"] = """
+      SELECT order_id, TRY_CAST(buyer AS BIGINT) AS customer_id, CASE WHEN bad_date THEN NULL ELSE purchase_ts END AS purchase_ts,
+             promised_days FROM order_text WHERE NOT (short OR long OR bad_buyer)"""
+    q["text_rejects"] = """
+      SELECT CASE WHEN short OR long THEN 'fields' ELSE 'values' END AS reason,
+             CASE WHEN short OR long THEN '' WHEN bad_date THEN 'customer_id,purchase_ts' ELSE 'customer_id' END AS bad_columns,
+             concat(order_id, ',', buyer, ',', bought, CASE WHEN short THEN '' WHEN long THEN concat(',', promised_days, ',x')
+                                                       ELSE concat(',', promised_days) END) AS record
+      FROM order_text WHERE short OR long OR bad_buyer"""
+    q["text_load_report"] = """
+      SELECT COUNT(*) AS "rows", COUNT(*) FILTER (WHERE short OR long OR bad_buyer) AS rejected,
+             COUNT(*) FILTER (WHERE bad_date AND NOT (short OR long OR bad_buyer)) AS patched FROM order_text"""
     q["temporal_split"] = "SELECT order_id, split FROM split_orders"
     q["seller_rate"] = _rates("SELECT order_id, prior_orders, prior_late FROM rated")
     q["seller_rate_strict"] = _rates(f"""

@@ -53,6 +53,25 @@ def late_by_state(spark: SparkSession, folder: str) -> DataFrame:
     ).where("n >= 10").orderBy(F.desc("late_pct"), "customer_state")
 
 
+# -- text input ---------------------------------------------------------------------
+@query
+def text_orders(ws):
+    """Orders read from CSV text; bad dates are NULL, rows that do not parse are left out."""
+    return ws.order_text.rows
+
+
+@query
+def text_rejects(ws):
+    """The rows set aside, as they stood in the files."""
+    return ws.order_text.rejects.select("reason", F.array_join("bad_columns", ",").alias("bad_columns"), "record")
+
+
+@query
+def text_load_report(ws):
+    """Counts of all files together: file names differ from run to run."""
+    return ws.order_text.report.agg(*[F.sum(c).alias(c) for c in ("rows", "rejected", "patched")])
+
+
 # -- feature build ------------------------------------------------------------------
 ROLLUP = ["order_id", "customer_id", "seller_id", "order_purchase_timestamp", "order_estimated_delivery_date",
           "order_delivered_customer_date", "categoria_principal", "customer_state", "customer_lat", "customer_lng",

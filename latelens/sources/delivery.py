@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampNTZType
 
 from latelens.operators.ordered import number_rows
 
@@ -174,6 +175,33 @@ def review_rows(items: DataFrame) -> DataFrame:
     return regular.unionByName(second)
 
 
+ORDER_TEXT = StructType([
+    StructField("order_id", LongType()), StructField("customer_id", LongType()),
+    StructField("purchase_ts", TimestampNTZType()), StructField("promised_days", IntegerType()),
+])
+
+
+def write_order_text(spark: SparkSession, folder: str, path: str) -> None:
+    """The orders as CSV text, as a careless source would deliver them.
+
+    By the key, some rows lack the last field or have one too many, some have a text for the
+    buyer or no buyer, some a date that is none.
+    """
+    oid = F.col("order_id")
+    fields = [
+        oid.cast("string"),
+        F.when(oid % 107 == 0, "n/a").when(oid % 113 == 0, "").otherwise(F.col("customer_id").cast("string")),
+        F.when(oid % 109 == 0, "never").otherwise(F.date_format("purchase_ts", "yyyy-MM-dd HH:mm:ss")),
+    ]
+    days = F.col("promised_days").cast("string")
+    last = F.when(oid % 101 == 0, "").when(oid % 103 == 0, F.concat(F.lit(","), days, F.lit(",x"))).otherwise(
+        F.concat(F.lit(","), days))
+    lines = placed_orders(spark, folder).select(
+        F.concat(F.concat_ws(",", *fields), last).alias(",".join(ORDER_TEXT.fieldNames())))
+    # One column, named like the header line and with a separator that no line has: lines are written as they are.
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "\0").csv(path)
+
+
 def geolocation_rows(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     return star(spark, folder, "customer").select(

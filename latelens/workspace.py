@@ -7,6 +7,7 @@ shared storage; everything after that is a scan.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from latelens.ml import evaluation as ev
 from latelens.ml.baselines import RuleBaseline
 from latelens.ml.training import TrainingRun, train_models
-from latelens.operators.staging import stage
+from latelens.operators.staging import stage, staging_folder
 from latelens.plans import exploration as ex
 from latelens.plans.features import FeatureBuild, build_feature_table
 from latelens.session import use_fixed_zone
 from latelens.sources import delivery
+from latelens.sources.rescue import TextLoad, load_text
 
 ZIP_PREFIXES = 53  # the last three have no position
 
@@ -83,6 +85,12 @@ class Workspace:
             (F.col("s_suppkey") % ZIP_PREFIXES).alias("seller_zip"),
         )
 
+    @cached_property
+    def order_text(self) -> TextLoad:
+        path = f"{staging_folder(self.spark)}/order-text-{uuid.uuid4().hex}"
+        delivery.write_order_text(self.spark, self.folder, path)
+        return load_text(self.spark, path, delivery.ORDER_TEXT, quarantine_path=f"{path}-rejects")
+
     # -- exploration side ------------------------------------------------------------
     @cached_property
     def labelled(self) -> DataFrame:

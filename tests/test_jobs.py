@@ -47,3 +47,19 @@ def test_jobs_leave_nothing_staged(spark, tmp_path):
             raise RuntimeError
     except RuntimeError:
         assert not fs.exists(path)
+
+
+def test_features_from_text_with_broken_rows(spark, tmp_path):
+    ws = workspace(spark, FOLDER)
+    items = ws.items.withColumns({"customer_unique_id": F.col("customer_id"), "order_approved_at": F.col("order_purchase_timestamp")})
+    folder = tmp_path / "items.csv"
+    items.select(*CONSOLIDATED.fieldNames()).write.option("header", True).csv(str(folder))
+    names = CONSOLIDATED.fieldNames()
+    bad_price = ",".join("cheap" if n == "price" else "" for n in names)
+    (folder / "late.csv").write_text(",".join(names) + "\nonly,three,fields\n" + bad_price + "\n")
+    quarantine = str(tmp_path / "quarantine")
+    table = jobs.build_features(spark, str(folder), str(tmp_path / "features"), str(tmp_path / "pre"), quarantine_path=quarantine,
+                                most_rejected=0.01)
+    assert table.count() == 1425
+    assert {(r.reason, r.record) for r in spark.read.parquet(quarantine).collect()} == {
+        ("fields", "only,three,fields"), ("values", bad_price)}

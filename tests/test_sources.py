@@ -2,10 +2,12 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampNTZType
 
 from latelens.schemas import CONSOLIDATED, FEATURE_TABLE, RAW_TABLES
 from latelens.sources import tables
 from latelens.sources.guards import MissingColumns
+from latelens.sources.rescue import TooManyRejects, load_text
 from latelens.workspace import workspace
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,6 +27,49 @@ def test_csv_by_name_with_bad_dates(spark, tmp_path):
     assert rows[1]["review_answer_timestamp"] is None and rows[1]["review_score"] is None
 
 
+BROKEN = StructType([StructField("a", IntegerType()), StructField("t", StringType()), StructField("at", TimestampNTZType())])
+
+
+def broken_folder(tmp_path):
+    folder = tmp_path / "broken"
+    folder.mkdir()
+    write(folder / "one.csv", 'a,t,at\n1,"x, ""y""",2018-01-01\n2,z\nq,"u, v",soon\n3,z,never,9\n4,,\n\n5,z,never\n')
+    write(folder / "two.csv", 'a,t,at\n6,u,2018-01-02 03:04:05\n')
+    return str(folder)
+
+
+def test_rows_that_do_not_parse_are_set_aside(spark, tmp_path):
+    quarantine = str(tmp_path / "quarantine")
+    load = load_text(spark, broken_folder(tmp_path), BROKEN, quarantine)
+    assert {(r.a, r.t, str(r["at"])) for r in load.rows.collect()} == {
+        (1, 'x, "y"', "2018-01-01 00:00:00"), (4, None, "None"), (5, "z", "None"), (6, "u", "2018-01-02 03:04:05")}
+    kept = {(r.source_file[-7:], r.reason, tuple(r.bad_columns), r.record) for r in spark.read.parquet(quarantine).collect()}
+    assert kept == {("one.csv", "fields", (), "2,z"), ("one.csv", "fields", (), "3,z,never,9"),
+                    ("one.csv", "values", ("a", "at"), 'q,"u, v",soon')}
+    assert {(r.source_file[-7:], *r[1:]) for r in load.report.collect()} == {("one.csv", 6, 3, 1), ("two.csv", 1, 0, 0)}
+    # counts do not depend on the columns asked for
+    assert load.rows.select("t").count() == 4 and load.rejects.count() == 3
+
+
+def test_too_many_rejects_stop_the_load(spark, tmp_path):
+    folder, quarantine = broken_folder(tmp_path), str(tmp_path / "quarantine")
+    load_text(spark, folder, BROKEN, most_rejected=0.5)
+    with pytest.raises(TooManyRejects, match="3 of 7"):
+        load_text(spark, folder, BROKEN, quarantine, most_rejected=0.4)
+    assert spark.read.parquet(quarantine).count() == 3
+
+
+def test_rescue_of_texts_only_and_of_an_empty_file(spark, tmp_path):
+    texts = StructType([StructField("t", StringType())])
+    path = write(tmp_path / "t.csv", "t,extra\nx,1\ny\n")
+    load = load_text(spark, path, texts)
+    assert [r.t for r in load.rows.collect()] == ["x"] and [r.record for r in load.rejects.collect()] == ["y"]
+    empty = load_text(spark, write(tmp_path / "e.csv", "t,extra\n"), texts, most_rejected=0.0)
+    assert empty.rows.count() == empty.rejects.count() == empty.report.count() == 0
+    with pytest.raises(MissingColumns):
+        load_text(spark, path, BROKEN)
+
+
 def test_text_with_line_breaks(spark, tmp_path):
     path = write(tmp_path / "reviews.csv", 'review_id,order_id,review_score,review_comment_message,review_answer_timestamp\n'
                  'r1,o1,5,"one\ntwo",2018-01-02 03:04:05\n')
