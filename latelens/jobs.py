@@ -1,4 +1,4 @@
-"""The three batch jobs, from files to files; what they stage on the way is deleted at their end."""
+"""The four batch jobs, from files to files; what they stage on the way is deleted at their end."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from latelens.ml import bundles
 from latelens.ml.preprocess import Preprocessor
 from latelens.ml.training import split_parts, train_models
-from latelens.operators.staging import staged_until_done
+from latelens.operators.staging import stage, staged_until_done
+from latelens.plans import catalog
 from latelens.plans.features import assert_no_leak, audit_seller_rate, build_feature_table
 from latelens.schemas import CONSOLIDATED, FEATURE_TABLE
 from latelens.session import use_fixed_zone
 from latelens.sources.rescue import load_text
-from latelens.sources.tables import read_consolidated, read_features, write_table
+from latelens.sources.tables import load_catalog, read_consolidated, read_features, write_table
 
 
 def build_features(spark: SparkSession, items_path: str, features_path: str, preprocessor_path: str,
@@ -38,6 +39,19 @@ def build_features(spark: SparkSession, items_path: str, features_path: str, pre
     return read_features(spark, features_path).select(*FEATURE_TABLE.fieldNames())
 
 
+def explore(spark: SparkSession, paths: dict[str, str], output_path: str) -> list[str]:
+    """The nine raw tables in, one small table per exploration report out, below ``output_path``."""
+    use_fixed_zone(spark)
+    with staged_until_done(spark):
+        # Each table is parsed once; the reports read its staged columns.
+        tables = {name: stage(df, name) for name, df in load_catalog(spark, paths, views=False).items()}
+        written = []
+        for name, table in catalog.reports(tables).items():
+            write_table(table, f"{output_path}/{name}")
+            written.append(name)
+    return written
+
+
 def train(spark: SparkSession, features_path: str, bundle_path: str, metrics_path: str,
           max_iter: int | None = None, regions: DataFrame | None = None, curves_path: str | None = None) -> dict:
     """Feature table in, chosen model, metrics document and, if asked for, the curves of all models out."""

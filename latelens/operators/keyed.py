@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
     return lost.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("orphans"))
 
 
+def orphan_report(tables: dict[str, DataFrame], references: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """Orphan rows per named check, (child table, child key, parent table, parent key): all checks in one job.
+
+    Every child table is read once, whatever the number of its keys, and only counts per key
+    are shuffled; a parent's keys are made distinct once and shared by all checks on them.
+    A row without key is an orphan.  Keys compare as text.
+    """
+    by_child: dict[str, list] = {}
+    for name, (child, key, parent, parent_key) in references.items():
+        cell = F.struct(F.lit(name).alias("check_name"), F.lit(f"{parent}.{parent_key}").alias("parent"),
+                        F.col(key).cast("string").alias("key"))
+        by_child.setdefault(child, []).append(cell)
+    asked = [tables[child].select(F.inline(F.array(*cells))) for child, cells in by_child.items()]
+    known = [
+        tables[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("string").alias("key"))
+        for parent, key in dict.fromkeys(r[2:] for r in references.values())
+    ]
+    counts = reduce(DataFrame.unionAll, asked).groupBy("check_name", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    keys = reduce(DataFrame.unionAll, known).where("key is not null").distinct()
+    lost = counts.join(keys, ["parent", "key"], "left_anti").groupBy("check_name").agg(F.sum("n").alias("orphans"))
+    spark = counts.sparkSession
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in references])).alias("check_name"))
+    return names.join(F.broadcast(lost), "check_name", "left").select(  # one row per check
+        "check_name", F.coalesce("orphans", F.lit(0)).alias("orphans"))
+
+
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and share missing, one row per column, from a single pass."""
     counted = df.agg(

@@ -50,6 +50,12 @@ STEPS["order_text"] = """
          CASE WHEN order_id % 107 = 0 THEN 'n/a' WHEN order_id % 113 = 0 THEN '' ELSE CAST(customer_id AS VARCHAR) END AS buyer,
          CASE WHEN order_id % 109 = 0 THEN 'never' ELSE strftime(purchase_ts, '%Y-%m-%d %H:%M:%S') END AS bought
   FROM orders_x"""
+STEPS["raw_products"] = """
+  SELECT p_partkey AS product_id, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE lower(p_type) END AS category,
+         CASE WHEN p_partkey % 97 = 0 OR length(p_type) = 5 THEN NULL ELSE p_type END AS english,
+         CASE WHEN p_partkey % 89 = 0 THEN NULL ELSE p_size * 1e2 END AS product_weight_g,
+         CASE WHEN p_partkey % 83 = 0 THEN NULL ELSE p_size * 1e0 END AS product_length_cm
+  FROM part WHERE p_partkey % 61 <> 0"""
 STEPS["sellers_x"] = """
   SELECT s_suppkey AS seller_id, s_nationkey, n_name AS seller_state, n_regionkey AS s_region
   FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
@@ -453,6 +459,30 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q["text_load_report"] = """
       SELECT COUNT(*) AS "rows", COUNT(*) FILTER (WHERE short OR long OR bad_buyer) AS rejected,
              COUNT(*) FILTER (WHERE bad_date AND NOT (short OR long OR bad_buyer)) AS patched FROM order_text"""
+    orphan_counts = {
+        "items_without_order": "lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
+        "items_without_product": "lineitem WHERE l_partkey NOT IN (SELECT product_id FROM raw_products)",
+        "items_without_seller": "lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)",
+        "orders_without_customer": "orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+        "orders_without_items": "orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+        "reviews_without_order": "reviews WHERE order_id NOT IN (SELECT o_orderkey FROM orders)",
+        "payments_without_order": "orders WHERE o_orderkey % 500 = 0",
+        "products_without_translation": "raw_products WHERE english IS NULL",
+    }
+    q["catalog_orphans"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS check_name, {count()} AS orphans FROM {source}" for name, source in orphan_counts.items())
+    q["catalog_item_products"] = """
+      SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(order_item_id AS INT) AS order_item_id, CAST(product_id AS VARCHAR) AS product_id,
+             category AS product_category_name, english AS product_category_name_english, p.product_weight_g, p.product_length_cm
+      FROM numbered LEFT JOIN raw_products p USING (product_id)"""
+    q["catalog_late_by_category"] = f"""
+      SELECT english AS product_category_name_english, {count()} AS n, {LATE_PCT}
+      FROM labelled JOIN numbered USING (order_id) JOIN raw_products USING (product_id)
+      WHERE order_item_id = 1 AND english IS NOT NULL GROUP BY english"""
+    q["catalog_reviews"] = """
+      SELECT CAST(review_id AS VARCHAR) AS review_id, CAST(order_id AS VARCHAR) AS order_id, CAST(review_score AS INT) AS review_score,
+             CASE WHEN order_id % 3 = 0 THEN concat('it said "', review_score, '",', chr(10), 'no more') END AS review_comment_message,
+             review_answer_ts AS review_answer_timestamp FROM reviews"""
     q["temporal_split"] = "SELECT order_id, split FROM split_orders"
     q["seller_rate"] = _rates("SELECT order_id, prior_orders, prior_late FROM rated")
     q["seller_rate_strict"] = _rates(f"""

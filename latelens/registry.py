@@ -16,6 +16,7 @@ from latelens.operators import keyed
 from latelens.operators.quantiles import histogram
 from latelens.operators.staging import stage
 from latelens.plans import before_after as ba
+from latelens.plans import catalog as cat
 from latelens.plans import exploration as ex
 from latelens.plans import features as fe
 from latelens.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, STATES_BY_REGION
@@ -72,6 +73,30 @@ def text_load_report(ws):
     return ws.order_text.report.agg(*[F.sum(c).alias(c) for c in ("rows", "rejected", "patched")])
 
 
+# -- nine raw tables -----------------------------------------------------------------
+@query
+def catalog_orphans(ws):
+    return keyed.orphan_report(ws.catalog, cat.REFERENCES)
+
+
+@query
+def catalog_item_products(ws):
+    return cat.item_products(ws.catalog).select(
+        "order_id", "order_item_id", "product_id", "product_category_name", "product_category_name_english",
+        "product_weight_g", "product_length_cm")
+
+
+@query
+def catalog_late_by_category(ws):
+    return rounded(cat.late_by_category(ws.catalog, min_orders=1, top=None))
+
+
+@query
+def catalog_reviews(ws):
+    """Texts with quotes, commas and line breaks come back whole."""
+    return ws.catalog["reviews"]
+
+
 # -- feature build ------------------------------------------------------------------
 ROLLUP = ["order_id", "customer_id", "seller_id", "order_purchase_timestamp", "order_estimated_delivery_date",
           "order_delivered_customer_date", "categoria_principal", "customer_state", "customer_lat", "customer_lng",

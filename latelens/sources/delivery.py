@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampNTZType
 
 from latelens.operators.ordered import number_rows
+from latelens.schemas import RAW_TABLES
 
 LAT_LOW, LAT_HIGH, LNG_LOW, LNG_HIGH = -34.0, 6.0, -74.0, -34.0
 
@@ -175,6 +176,43 @@ def review_rows(items: DataFrame) -> DataFrame:
     return regular.unionByName(second)
 
 
+def raw_tables(spark: SparkSession, folder: str, items: DataFrame) -> dict[str, DataFrame]:
+    """The nine raw tables: by the key, some products and translations are missing and some payments have no order."""
+    nation = star(spark, folder, "nation").select(F.col("n_nationkey").alias("__n"), F.col("n_name").alias("__state"))
+    oid, part = F.col("order_id"), F.col("p_partkey")
+
+    def placed(table, key, nationkey, who):
+        rows = star(spark, folder, table).join(nation, F.col(nationkey) == F.col("__n"))
+        return rows.select(F.col(key).alias(f"{who}_id"), (F.col(key) % 53).alias(f"{who}_zip_code_prefix"),
+                           F.col("__state").alias(f"{who}_state"))
+
+    parts = star(spark, folder, "part").where(part % 61 != 0)
+    tables = {
+        "orders": order_rows(spark, folder, items),
+        "items": items.withColumnRenamed("shipping_limit_ts", "shipping_limit_date"),
+        "customers": placed("customer", "c_custkey", "c_nationkey", "customer"),
+        "sellers": placed("supplier", "s_suppkey", "s_nationkey", "seller"),
+        "products": parts.select(
+            part.alias("product_id"), F.when(part % 97 != 0, F.lower("p_type")).alias("product_category_name"),
+            F.when(part % 89 != 0, F.col("p_size") * 100.0).alias("product_weight_g"),
+            F.when(part % 83 != 0, F.col("p_size") * 1.0).alias("product_length_cm"),
+            F.lit(5.0).alias("product_height_cm"), F.lit(10.0).alias("product_width_cm")),
+        "reviews": review_rows(items).withColumn(
+            "review_comment_message", F.when(oid % 3 == 0, F.concat(F.lit('it said "'), F.col("review_score"), F.lit('",\nno more')))),
+        "geolocation": geolocation_rows(spark, folder).select(
+            F.col("zip_prefix").alias("geolocation_zip_code_prefix"), F.col("lat").alias("geolocation_lat"),
+            F.col("lng").alias("geolocation_lng")),
+        "cat_trans": star(spark, folder, "part").where(F.length("p_type") != 5).select(
+            F.lower("p_type").alias("product_category_name"), F.col("p_type").alias("product_category_name_english")).distinct(),
+        "payments": star(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"), "o_totalprice").select(
+            F.when(oid % 500 == 0, -oid - 1).otherwise(oid).alias("order_id"),
+            F.when(oid % 4 == 0, "boleto").otherwise("credit_card").alias("payment_type"),
+            F.col("o_totalprice").alias("payment_value")),
+    }
+    return {name: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_TABLES[name].fields])
+            for name, df in tables.items()}
+
+
 ORDER_TEXT = StructType([
     StructField("order_id", LongType()), StructField("customer_id", LongType()),
     StructField("purchase_ts", TimestampNTZType()), StructField("promised_days", IntegerType()),

@@ -22,6 +22,7 @@ from latelens.plans.features import FeatureBuild, build_feature_table
 from latelens.session import use_fixed_zone
 from latelens.sources import delivery
 from latelens.sources.rescue import TextLoad, load_text
+from latelens.sources.tables import load_catalog
 
 ZIP_PREFIXES = 53  # the last three have no position
 
@@ -91,6 +92,16 @@ class Workspace:
         delivery.write_order_text(self.spark, self.folder, path)
         return load_text(self.spark, path, delivery.ORDER_TEXT, quarantine_path=f"{path}-rejects")
 
+    @cached_property
+    def catalog(self) -> dict[str, DataFrame]:
+        """The nine raw tables as CSV text, opened as a job would."""
+        root = f"{staging_folder(self.spark)}/catalog-{uuid.uuid4().hex}"
+        paths = {}
+        for name, df in delivery.raw_tables(self.spark, self.folder, self.view).items():
+            paths[name] = f"{root}/{name}.csv"
+            df.write.option("header", True).option("escape", '"').csv(paths[name])
+        return load_catalog(self.spark, paths, views=False)
+
     # -- exploration side ------------------------------------------------------------
     @cached_property
     def labelled(self) -> DataFrame:

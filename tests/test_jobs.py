@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from latelens import jobs
 from latelens.ml.bundles import comparison_table, read_metrics
+from latelens.operators.keyed import orphan_report
+from latelens.plans.catalog import REFERENCES
 from latelens.schemas import CONSOLIDATED, FEATURE_TABLE
+from latelens.sources import delivery
 from latelens.workspace import workspace
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,3 +66,25 @@ def test_features_from_text_with_broken_rows(spark, tmp_path):
     assert table.count() == 1425
     assert {(r.reason, r.record) for r in spark.read.parquet(quarantine).collect()} == {
         ("fields", "only,three,fields"), ("values", bad_price)}
+
+
+def test_exploration_from_nine_raw_tables(spark, tmp_path):
+    ws = workspace(spark, FOLDER)
+    paths = {}
+    for name, df in delivery.raw_tables(spark, FOLDER, ws.view).items():
+        paths[name] = str(tmp_path / f"{name}.csv")
+        df.write.option("header", True).option("escape", '"').csv(paths[name])
+    names = jobs.explore(spark, paths, str(tmp_path / "reports"))
+    read = {n: spark.read.parquet(str(tmp_path / "reports" / n)) for n in names}
+    orphans = {r.check_name: r.orphans for r in read["integrity"].collect()}
+    assert set(orphans) == set(REFERENCES) and orphans["payments_without_order"] == 3 and orphans["items_without_order"] == 0
+    assert read["status_counts"].agg(F.sum("n")).first()[0] == spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+    assert read["undelivered"].count() == read["granularity"].count() == 1 and read["lifecycle_nulls"].count() > 3
+
+
+def test_orphans_without_keys_and_of_empty_tables(spark):
+    child = spark.createDataFrame([("1", 9), ("2", None), (None, 1), ("2", 1)], "a string, b int")
+    tables = {"c": child, "p": spark.createDataFrame([("1",), (None,), ("1",)], "k string"),
+              "q": spark.createDataFrame([(1,)], "k int"), "e": child.limit(0)}
+    report = orphan_report(tables, {"c_p": ("c", "a", "p", "k"), "c_q": ("c", "b", "q", "k"), "e_p": ("e", "a", "p", "k")})
+    assert {r.check_name: r.orphans for r in report.collect()} == {"c_p": 3, "c_q": 2, "e_p": 0}
