@@ -21,6 +21,7 @@ from latelens.schemas import (
     MIN_SELLER_ORDERS,
     NUMERIC_FEATURES,
 )
+from latelens.sources.commits import finish_commit, replacing
 
 _LOADERS = {
     LINEAR: lambda spark, path: LogisticRegressionModel.load(path),
@@ -55,19 +56,22 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 # -- preprocessor bundle ---------------------------------------------------------
 def save_preprocessor(spark: SparkSession, pre: Preprocessor, global_rate: float, path: str) -> None:
-    pre.save(spark, f"{path}/preprocessor")
-    _write_json(spark, {
-        "numeric_features": NUMERIC_FEATURES,
-        "categorical_features": CATEGORICAL_FEATURES,
-        "classification_target": LATE_LABEL,
-        "multiclass_target": CLASS_LABEL,
-        "regression_targets": DAY_LABELS,
-        "min_ordenes_vendedor": MIN_SELLER_ORDERS,
-        "global_rate_train": global_rate,
-    }, f"{path}/metadata")
+    """Both parts replace the old ones together."""
+    with replacing(spark, path) as folder:
+        pre.save(spark, f"{folder}/preprocessor")
+        _write_json(spark, {
+            "numeric_features": NUMERIC_FEATURES,
+            "categorical_features": CATEGORICAL_FEATURES,
+            "classification_target": LATE_LABEL,
+            "multiclass_target": CLASS_LABEL,
+            "regression_targets": DAY_LABELS,
+            "min_ordenes_vendedor": MIN_SELLER_ORDERS,
+            "global_rate_train": global_rate,
+        }, f"{folder}/metadata")
 
 
 def load_preprocessor(spark: SparkSession, path: str) -> tuple[Preprocessor, dict]:
+    finish_commit(spark, path)
     return Preprocessor.load(spark, f"{path}/preprocessor"), _read_json(spark, f"{path}/metadata")
 
 
@@ -94,15 +98,18 @@ def bundle_of(run: TrainingRun) -> ModelBundle:
 
 
 def save_bundle(spark: SparkSession, bundle: ModelBundle, path: str) -> None:
-    bundle.preprocessor.save(spark, f"{path}/preprocessor")
-    if isinstance(bundle.model, BoostedModel):
-        bundle.model.save(spark, f"{path}/model")
-    else:
-        bundle.model.write().overwrite().save(f"{path}/model")
-    _write_json(spark, bundle.metadata, f"{path}/metadata")
+    """Preparation, model and metadata replace the old ones together."""
+    with replacing(spark, path) as folder:
+        bundle.preprocessor.save(spark, f"{folder}/preprocessor")
+        if isinstance(bundle.model, BoostedModel):
+            bundle.model.save(spark, f"{folder}/model")
+        else:
+            bundle.model.write().save(f"{folder}/model")
+        _write_json(spark, bundle.metadata, f"{folder}/metadata")
 
 
 def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
+    finish_commit(spark, path)
     metadata = _read_json(spark, f"{path}/metadata")
     model = _LOADERS[metadata["nombre_modelo"]](spark, f"{path}/model")
     return ModelBundle(Preprocessor.load(spark, f"{path}/preprocessor"), model, metadata)
@@ -133,10 +140,12 @@ def metrics_document(spark: SparkSession, report: dict) -> DataFrame:
 
 
 def write_metrics(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.mode("overwrite").json(path)
+    with replacing(document.sparkSession, path) as folder:
+        document.coalesce(1).write.json(folder)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    finish_commit(spark, path)
     return spark.read.schema(METRICS_DOCUMENT).json(path)
 
 

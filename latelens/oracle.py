@@ -429,6 +429,23 @@ def _region_errors(region_table, keep="TRUE", default="Otro"):
   FROM scores LEFT JOIN {region_table} ON n_name = customer_state WHERE split = 'test' AND {keep} GROUP BY 1"""
 
 
+def _vector_sums():
+    parts = [f"""
+  SELECT split, 'num__{c}' AS feature, {r(f'SUM((COALESCE({c}, m) - a) / COALESCE(NULLIF(s, 0), 1))', 'total', 4)}
+  FROM features, (SELECT MAX(m) AS m, AVG(x) AS a, STDDEV_POP(x) AS s FROM {_numeric(c)}) GROUP BY split""" for c in NUMERIC_FEATURES]
+    for c in CATEGORICAL_FEATURES:
+        parts.append(f"""
+  SELECT split, name AS feature, CAST(COUNT(*) FILTER (own = name) AS DOUBLE) AS total FROM (
+    WITH mode AS (SELECT CAST({c} AS VARCHAR) AS m FROM features WHERE split = 'train' AND {c} IS NOT NULL
+                  GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1),
+         filled AS (SELECT split, COALESCE(CAST({c} AS VARCHAR), m) AS v FROM features, mode),
+         levels AS (SELECT v, 'cat__{c}_' || CASE WHEN COUNT(*) >= 0.01e0 * SUM(COUNT(*)) OVER () THEN v ELSE 'infrequent' END AS own
+                    FROM filled WHERE split = 'train' GROUP BY v)
+    SELECT split, own, name FROM filled LEFT JOIN levels USING (v), (SELECT DISTINCT own AS name FROM levels))
+  GROUP BY split, name""")
+    return " UNION ALL ".join(parts)
+
+
 def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
     q: dict[str, str | tuple[str, dict[str, str]]] = {}
     t = "order_purchase_timestamp"
@@ -725,6 +742,14 @@ def _texts() -> dict[str, str | tuple[str, dict[str, str]]]:
         for c in NUMERIC_FEATURES)
     q["numeric_imputed_scaled"] = _scaled()
     q["rare_category_map"] = _levels()
+    q["encoded_vector_sums"] = _vector_sums()
+    q["restated_partition"] = """
+      SELECT order_id, CAST(CASE WHEN split = 'val' THEN 1 - entrega_tarde ELSE entrega_tarde END AS INT) AS entrega_tarde, split FROM features"""
+    q["scores_through_text"] = "SELECT order_id, score, pred FROM scores WHERE split <> 'train'"
+    compared = ", ".join(r(c) for c in ("pr_auc", "roc_auc", "recall", '"precision"', "f1", "brier"))
+    q["metrics_through_document"] = f"""
+      SELECT 'constant' AS modelo, 'training rate' AS config, {compared} FROM constant_metrics
+      UNION ALL SELECT 'rule', 'best F1', {compared} FROM test_metrics"""
     return q
 
 

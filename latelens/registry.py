@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latelens.functions import expressions as fx
 from latelens.ml import evaluation as ev
-from latelens.ml.bundles import bundle_of, comparison_table, metrics_document, score_orders
-from latelens.ml.preprocess import category_levels, numeric_profile
+from latelens.ml.bundles import (
+    bundle_of, comparison_table, load_preprocessor, metrics_document, read_metrics, save_preprocessor, score_orders, write_metrics,
+)
+from latelens.ml.preprocess import Preprocessor, category_levels, numeric_profile
 from latelens.ml.training import class_weights, importance_share, importances
 from latelens.operators import keyed
 from latelens.operators.quantiles import histogram
@@ -22,6 +26,8 @@ from latelens.plans import features as fe
 from latelens.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, STATES_BY_REGION
 from latelens.session import use_fixed_zone
 from latelens.sources import delivery
+from latelens.sources.commits import write_partitions
+from latelens.sources.tables import read_table, write_table
 from latelens.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
@@ -54,6 +60,27 @@ def late_by_state(spark: SparkSession, folder: str) -> DataFrame:
     ).where("n >= 10").orderBy(F.desc("late_pct"), "customer_state")
 
 
+# -- sinks --------------------------------------------------------------------------
+@query
+def restated_partition(ws):
+    """Labels written by split; the validation part then restated from the table itself, the others left."""
+    path = ws.new_path("labels-by-split")
+    write_table(ws.features.select("order_id", "entrega_tarde", "split"), path, partition_by=["split"])
+    late = (1 - F.col("entrega_tarde")).cast("int").alias("entrega_tarde")
+    write_partitions(read_table(ws.spark, path).where("split = 'val'").select("order_id", late, "split"), path, ["split"])
+    return read_table(ws.spark, path)
+
+
+@query
+def scores_through_text(ws):
+    """Rule scores written as CSV, replaced by those of two parts, and read under their schema."""
+    path = ws.new_path("scores") + ".csv"
+    scores = ws.rule_scores.select("order_id", "score", "pred")
+    write_table(scores, path, "csv")
+    write_table(ws.rule_scores.where("split <> 'train'").select(*scores.columns), path, "csv")
+    return read_table(ws.spark, path, scores.schema)
+
+
 # -- text input ---------------------------------------------------------------------
 @query
 def text_orders(ws):
@@ -602,6 +629,18 @@ def majority_metrics(ws):
     return rounded(ev.metrics_at(ev.threshold_curve(scored), rate))
 
 
+@query
+def metrics_through_document(ws):
+    """Test metrics of two baselines, written as one nested document and unfolded again."""
+    def entry(config, metrics):
+        return {"config": config, "test": metrics.first().asDict()}  # one row
+
+    path = ws.new_path("metrics")
+    write_metrics(metrics_document(ws.spark, {"metricas": {
+        "constant": entry("training rate", majority_metrics(ws)), "rule": entry("best F1", metrics_at_threshold(ws))}}), path)
+    return comparison_table(read_metrics(ws.spark, path))
+
+
 @query
 def calibration_bins(ws):
     return rounded(ev.calibration_bins(ws.rule_part("test")))
@@ -660,6 +699,17 @@ def rare_category_map(ws):
     return rounded(category_levels(ws.part("train"), CATEGORICAL_FEATURES, 0.04))
 
 
+@query
+def encoded_vector_sums(ws):
+    """Sum of each place of the feature vector, by split, with a saved and loaded preparation."""
+    path = ws.new_path("preparation")
+    save_preprocessor(ws.spark, Preprocessor.fit(ws.part("train")), ws.build.global_rate.first()[0], path)
+    prepared, _ = load_preprocessor(ws.spark, path)
+    sums = prepared.transform(ws.features).groupBy("split").agg(vector_to_array(Summarizer.sum(F.col("features"))).alias("sums"))
+    names = F.array(*[F.lit(n) for n in prepared.names])
+    return rounded(sums.select("split", F.inline(F.arrays_zip(names.alias("feature"), F.col("sums").alias("total")))), 4)
+
+
 @query
 def model_comparison(ws):
     return rounded(comparison_table(metrics_document(ws.spark, ws.training.report)))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZT
 
 from latelens.functions.expressions import parse_timestamp
 from latelens.schemas import CONSOLIDATED, FEATURE_TABLE, RAW_TABLES
+from latelens.sources.commits import finish_commit, replacing
 from latelens.sources.guards import require_columns
 
 
@@ -20,8 +21,9 @@ def read_table(
     Columns the schema does not name are ignored, columns the file lacks are an error, and
     so is a file of a folder whose header differs from the others'.
     ``line_breaks`` is for quoted text that spans lines; such files cannot be split, so
-    work is then shared per file rather than per block.
+    work is then shared per file rather than per block.  A replacement that was cut off is finished first.
     """
+    finish_commit(spark, path)
     if path.rstrip("/").endswith(".csv"):
         if schema is None:
             raise ValueError("a CSV file needs a schema")
@@ -82,10 +84,14 @@ def load_catalog(spark: SparkSession, paths: dict[str, str], views: bool = True)
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Replace the table at ``path``; CSV gets a header and UTF-8 text."""
-    writer = df.write.mode("overwrite").format(format)
+    """Replace the table at ``path``, or leave it as it is on failure; CSV gets a header and UTF-8 text.
+
+    The rows may come from the table itself.
+    """
+    writer = df.write.format(format)
     if format == "csv":
         writer = writer.option("header", True).option("encoding", "UTF-8")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with replacing(df.sparkSession, path) as folder:
+        writer.save(folder)

@@ -42,6 +42,9 @@ class Workspace:
         self.spark, self.folder = spark, folder
 
     # -- raw side -----------------------------------------------------------------
+    def new_path(self, label: str) -> str:
+        return f"{staging_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
+
     @cached_property
     def view(self) -> DataFrame:
         return stage(delivery.item_view(self.spark, self.folder), "items")
@@ -88,14 +91,14 @@ class Workspace:
 
     @cached_property
     def order_text(self) -> TextLoad:
-        path = f"{staging_folder(self.spark)}/order-text-{uuid.uuid4().hex}"
+        path = self.new_path("order-text")
         delivery.write_order_text(self.spark, self.folder, path)
         return load_text(self.spark, path, delivery.ORDER_TEXT, quarantine_path=f"{path}-rejects")
 
     @cached_property
     def catalog(self) -> dict[str, DataFrame]:
         """The nine raw tables as CSV text, opened as a job would."""
-        root = f"{staging_folder(self.spark)}/catalog-{uuid.uuid4().hex}"
+        root = self.new_path("catalog")
         paths = {}
         for name, df in delivery.raw_tables(self.spark, self.folder, self.view).items():
             paths[name] = f"{root}/{name}.csv"
