@@ -28,15 +28,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of texts with five-word Jaccard of 0.8 or more.
 
-    Rows without id stay.  Of rows that repeat an id, one stays.
+    Rows without id stay.  Of rows that repeat an id, each text is judged for itself: equal texts
+    leave one row, and a text that links with nothing stays.
     """
-    groups = ngram_jaccard_join(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
-    if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again)
-    return kept.union(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    repeated = not known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if not repeated:
+        groups = ngram_jaccard_join(known, words=5, percent=80).where("doc_id = component_id").select("doc_id")
+        return known.join(groups, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    named = known.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = ngram_jaccard_join(named, row, words=5, percent=80)
+    first = named.select("doc_id", row).distinct().join(found.select(row, "component_id").distinct(), row).groupBy("component_id").agg(
+        F.min(F.struct("doc_id", row))[row].alias(row))
+    kept = named.join(first, row, "left_semi").dropDuplicates([row, "doc_id", "text"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
