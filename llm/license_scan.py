@@ -1,15 +1,17 @@
 """License scans by a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
 Features are the word pairs and triples of licence texts.  A sparse multinomial logistic
-regression learns the families and an unknown class from pieces of those texts and from a bounded
-sample of the corpus's own paragraphs.  The probability needed to accept a family is
-calibrated on paragraphs of unknown kind, and a prediction stands only if enough of the paragraph's
-features occur in the texts of that family.
+regression learns the families and an unknown class from pieces of those texts and from all of the
+corpus's own paragraphs.  Paragraphs with the same known features are one example that weighs as many, so
+that training reads few rows.  The probability needed to accept a family is calibrated on all
+paragraphs of unknown kind, each judged by a model of the other half, and a prediction stands only if
+enough of the paragraph's features occur in the texts of that family.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, Normalizer
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 from llm.common import Scratch
 
 UNKNOWN = "unknown"
-#: Corpus paragraphs in the training sample, and in the calibration sample, at most.
-SAMPLE = 3_000
 #: More features than this are an error: they bound the table sent to every task.
 FEATURES = 6_000
 #: Least share of a paragraph's features found in the family's texts.
@@ -81,15 +81,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def grams_of(words: Column) -> Column:
-    """Hashes of the word pairs and triples."""
+def pairs_of(words: Column) -> Column:
+    """Hashes of the word pairs."""
+    n = F.size(words)
+    second = F.slice(words, 2, F.greatest(n, F.lit(1)))
+    return F.slice(F.zip_with(words, second, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 1, F.lit(0)))
+
+
+def triples_of(words: Column) -> Column:
+    """Hashes of the word triples."""
     n = F.size(words)
     second = F.slice(words, 2, F.greatest(n, F.lit(1)))
     third = F.slice(words, 3, F.greatest(n, F.lit(1)))
-    pairs = F.zip_with(words, second, lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(F.zip_with(words, second, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), third,
                          lambda x, c: F.xxhash64(x["a"], x["b"], c))
-    return F.concat(F.slice(pairs, 1, F.greatest(n - 1, F.lit(0))), F.slice(triples, 1, F.greatest(n - 2, F.lit(0))))
+    return F.slice(triples, 1, F.greatest(n - 2, F.lit(0)))
+
+
+def grams_of(words: Column) -> Column:
+    """Hashes of the word pairs and triples."""
+    return F.concat(pairs_of(words), triples_of(words))
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,9 +122,24 @@ def possible(lines: DataFrame, features: list[int]) -> DataFrame:
     n = F.size("words")
     few = lines.withColumn("words", words_of(F.col("line"))).drop("line").where(
         F.size(F.filter("words", lambda w: w.isin(vocabulary))) * 2 > n)
-    second = F.slice("words", 2, F.greatest(n, F.lit(1)))
-    pairs = F.slice(F.zip_with("words", second, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 1, F.lit(0)))
-    return few.where(F.size(F.filter(pairs, lambda g: g.isin(features))) * 2 >= n)
+    return few.where(F.size(F.filter(pairs_of(F.col("words")), lambda g: g.isin(features))) * 2 >= n)
+
+
+def unknown_paragraphs(lines: DataFrame, features: list[int]) -> DataFrame:
+    """(fold, grams, lines): the number of lines of unknown kind that have those known features, sorted, repeats kept.
+
+    A line is of unknown kind unless half of its features are in licence texts.  ``fold`` is one of two halves of the lines.
+    """
+    words = lines.select(F.pmod(F.xxhash64(F.lit("sample"), "id", "paragraph", "line"), F.lit(2)).alias("fold"),
+                         words_of(F.col("line")).alias("words"))
+    pairs = words.withColumn("pairs", F.filter(pairs_of(F.col("words")), lambda g: g.isin(features)))
+    # a known triple holds two known pairs
+    triples = F.filter(triples_of(F.col("words")), lambda g: g.isin(features))
+    known = pairs.select("fold", F.size("words").alias("n"), F.array_sort(
+        F.when(F.size("pairs") < 2, F.col("pairs")).otherwise(F.concat("pairs", triples))).alias("grams"))
+    # n words have 2 n - 3 features
+    unknown = (F.size("grams") == 0) | (F.size("grams") * 2 < F.col("n") * 2 - 3)
+    return known.groupBy("fold", "grams").agg(F.count_if(unknown).alias("lines")).where("lines > 0")
 
 
 def _pieces(spark: SparkSession) -> DataFrame:
@@ -134,9 +160,12 @@ class Classifier:
 
     def scored(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """``keys`` with family, probability and overlap of each paragraph that has a known feature."""
+        return self.scored_grams(rows.withColumn("grams", grams_of(F.col("words"))), keys)
+
+    def scored_grams(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The same from the features of paragraphs; the overlap is the share of those given."""
         k = range(len(self.families))
-        grams = rows.withColumn("grams", grams_of(F.col("words"))).select(
-            *keys, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        grams = rows.select(*keys, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
         # the table has FEATURES rows at most
         met = grams.join(F.broadcast(self.weights), "gram").groupBy(*keys, "n").agg(
             *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in k], *[F.sum(F.col("has")[i]).alias(f"h{i}") for i in k],
@@ -151,10 +180,30 @@ class Classifier:
                           (F.element_at(F.array(*[F.col(f"h{i}") for i in k]), F.col("best")) / F.col("n")).alias("overlap"))
 
 
+def least_threshold(scores: DataFrame, most: int) -> float | None:
+    """The least multiple of 2**-30 that the probabilities of at most ``most`` lines reach; None if there are no more lines.
+
+    ``scores`` has probability and lines.  Found in two counts by 15 bits each, 32,769 rows at most.
+    """
+    whole = scores.select(F.floor(F.col("probability") * float(1 << 30)).alias("at"), "lines")
+    above, high = 0, None
+    for bits in (whole.select(F.shiftright("at", 15).alias("bin"), "at", "lines"), whole.select(F.col("at").alias("bin"), "at", "lines")):
+        within = bits if high is None else bits.where(F.shiftright("at", 15) == high)
+        for r in sorted(within.groupBy("bin").agg(F.sum("lines").alias("lines")).collect(), key=lambda r: -r["bin"]):
+            if above + r["lines"] > most:
+                high = r["bin"]
+                break
+            above += r["lines"]
+        else:
+            return None
+    return (high + 1) / (1 << 30)
+
+
 def fit(lines: DataFrame, scratch: Scratch) -> Classifier:
-    """Trains on licence pieces and SAMPLE corpus paragraphs, and calibrates on SAMPLE others.
+    """Trains on licence pieces and all corpus paragraphs of unknown kind, and calibrates on all of these.
 
-    Paragraphs of the corpus count as unknown unless half of their features are in one licence.
+    Paragraphs of the corpus count as unknown unless half of their features are in licence texts.  For the
+    calibration each half of them is judged by a model trained on the pieces and the other half.
     """
     spark = lines.sparkSession
     pieces = _pieces(spark).withColumn("grams", grams_of(F.col("words")))
@@ -163,42 +212,40 @@ def fit(lines: DataFrame, scratch: Scratch) -> Classifier:
     features = scratch.keep(has.groupBy("gram").agg(F.collect_set("family").alias("families")), "features")
     if features.count() > FEATURES:
         raise ValueError(f"the licence texts have more than {FEATURES} word pairs and triples")
-    # Drawn by a hash of the line as it is: only lines of the sample are cut into words.
-    order = F.xxhash64(F.lit("sample"), "id", "paragraph", "line")
-    # A threshold from their number thins them out before any are ranked.
-    share = order.bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    thin = lines.where(share * F.lit(float(lines.count())) <= 1.2 * 4 * SAMPLE + 50)
-    drawn = scratch.keep(thin.select("line", order.alias("draw")).orderBy(share, "draw").limit(4 * SAMPLE), "drawn")
-    grams = drawn.withColumn("words", words_of(F.col("line"))).drop("line").withColumn("grams", grams_of(F.col("words")))
-    shared = grams.select("draw", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(
-        F.broadcast(features), "gram").groupBy("draw", "n").agg(F.count(F.lit(1)).alias("k")).where("2 * k >= n").select("draw")
-    clean = scratch.keep(grams.join(shared, "draw", "left_anti"), "unknown")
-    to_train = clean.where("pmod(draw, 2) = 0").limit(SAMPLE)
-    examples = pieces.select("family", "grams").union(to_train.select(F.lit(UNKNOWN), "grams"))
-    examples = scratch.keep(examples.select("family", F.transform("grams", lambda g: g.cast("string")).alias("grams")), "examples")
-    words = CountVectorizer(inputCol="grams", outputCol="counts", binary=True).fit(
-        features.select(F.array(F.col("gram").cast("string")).alias("grams")))
+    grams = [r["gram"] for r in features.select("gram").collect()]  # FEATURES at most
+    groups = scratch.keep(unknown_paragraphs(lines, grams).withColumn("group", F.monotonically_increasing_id()), "unknown")
+    words = CountVectorizer(inputCol="names", outputCol="counts", binary=True).fit(
+        features.select(F.array(F.col("gram").cast("string")).alias("names")))
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES if f != UNKNOWN})]
-    label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    # families weigh the same, however many pieces their texts give; a dozen numbers
-    size = {r["family"]: r["n"] for r in examples.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = F.create_map(*[x for f, n in size.items() for x in (F.lit(f), F.lit(1000.0 / n))])
-    rows = Normalizer(p=2.0, inputCol="counts", outputCol="features").transform(words.transform(
-        examples.withColumns({"label": label.cast("double"), "weight": weight[F.col("family")]})))
-    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False,
-                               weightCol="weight").fit(rows)
-    matrix = model.coefficientMatrix.toArray()
-    table = spark.createDataFrame(
-        [(int(g), [float(x) for x in matrix[:, k]]) for k, g in enumerate(words.vocabulary)], "gram long, w array<double>")
     member = F.array(*[F.array_contains("families", f).cast("int") for f in families])
-    weights = scratch.result(table.join(features, "gram").select("gram", "w", member.alias("has")))
-    fitted = Classifier(families, weights, [float(x) for x in model.interceptVector])
-    rest = clean.where("pmod(draw, 2) = 1").limit(SAMPLE)
-    total = rest.count()
-    wrong = fitted.scored(rest, ["draw"]).where(F.col("family") != UNKNOWN).orderBy(F.desc("probability")).select(
-        "probability").limit(1 + int(FALSE_RATE * total)).collect()
-    if len(wrong) > int(FALSE_RATE * total):
-        fitted.threshold = min(max(fitted.threshold, wrong[-1].probability + 1e-9), MOST_THRESHOLD)
+
+    def trained(corpus: DataFrame) -> Classifier:
+        examples = pieces.select("family", "grams", F.lit(1).cast("long").alias("lines")).union(
+            corpus.select(F.lit(UNKNOWN), "grams", "lines"))
+        label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
+        examples = scratch.keep(examples.select("family", label.cast("double").alias("label"), "lines", F.transform(
+            "grams", lambda g: g.cast("string")).alias("names")), "examples")
+        # families weigh the same, however many pieces their texts give; a dozen numbers
+        size = {r["family"]: r["n"] for r in examples.groupBy("family").agg(F.sum("lines").alias("n")).collect()}
+        share = F.create_map(*[x for f, n in size.items() for x in (F.lit(f), F.lit(1000.0 / n))])
+        rows = Normalizer(p=2.0, inputCol="counts", outputCol="features").transform(words.transform(
+            examples.withColumn("weight", share[F.col("family")] * F.col("lines"))))
+        model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60, standardization=False,
+                                   weightCol="weight").fit(rows)
+        matrix = model.coefficientMatrix.toArray()
+        table = spark.createDataFrame(
+            [(int(g), [float(x) for x in matrix[:, k]]) for k, g in enumerate(words.vocabulary)], "gram long, w array<double>")
+        weights = scratch.result(table.join(features, "gram").select("gram", "w", member.alias("has")), f"weights-{uuid.uuid4().hex[:12]}")
+        return Classifier(families, weights, [float(x) for x in model.interceptVector])
+
+    fitted = trained(groups)
+    halves = [(groups.where(F.col("fold") == k), groups.where(F.col("fold") != k)) for k in (0, 1)]
+    judged = [trained(rest).scored_grams(half, ["group", "lines"]) for half, rest in halves]
+    scores = scratch.keep(judged[0].union(judged[1]).where(F.col("family") != UNKNOWN).select("probability", "lines"), "scores")
+    total = groups.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    least = least_threshold(scores, int(FALSE_RATE * total))
+    if least is not None:
+        fitted.threshold = min(max(fitted.threshold, least), MOST_THRESHOLD)
     return fitted
 
 

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,67 @@ def test_too_many_features_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(scans, "FEATURES", 10)
     with pytest.raises(ValueError, match="more than 10"):
         license_scan(docs_frame(spark, [(1, "a b c")]))
+
+
+def test_all_paragraphs_train_and_calibrate(spark, monkeypatch):
+    trained, judged = [], []
+
+    def fitting(self, rows, whole=scans.LogisticRegression.fit):
+        least = rows.where("label = 0").agg(F.min("weight")).first()[0]  # that of an example that is there once
+        trained.append(round(1000 / least))
+        return whole(self, rows)
+
+    def limit(scores, most):
+        judged.append(most)
+
+    monkeypatch.setattr(scans.LogisticRegression, "fit", fitting)
+    monkeypatch.setattr(scans, "least_threshold", limit, raising=False)
+    rng = random.Random(5)
+    frame = docs_frame(spark, [(k, "\n".join(prose(rng, 5) for _ in range(40))) for k in range(200)])
+    with Scratch(spark) as scratch:
+        fit(paragraphs(frame, "doc_id", "text"), scratch)
+    pieces = scans._pieces(spark).where(F.col("family") == UNKNOWN).count()
+    assert trained[0] == 8_000 + pieces
+    assert trained[1] + trained[2] == 8_000 + 2 * pieces and min(trained) > 3_500
+    assert judged == [int(scans.FALSE_RATE * 8_000)]
+
+
+def test_equal_paragraphs_are_counted_together(spark):
+    def grams(text):
+        w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+        return [*zip(w, w[1:]), *zip(w, w[1:], w[2:])]
+
+    features = {g for f, text in TEMPLATES if f != UNKNOWN for g in grams(text)}
+    rng = random.Random(8)
+    lines = ["a b", "the software", "a\u212ab", "a\u212ab is", *["of the software is " * 3 + prose(rng, 20)] * 3]
+    for _ in range(400):
+        words = rng.choice(TEMPLATES)[1].split()
+        start = rng.randrange(len(words))
+        lines.append(" ".join([prose(rng, rng.randint(1, 6)), *words[start:start + rng.randint(1, 6)], prose(rng, 2)]))
+    want = Counter()
+    for line in lines:
+        known = [g for g in grams(line.replace("\u212a", "k")) if g in features]
+        if not known or 2 * len(known) < len(grams(line.replace("\u212a", "k"))):
+            want[tuple(sorted(known))] += 1
+    pairs = spark.createDataFrame([(list(g),) for g in sorted(features)], "g array<string>")
+    number = {tuple(r.g): r.h for r in pairs.select("g", F.when(F.size("g") == 2, F.xxhash64(F.col("g")[0], F.col("g")[1])).otherwise(
+        F.xxhash64(F.col("g")[0], F.col("g")[1], F.col("g")[2])).alias("h")).collect()}
+    got = Counter()
+    frame = docs_frame(spark, [(k, line) for k, line in enumerate(lines)])
+    folds = scans.unknown_paragraphs(paragraphs(frame, "doc_id", "text"), list(number.values())).collect()
+    for r in folds:
+        got[tuple(r.grams)] += r.lines
+    assert got == Counter({tuple(sorted(number[g] for g in known)): n for known, n in want.items()})
+    assert len(want) > 50 and {r.fold for r in folds} == {0, 1}
+
+
+def test_least_threshold_against_sorting(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([0.1, 0.7, rng.random(), 0.7 + rng.random() / 10**6, 1.0]), rng.randint(1, 4)) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "probability double, lines long").cache()
+    every = sorted((p for p, n in rows for _ in range(n)), reverse=True)
+    for most in (0, 1, 300, 500, 700, len(every) - 1):
+        least = scans.least_threshold(frame, most)
+        assert sum(p >= least for p in every) <= most < sum(p >= least - 2**-30 for p in every)
+    assert scans.least_threshold(frame, len(every)) is None
+    assert scans.least_threshold(frame.limit(0), 0) is None
