@@ -4,7 +4,8 @@ Distances count words inserted, deleted or replaced.  From every word of a text,
 an item's size is walked at random: at step j the walk reads the word under it and moves on if
 a fixed random bit of (j, word) says so.  Equal steps of two walks tell a small edit distance,
 so windows and items that agree at a few sampled steps form a candidate; the sampling is
-repeated.  Candidates are verified by the exact edit distance.  Windows that hold too few of
+repeated; a walk ends at the first sampled step at which no item reads what it has read.
+Candidates are verified by the exact edit distance.  Windows that hold too few of
 the items' word pairs to be within the distance (an edit breaks two pairs at most) are left out
 before the walks.  Near the distance walks meet too seldom, above all after deletions, so every
 window that holds enough pairs of one item is a candidate too: m words within e edits keep
@@ -14,6 +15,7 @@ m - 1 - 2 e of the item's pairs, so that none is missed.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,18 @@ def edit_distance(masks: dict[int, int], m: int, text: np.ndarray, anywhere: boo
     return best, end
 
 
+def _spread(words: np.ndarray) -> np.ndarray:
+    """Symbols as the walks hash them."""
+    return words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _matched(place: np.ndarray, key: np.ndarray, keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) of every item that the sorted ``keys`` hold under the key of a place."""
+    low = np.searchsorted(keys, key)
+    times = np.searchsorted(keys, key, side="right") - low
+    return np.repeat(place, times), items[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+
+
 class Index:
     """The items of one pass: vocabulary, word pairs, and the LSH tables of each length class."""
 
@@ -67,7 +81,9 @@ class Index:
         texts = [(i, w) for i, t in items if (w := plain_words(t))]
         self.ids = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}), 1)}
         self.items = [(i, np.array([self.ids[w] for w in ws])) for i, ws in texts]
+        self.sizes = np.array([len(s) for _, s in self.items], np.int64)
         self.edits = [int(share * len(s)) for _, s in self.items]
+        self.least = self.sizes - 1 - 2 * np.array(self.edits, np.int64)
         self.masks = []
         for _, s in self.items:
             mask: dict[int, int] = defaultdict(int)
@@ -89,136 +105,151 @@ class Index:
             order = order[len(inside):]
             spare = max(self.edits[k] for k in inside)
             rng = np.random.default_rng(size)
+            words = np.concatenate([np.append(self.items[k][1], 0) for k in inside])
+            stop = np.cumsum(self.sizes[inside] + 1) - 1
+            start = stop - self.sizes[inside]
             tables = []
             for r in range(repetitions):
                 steps = np.sort(rng.choice(2 * size, min(BITS, 2 * size), replace=False))
-                table: dict[tuple, list[int]] = defaultdict(list)
-                for k in inside:
-                    s = self.items[k][1]
-                    key = self.walk(s, np.zeros(1, np.int64), np.full(1, len(s)), steps, r)
-                    table[tuple(key[:, 0].tolist())].append(k)
-                tables.append((steps, dict(table)))
+                keys = [key for _, key in self.walk(words, _spread(words), start, stop, steps, r)]
+                of = np.argsort(keys[-1], kind="stable")
+                tables.append((steps, [np.unique(key) for key in keys], keys[-1][of], np.array(inside, np.int64)[of]))
             self.classes.append((size, spare, tables, *self.postings(inside)))
 
     def postings(self, inside: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Pair slots, sorted, and the item of each, of the items whose least number of kept pairs is positive."""
-        least = {k: len(self.items[k][1]) - 1 - 2 * self.edits[k] for k in inside}
-        slots = [(k, np.unique(self.pair_slots(self.items[k][1]))) for k in inside if least[k] > 0]
+        slots = [(k, np.unique(self.pair_slots(self.items[k][1]))) for k in inside if self.least[k] > 0]
         slot = np.concatenate([np.empty(0, np.int64), *(x for _, x in slots)])
         item = np.repeat(np.array([k for k, _ in slots], np.int64), [len(x) for _, x in slots])
         order = np.argsort(slot, kind="stable")
         return slot[order], item[order]
 
-    def counted(self, slots: np.ndarray, start: np.ndarray, stop: np.ndarray, slot: np.ndarray, item: np.ndarray):
-        """(start, item) of every window that holds the least number of pairs of an item of the class.
+    def counted(self, at: np.ndarray, slots: np.ndarray, begins: np.ndarray, start: np.ndarray, slot: np.ndarray,
+                item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first start, last start, item) of the windows that hold the least number of pairs of an item of the class.
 
-        ``start`` has the windows left of the class; only what lies in them is looked up.
+        ``start`` has the windows left of the class; of the pairs, in ``slots`` at places ``at``, only those
+        that lie in them are looked up.  ``begins`` has the start of each word's text.
         """
-        longest = max((len(self.items[k][1]) for k in np.unique(item).tolist()), default=0)
-        if not longest:
-            return
-        near = np.zeros(len(stop) + 1, np.int64)
-        near[start] += 1
-        np.subtract.at(near, np.minimum(start + longest, len(stop)), 1)
-        at = np.flatnonzero((np.cumsum(near)[:len(slots)] > 0) & (slots >= 0))
-        low, high = np.searchsorted(slot, slots[at]), np.searchsorted(slot, slots[at], side="right")
-        times = high - low
-        place = np.repeat(at, times)
-        found = item[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(len(place))]
-        order = np.lexsort((place, found))
+        longest = int(self.sizes[item].max(initial=0))
+        left = np.searchsorted(start, at, side="right") - 1
+        inner = (left >= 0) & (at - start[left] < longest)
+        at, slots = at[inner], slots[inner]
+        place, found = _matched(at, slots, slot, item)
+        order = np.argsort(found * len(begins) + place)
         place, found = place[order], found[order]
-        size = np.array([len(s) for _, s in self.items], np.int64)[found]
-        last = np.arange(len(found)) + size - 2 - 2 * np.array(self.edits, np.int64)[found]
+        size = self.sizes[found]
+        last = np.arange(len(found)) + self.least[found] - 1
         ok = last < len(found)
         ok[ok] &= found[last[ok]] == found[ok]
         # of a window of the item's size: its first pair at the latest here, its last needed one at the earliest there
         ok[ok] &= place[last[ok]] - place[ok] <= size[ok] - 2
-        first, reach, found = place[ok], place[last[ok]] - size[ok] + 2, found[ok]
-        many = first - reach + 1
-        begin = np.repeat(reach - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        first, found = np.repeat(first, many), np.repeat(found, many)
-        same = (begin >= 0) & (stop[np.maximum(begin, 0)] == stop[first])
-        yield from zip(begin[same].tolist(), found[same].tolist(), strict=True)
+        first = place[ok]
+        return np.maximum(place[last[ok]] - size[ok] + 2, begins[first]), first, found[ok]
 
     def pair_slots(self, s: np.ndarray) -> np.ndarray:
         code = mixed(s[:-1].astype(np.uint64) * np.uint64(0x100000001B3) + s[1:].astype(np.uint64))
         return np.where((s[:-1] > 0) & (s[1:] > 0), (code & np.uint64(_SLOTS - 1)).astype(np.int64), -1)
 
     @staticmethod
-    def walk(words: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, r: int) -> np.ndarray:
-        """Symbols read at the given steps by the r-th random walk from each start; 0 behind the end."""
-        at, read = start.copy(), []
-        wanted = set(steps.tolist())
-        for j in range(int(steps[-1]) + 1):
-            symbol = np.where(at < stop, words[np.minimum(at, len(words) - 1)], 0)
-            if j in wanted:
-                read.append(symbol)
-            bit = mixed(symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 131071 + r * 8191 + 1))
-            at += (bit >> np.uint64(40) & np.uint64(1)).astype(np.int64)
-        return np.array(read)
-
-    def candidates(self, words: np.ndarray, stop: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that share a bucket or enough word pairs; ``stop`` has the end of each word's text."""
-        hit = np.zeros(len(words), np.int64)
+    def walk(words: np.ndarray, spread: np.ndarray, start: np.ndarray, stop: np.ndarray, steps: np.ndarray, r: int,
+             levels: list[np.ndarray] | None = None):
+        """At each of the given steps, (walks, keys) of the r-th random walks: a key stands for the symbols read so far.
+
+        A walk stays at the 0 that ends its text.  With ``levels``, the keys wanted at each step, all other walks end there.
+        """
+        at, of = start.copy(), np.arange(len(start))
+        key = np.zeros(len(start), np.uint64)
+        for n, (before, step) in enumerate(pairwise([0, *steps.tolist()])):
+            for j in range(before, step):
+                bit = mixed(spread[at] + np.uint64(j * 131071 + r * 8191 + 1))
+                at += (bit >> np.uint64(40) & np.uint64(1)).view(np.int64)
+                np.minimum(at, stop, out=at)
+            key = mixed(key + words[at].astype(np.uint64))
+            if levels is not None:
+                wanted = levels[n]
+                kept = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                at, of, key, stop = at[kept], of[kept], key[kept], stop[kept]
+            yield of, key
+            if not len(of):
+                return
+
+    def candidates(self, words: np.ndarray, stop: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first start, last start, item) of windows that share a bucket or enough word pairs with an item.
+
+        ``stop`` has the end of each word's text, ``begins`` its start.
+        """
         slots = self.pair_slots(words)
-        hit[:-1] = (slots >= 0) & self.pairs[slots]
-        summed = np.concatenate([[0], np.cumsum(hit)])
-        found: set[tuple[int, int]] = set()
+        hit = (slots >= 0) & self.pairs[slots]
+        at = np.flatnonzero(hit)
+        slots = slots[at]
+        found = [(np.empty(0, np.int64),) * 3]
         if self.single:
-            for s in np.flatnonzero(np.isin(words, list(self.single))).tolist():
-                found.update((s, k) for k in self.single[int(words[s])])
-        if not summed[-1] and all(size - 1 > 2 * spare for size, spare, *_ in self.classes if size > 1):
-            return found
-        place = np.arange(len(words))
-        for size, spare, tables, slot, item in self.classes:
-            pairs = summed[np.minimum(place + size - 1, stop - 1).clip(0)] - summed[:-1]
-            start = np.flatnonzero((pairs >= size - 1 - 2 * spare) & (place + size - spare <= stop))
-            if not len(start):
-                continue
-            for r, (steps, table) in enumerate(tables):
-                keys = self.walk(words, start, stop[start], steps, r)
-                for s, key in zip(start.tolist(), map(tuple, keys.T.tolist()), strict=True):
-                    for k in table.get(key, ()):
-                        found.add((s, k))
-            found.update(self.counted(slots, start, stop, slot, item))
-        return found
-
-    def stretches(self, words: np.ndarray, stop: np.ndarray, owner: np.ndarray):
-        """Of each text and item the candidates as (first start, last start) of starts near each other."""
-        grouped: dict[tuple[int, int], list[list[int]]] = {}
-        for s, k in sorted(self.candidates(words, stop)):
-            spans = grouped.setdefault((int(owner[s]), k), [])
-            if spans and s - spans[-1][1] <= len(self.items[k][1]):
-                spans[-1][1] = s
-            else:
-                spans.append([s, s])
-        return grouped.items()
+            place = np.flatnonzero(np.isin(words, list(self.single)))
+            many = [self.single[w] for w in words[place].tolist()]
+            place = np.repeat(place, [len(ks) for ks in many])
+            found.append((place, place, np.array([k for ks in many for k in ks], np.int64)))
+        if len(at) or any(size - 1 <= 2 * spare for size, spare, *_ in self.classes if size > 1):
+            longest = max((size for size, *_ in self.classes), default=1)
+            summed = np.zeros(len(words) + longest, np.int32)
+            np.cumsum(hit, out=summed[1:len(words)])
+            summed[len(words):] = summed[len(words) - 1]
+            spread = _spread(words)
+            for size, spare, tables, slot, item in self.classes:
+                least = size - 1 - 2 * spare
+                # windows over the ends of texts hold at least as many pairs as what lies inside the text
+                start = np.flatnonzero(summed[size - 1:size - 1 + len(words)] - summed[:len(words)] >= least)
+                end = stop[start]
+                inside = summed[np.minimum(start + size - 1, end - 1).clip(0)] - summed[start]
+                start = start[(inside >= least) & (start + size - spare <= end)]
+                if not len(start):
+                    continue
+                for r, (steps, levels, keys, items) in enumerate(tables):
+                    *_, (of, key) = self.walk(words, spread, start, stop[start], steps, r, levels)
+                    place, k = _matched(start[of], key, keys, items)
+                    found.append((place, place, k))
+                if len(slot):
+                    found.append(self.counted(at, slots, begins, start, slot, item))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def stretches(self, words: np.ndarray, stop: np.ndarray, owner: np.ndarray, begins: np.ndarray):
+        """(text, item, first start, last start) of the candidates of each text and item, starts near each other together."""
+        first, last, item = self.candidates(words, stop, begins)
+        order = np.argsort(item * len(words) + first)
+        first, last, item = first[order], last[order], item[order]
+        text = owner[first]
+        new = np.ones(len(first), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1])
+        # the last start so far of the same item and text: places grow with the texts, so only items need room between them
+        reach = np.maximum.accumulate(item * len(words) + last) - item * len(words)
+        new[1:] |= first[1:] - reach[:-1] > self.sizes[item[1:]]
+        at = np.flatnonzero(new)
+        ends = np.append(at[1:], len(new))[:len(at)] - 1
+        return zip(text[at].tolist(), item[at].tolist(), first[at].tolist(), reach[ends].tolist(), strict=True)
 
     def matches(self, texts: list[bytes | None]):
         """(text, item id, first word, words, distance): the best place of each item within its distance."""
-        lists = [plain_words(t) for t in texts]
-        get = self.ids.get
-        words = np.array([get(w, 0) for ws in lists for w in [*ws, b""]], np.int64)
-        if not len(words):
+        lists = [[*plain_words(t), b""] for t in texts]
+        if not lists:
             return
-        sizes = np.array([len(ws) + 1 for ws in lists])
+        sizes = np.array([len(ws) for ws in lists])
         ends = np.cumsum(sizes)
-        stop, owner = np.repeat(ends - 1, sizes), np.repeat(np.arange(len(lists)), sizes)
+        words = np.fromiter(map(self.ids.get, chain.from_iterable(lists), repeat(0)), np.int64, ends[-1])
+        stop, owner, begins = (np.repeat(x, sizes) for x in (ends - 1, np.arange(len(lists)), ends - sizes))
         best: dict[tuple[int, int], tuple] = {}
-        for (d, k), starts in self.stretches(words, stop, owner):
+        for d, k, first, last in self.stretches(words, stop, owner, begins):
             m, most = len(self.items[k][1]), self.edits[k]
-            for first, last in starts:
-                held = best.get((d, k))
-                if held and held[0] == 0:
+            held = best.get((d, k))
+            if held and held[0] == 0:
+                continue
+            # one search over all windows of the stretch, then the first start of the passage it found
+            distance, end = edit_distance(self.masks[k], m, words[first:min(stop[first], last + m + most)], True)
+            if distance > most or held and distance >= held[0]:
+                continue
+            for s in range(max(first, first + end - m - distance), first + end - m + distance + 1):
+                if (hit := edit_distance(self.masks[k], m, words[s:min(stop[s], s + m + most)]))[0] == distance:
+                    best[d, k] = (distance, s, hit[1])
                     break
-                # one search over all windows of the stretch, then the first start of the passage it found
-                distance, end = edit_distance(self.masks[k], m, words[first:min(stop[first], last + m + most)], True)
-                if distance > most or held and distance >= held[0]:
-                    continue
-                for s in range(max(first, first + end - m - distance), first + end - m + distance + 1):
-                    if (hit := edit_distance(self.masks[k], m, words[s:min(stop[s], s + m + most)]))[0] == distance:
-                        best[d, k] = (distance, s, hit[1])
-                        break
         for (d, k), (distance, s, end) in sorted(best.items()):
             yield d, self.items[k][0], int(s - (ends[d] - sizes[d])), end, distance
 

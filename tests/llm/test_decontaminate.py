@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
+from llm import decontaminate as operator
 from llm.decontaminate import Index, contaminated, decontaminate, edit_distance, plain_words
+from llm.words import mixed
 from tests.llm.brute import docs_frame, edited, prose, word_distance
 
 ITEMS = "item_id long, text string, lang string"
@@ -97,3 +99,52 @@ def test_nothing_is_missed_at_the_full_distance():
             doc = " ".join([*lead, *inner, *tail]).encode()
             hits = {h[1]: h[4] for h in index.matches([b"other words", doc, b""])}
             assert i in hits and hits[i] <= int(0.2 * len(words)), (kind, i)
+
+
+def test_buckets_equal_plain_walks():
+    """With a share that leaves no pairs the candidates are those of the walks alone; texts shorter than items among them."""
+    rng = random.Random(7)
+    items = [(k, " ".join(f"w{rng.randrange(12)}" for _ in range(m)).encode()) for k, m in enumerate([2, 2, 3, 6, 7, 8, 8, 13, 14, 20])]
+    index = Index(items, 0.5)
+    texts = [[f"w{rng.randrange(14)}".encode() for _ in range(n)] for n in (0, 40, 1, 7, 0, 60, 3)]
+    words = np.array([index.ids.get(w, 0) for ws in texts for w in [*ws, b""]], np.int64)
+    sizes = np.array([len(ws) + 1 for ws in texts])
+    ends = np.cumsum(sizes)
+    stop = np.repeat(ends - 1, sizes)
+
+    def read(symbols, steps, r):
+        at, out = 0, []
+        for j in range(steps[-1] + 1):
+            symbol = symbols[at] if at < len(symbols) else 0
+            out += [symbol] * (j in steps)
+            bit = mixed(np.array([symbol], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 131071 + r * 8191 + 1))
+            at += int(bit[0]) >> 40 & 1
+        return out
+
+    expected = set()
+    for size, spare, tables, *_ in index.classes:
+        inside = [k for k, (_, s) in enumerate(index.items) if size <= len(s) <= size * 1.15]
+        for r, (steps, *_) in enumerate(tables):
+            steps = steps.tolist()
+            held = {k: read(index.items[k][1].tolist(), steps, r) for k in inside}
+            for s in range(len(words)):
+                if s + size - spare <= stop[s]:
+                    key = read(words[s:stop[s]].tolist(), steps, r)
+                    expected |= {(s, s, k) for k in inside if held[k] == key}
+    got = index.candidates(words, stop, np.repeat(ends - sizes, sizes))
+    assert expected and set(zip(*(x.tolist() for x in got), strict=True)) == expected
+
+
+def test_walks_end_where_no_item_reads_the_same(monkeypatch):
+    """A text whose windows all hold enough pairs, of many items: most walks end at their first sampled step."""
+    rng = random.Random(8)
+    items = [[f"w{rng.randrange(2000)}" for _ in range(40)] for _ in range(20)]
+    index = Index([(k, " ".join(w).encode()) for k, w in enumerate(items)], 0.2)
+    pieces = [w[a:a + 10] for w in items for a in range(0, 40, 10)]
+    rng.shuffle(pieces)
+    text = " ".join(w for piece in pieces for w in piece).encode()
+    hashed = []
+    monkeypatch.setattr(operator, "mixed", lambda x: hashed.append(len(x)) or mixed(x))
+    list(index.matches([text]))
+    whole = sum((int(steps[-1]) + 1) * (len(pieces) * 10 - 32) for _, _, tables, *_ in index.classes for steps, *_ in tables)
+    assert sum(hashed) < 0.6 * whole
