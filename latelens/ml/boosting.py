@@ -5,12 +5,13 @@ hessians per (node, column, bin).  The tasks of the barrier stage keep their row
 scores in memory for all trees and exchange only those sums, so a tree costs no Spark job.
 
 Sums are whole numbers (gradients in units of 2^-20): they add up to the same in any order and
-over any number of tasks, and all tasks choose the same splits without a leader.  Row samples
+over any number of tasks, and all tasks choose the same splits without a leader.  Of two children
+only the lighter one is summed and exchanged; the other is its parent less that.  Row samples
 come from a hash of the row's key, column samples from the seed and the tree's number, so the
 model does not depend on how rows lie in partitions.
 
-Memory of a task: its rows times (columns + about 40) bytes.  One exchange carries tasks x nodes
-x bins of all columns x 16 bytes, cut to ``EXCHANGE_BYTES``; hence at most ``MOST_TASKS`` tasks, with more
+Memory of a task: its rows times (columns + about 60) bytes.  One exchange carries, at most, tasks x
+split nodes x bins of all columns x 16 bytes, cut to ``EXCHANGE_BYTES``; hence at most ``MOST_TASKS`` tasks, with more
 rows in each.  A lost executor restarts the stage from the staged input.  Barrier stages need a
 fixed set of executors with as many free slots as tasks.
 """
@@ -18,17 +19,21 @@ fixed set of executors with as many free slots as tasks.
 from __future__ import annotations
 
 import base64
-import zlib
+import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import BarrierTaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latelens.operators.staging import scratch_folder
+
 BINS = 256
 UNIT = float(1 << 20)
 ROWS_PER_TASK, MOST_TASKS = 100_000, 256
@@ -69,13 +74,18 @@ class Layout:
         return sorted(out, key=lambda s: s[:2]) or [(0, np.inf, 0, 0, 0)]  # nothing to split: all stays left
 
 
-def right_sums(hist: np.ndarray, sizes: list[int], cuts: list) -> np.ndarray:
-    """Per (node, cut) what lies to the right, from sums per (node, bin of every column)."""
+def cut_places(sizes: list[int], cuts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Per cut, which places of the running sums over all bins bound what lies to the right."""
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    running = np.concatenate([np.zeros((len(hist), 1), hist.dtype), np.cumsum(hist, axis=1)], axis=1)
     column = np.array([c[2] for c in cuts])
     low = begin[column] + np.array([c[3] for c in cuts]) + 1
     high = np.minimum(begin[column] + np.array([c[4] for c in cuts]) + 1, begin[column + 1])
+    return low, high
+
+
+def right_sums(hist: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Per (node, cut) what lies to the right, from sums per (node, bin of every column)."""
+    running = np.concatenate([np.zeros((len(hist), 1), hist.dtype), np.cumsum(hist, axis=1)], axis=1)
     return running[:, high] - running[:, low]
 
 
@@ -92,17 +102,97 @@ def sampled_features(width: int, tree: int, share: float, seed: int) -> np.ndarr
     return chosen
 
 
-def _summed(own: np.ndarray, tasks: int) -> np.ndarray:
+def packed(part: np.ndarray) -> bytes:
+    """Which of the whole numbers are not zero, and those in as few bytes as the largest needs."""
+    flat = part.ravel()
+    at = flat != 0
+    values = flat[at]
+    most = max(int(values.max()), -int(values.min()) - 1) if len(values) else 0
+    size = next(b for b in range(1, 9) if b == 8 or most < 1 << (8 * b - 1))
+    low = values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size]
+    return bytes([size]) + np.packbits(at).tobytes() + low.tobytes()
+
+
+def add_packed(message: bytes, out: np.ndarray) -> None:
+    """Adds what ``packed`` has written to ``out``, an array of one dimension."""
+    raw = np.frombuffer(message, np.uint8)
+    size, values = int(raw[0]), 1 + -(-len(out) // 8)
+    at = np.unpackbits(raw[1:values], count=len(out)).view(bool)
+    wide = np.zeros(((len(raw) - values) // size, 8), np.uint8)
+    wide[:, 8 - size:] = raw[values:].reshape(-1, size)
+    out[at] += wide.view("<i8").ravel() >> (8 * (8 - size))
+
+
+class Exchange:
+    """Messages from each task of a barrier stage to all others.
+
+    Spark's own ``allGather`` looks for an answer once a second only, and a model needs thousands of them.
+    So messages are files of a shared folder, read as soon as they are there, and gathered by Spark only
+    where tasks do not see each other's files.  A task that is killed ends its waiting.
+    """
+
+    def __init__(self, folder: str, tasks: int):
+        self.tasks, self.turn, self.store = tasks, 0, None
+        if tasks > 1:
+            self.context = BarrierTaskContext.get()
+            self.me = self.context.partitionId()
+            attempt = self.context.allGather(str(self.context.taskAttemptId()))[0]  # no other try of the stage has it
+            if not all(seen == "yes" for seen in self.context.allGather("yes" if self._opened(folder, attempt) else "no")):
+                self.store = None
+
+    def _opened(self, folder: str, attempt: str) -> bool:
+        try:
+            local = re.match("(?:file:/*)?(/.*|$)", folder)
+            store, root = (fs.LocalFileSystem(), "/" + local[1].lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+            self.store, self.root = store, f"{root}/{attempt}"
+            store.create_dir(self.root, recursive=True)
+            self._write(b"")
+            written = True
+        except (OSError, ValueError, ImportError):
+            written = False
+        self.context.barrier()
+        return written and all(self._there(k) for k in range(self.tasks))
+
+    def _path(self, task: int, turn: int | None = None) -> str:
+        return f"{self.root}/{self.turn if turn is None else turn}-{task}"
+
+    def _there(self, task: int) -> bool:
+        return self.store.get_file_info(self._path(task)).type == fs.FileType.File
+
+    def _write(self, message: bytes) -> None:
+        with self.store.open_output_stream(f"{self._path(self.me)}.part") as out:
+            out.write(message)
+        self.store.move(f"{self._path(self.me)}.part", self._path(self.me))
+
+    def others(self, message: bytes) -> Iterator[bytes]:
+        """Hands out ``message`` and yields those of all other tasks."""
+        if self.store is None:
+            got = self.context.allGather(base64.b64encode(message).decode())
+            yield from (base64.b64decode(m) for k, m in enumerate(got) if k != self.me)
+            return
+        self.turn += 1
+        self._write(message)
+        for k in (k % self.tasks for k in range(self.me + 1, self.me + self.tasks)):
+            wait = 0.0005
+            while not self._there(k):
+                time.sleep(wait)
+                wait = min(2 * wait, 0.02)
+            with self.store.open_input_file(self._path(k)) as file:
+                yield file.read()
+        # All have written for this turn, so all have read what was written for the one before.
+        self.store.delete_file(self._path(self.me, self.turn - 1))
+
+
+def _summed(own: np.ndarray, exchange: Exchange) -> np.ndarray:
     """The sum of all tasks' arrays; rows travel in portions that fit a message."""
-    if tasks == 1:
+    if exchange.tasks == 1:
         return own
-    context, out = BarrierTaskContext.get(), np.empty_like(own)
-    step = max(1, EXCHANGE_BYTES // (tasks * own[:1].nbytes))
+    out = own.copy()
+    step = max(1, EXCHANGE_BYTES // (exchange.tasks * own[:1].nbytes))
     for a in range(0, len(own), step):
-        part = np.ascontiguousarray(own[a:a + step])
-        sent = base64.b64encode(zlib.compress(part.tobytes(), 1)).decode()
-        got = [np.frombuffer(zlib.decompress(base64.b64decode(m)), np.int64) for m in context.allGather(sent)]
-        out[a:a + step] = sum(got).reshape(part.shape)
+        total = out[a:a + step].reshape(-1)
+        for message in exchange.others(packed(own[a:a + step])):
+            add_packed(message, total)
     return out
 
 
@@ -137,27 +227,40 @@ class BoostedTrees:
         found = frame.select(x.alias("x")).agg(*[F.percentile_approx(F.col("x")[f], ranks, 10_000) for f in numeric]).first() if numeric else []
         return Layout(first[0], {f: np.unique(found[i]) for i, f in enumerate(numeric)}, self.groups)
 
-    def fit(self, frame: DataFrame) -> BoostedModel:
-        """``frame`` should be staged: it is read twice."""
-        layout = self.layout(frame)
+    def fit(self, frame: DataFrame, layout: Layout | None = None) -> BoostedModel:
+        """``frame`` should be staged: it is read twice.  Models of the same features may share a ``layout``."""
+        layout = layout or self.layout(frame)
         slots = frame.sparkSession.sparkContext.defaultParallelism
         tasks = max(1, min(-(-frame.count() // self.rows_per_task), slots, MOST_TASKS))
         rows = frame.select(
             F.xxhash64(self.key).alias("key"), F.col(self.label).cast("double").alias("y"),
             F.col(self.weight).cast("double").alias("w"), vector_to_array(self.features).alias("x"))
-        grown = rows.repartition(tasks, "key").mapInArrow(_grower(self, layout, tasks), _TREE, barrier=True)
-        trees = sorted(grown.collect(), key=lambda r: r["tree"])  # one row per tree
+        with scratch_folder(frame.sparkSession, "sums") as folder:
+            grown = rows.repartition(tasks).mapInArrow(_grower(self, layout, tasks, folder), _TREE, barrier=True)
+            trees = sorted(grown.collect(), key=lambda r: r["tree"])  # one row per tree
         return BoostedModel(
             self.features, layout.width, self.depth, np.array([r["feature"] for r in trees], np.int64),
             np.array([r["threshold"] for r in trees]), np.array([r["leaf"] for r in trees]), np.array([r["gain"] for r in trees]))
 
 
-def _grower(plan: BoostedTrees, layout: Layout, tasks: int):
+def _grower(plan: BoostedTrees, layout: Layout, tasks: int, folder: str):
     sizes, cuts = layout.sizes(), layout.cuts()
     begin = np.concatenate([[0], np.cumsum(sizes)])
     feature = np.array([c[0] for c in cuts], np.int64)
     threshold = np.array([c[1] for c in cuts])
     column, low, high = (np.array([c[k] for c in cuts], np.int64) for k in (2, 3, 4))
+    places = cut_places(sizes, cuts)
+
+    def sums(table: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
+        """Per slot of the given rows (-1: of none) the sums of both measures per bin of every column."""
+        own = np.zeros((slots, 2, begin[-1]), np.int64)
+        rows = np.flatnonzero(slot >= 0)
+        slot, g, h = slot[rows], g[rows], h[rows]
+        for c, size in enumerate(sizes):
+            at = slot * size + table[:, c][rows]
+            for k, value in enumerate((g, h)):
+                own[:, k, begin[c]:begin[c + 1]] = np.bincount(at, value, slots * size).reshape(slots, size)
+        return own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ys, ws, bins = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)], []
@@ -169,44 +272,54 @@ def _grower(plan: BoostedTrees, layout: Layout, tasks: int):
                     held.append(b.column(name).to_numpy(zero_copy_only=False))
         key, y, w = (np.concatenate(v) for v in (keys, ys, ws))
         table = np.asfortranarray(np.concatenate(bins)) if bins else np.empty((0, len(sizes)), np.uint8, order="F")
+        flat, exchange = table.reshape(-1, order="F"), Exchange(folder, tasks)
         score, row = np.zeros(len(y)), np.arange(len(y))
         out = []
         for tree in range(plan.rounds):
             p = 1.0 / (1.0 + np.exp(-score))
+            g, h = np.rint(w * (p - y) * UNIT), np.rint(w * p * (1.0 - p) * UNIT)
             taken = sampled_rows(key, tree, plan.row_share) if plan.row_share < 1 else np.ones(len(y), bool)
-            g, h = np.rint(w * (p - y) * UNIT) * taken, np.rint(w * p * (1.0 - p) * UNIT) * taken
             allowed = sampled_features(layout.width, tree, plan.column_share, plan.seed)[feature]
-            node, totals, alive = np.zeros(len(y), np.int64), None, np.ones(1, bool)
+            # hist has the sums of the nodes that may be split, live, in their order.
+            node, live = np.zeros(len(y), np.int64), np.zeros(1, np.int64)
+            hist = _summed(sums(table, g, h, np.where(taken, 0, -1), 1), exchange)
+            totals = hist[:, :, :sizes[0]].sum(axis=2)
             picked_f, picked_t, picked_g = [], [], []
             for level in range(plan.depth):
                 nodes = 1 << level
-                own = np.zeros((nodes, 2, begin[-1]), np.int64)
-                for c, size in enumerate(sizes):
-                    at = node * size + table[:, c]
-                    for k, value in enumerate((g, h)):
-                        own[:, k, begin[c]:begin[c + 1]] = np.bincount(at, value, nodes * size).reshape(nodes, size)
-                hist = _summed(own, tasks)
-                if totals is None:
-                    totals = hist[:, :, :sizes[0]].sum(axis=2)
-                right_g, right_h = (right_sums(hist[:, k], sizes, cuts) for k in range(2))
+                if level and len(live):
+                    # Children stand side by side: of each pair the lighter is summed, the other is what is left.
+                    pair = totals[live, 1].reshape(-1, 2)
+                    light = 2 * np.arange(len(pair)) + (pair[:, 1] < pair[:, 0])
+                    slot = np.full(nodes, -1)
+                    slot[live[light]] = np.arange(len(light))
+                    parents, hist = hist, np.empty((len(live), *hist.shape[1:]), np.int64)
+                    hist[light] = _summed(sums(table, g, h, np.where(taken, slot[node], -1), len(light)), exchange)
+                    hist[light ^ 1] = parents - hist[light]
+                right_g, right_h = (right_sums(hist[:, k], *places) for k in range(2))
                 gr, hr = right_g / UNIT, right_h / UNIT
-                g_all, h_all = totals[:, :1] / UNIT, totals[:, 1:] / UNIT
-                gl, hl = (totals[:, :1] - right_g) / UNIT, (totals[:, 1:] - right_h) / UNIT
+                total = totals[live]
+                g_all, h_all = total[:, :1] / UNIT, total[:, 1:] / UNIT
+                gl, hl = (total[:, :1] - right_g) / UNIT, (total[:, 1:] - right_h) / UNIT
                 gain = gl**2 / (hl + plan.penalty) + gr**2 / (hr + plan.penalty) - g_all**2 / (h_all + plan.penalty)
-                fits = (hl >= plan.least_hessian) & (hr >= plan.least_hessian) & allowed & alive[:, None]
+                fits = (hl >= plan.least_hessian) & (hr >= plan.least_hessian) & allowed
                 gain = np.where(fits, gain, -np.inf)
-                best = gain.argmax(axis=1)
-                top = gain[np.arange(nodes), best]
+                at, among = gain.argmax(axis=1), np.arange(len(live))
+                best, top, moved = np.zeros(nodes, np.int64), np.full(nodes, -np.inf), np.zeros((nodes, 2), np.int64)
+                best[live], top[live] = at, gain[among, at]
                 split = top > 1e-6
+                moved[live] = np.stack([right_g[among, at], right_h[among, at]], 1)
+                moved[~split] = 0
                 picked_f += np.where(split, feature[best], 0).tolist()
                 picked_t += np.where(split, threshold[best], np.inf).tolist()
                 picked_g += np.where(split, top, 0.0).tolist()
-                value = table[row, column[best][node]]
-                goes = split[node] & (value > low[best][node]) & (value <= high[best][node])
-                node = 2 * node + goes
-                moved = np.where(split[:, None], np.stack([right_g[np.arange(nodes), best], right_h[np.arange(nodes), best]], 1), 0)
+                value = np.arange(BINS)
+                right = split[:, None] & (value > low[best][:, None]) & (value <= high[best][:, None])
+                reached = flat[(column[best] * len(y))[node] + row]
+                node = 2 * node + right.reshape(-1)[node * BINS + reached]
                 totals = np.stack([totals - moved, moved], axis=1).reshape(2 * nodes, 2)
-                alive = np.stack([split, split], axis=1).reshape(-1)
+                hist, live = hist[split[live]], live[split[live]]
+                live = np.stack([2 * live, 2 * live + 1], axis=1).reshape(-1)
             leaf = -plan.rate * (totals[:, 0] / UNIT) / (totals[:, 1] / UNIT + plan.penalty)
             score += leaf[node]
             out.append((tree, picked_f, picked_t, leaf.tolist(), picked_g))

@@ -7,9 +7,11 @@ past and future.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -160,6 +162,18 @@ def model_curves(scored: DataFrame, curve: DataFrame) -> dict[str, DataFrame]:
             "calibration": calibration_by(scored, ["model"])}
 
 
+def _fit_all(grid: dict[str, list[tuple[str, object]]], train: DataFrame) -> dict[str, object]:
+    """Linear candidates side by side: each iteration is a small job.  Boosted ones take all slots, one after another."""
+    with ThreadPoolExecutor(max(1, len(grid[LINEAR]))) as pool:
+        runs = [(label, pool.submit(inheritable_thread_target(train.sparkSession)(estimator.fit), train)) for label, estimator in grid[LINEAR]]
+        fitted = {label: run.result() for label, run in runs}
+    layout = None
+    for label, estimator in grid[BOOSTED]:
+        layout = layout or estimator.layout(train)
+        fitted[label] = estimator.fit(train, layout)
+    return fitted
+
+
 def _by_model(df: DataFrame) -> dict[str, dict]:
     """Metric records by model; one row per model comes to the driver."""
     return {r["model"]: {m: r[m] for m in METRICS} for r in df.collect()}
@@ -178,7 +192,7 @@ def train_models(features: DataFrame, max_iter: int | None = None, regions: Data
 
     baselines = {MAJORITY: MajorityBaseline.fit(parts["train"]), RULE: RuleBaseline.fit(parts["train"])}
     grid = candidates(weights["n"], max_iter, pre.groups())
-    fitted = {label: estimator.fit(ready["train"]) for family in grid.values() for label, estimator in family}
+    fitted = _fit_all(grid, ready["train"])
 
     # Validation: candidates, thresholds, selection.
     by = ["model"]

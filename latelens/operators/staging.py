@@ -59,6 +59,16 @@ def staged_until_done(spark: SparkSession) -> Iterator[None]:
             fs.delete(path, True)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """The full name of a new folder in shared storage, deleted with all in it at the end of the block."""
+    path, fs = _hadoop(spark, f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    try:
+        yield fs.makeQualified(path).toString()
+    finally:
+        fs.delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Materialise a frame once; the result is a plain Parquet scan.
 

@@ -1,11 +1,15 @@
 """Boosted trees against a plain version that looks at rows, not at sums per bin."""
 
+import time
+from contextlib import contextmanager
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from latelens.ml.boosting import UNIT, BoostedModel, BoostedTrees, Layout, sampled_features, sampled_rows
+from latelens.ml import boosting
+from latelens.ml.boosting import UNIT, BoostedModel, BoostedTrees, Layout, add_packed, packed, sampled_features, sampled_rows
 
 WIDTH = 6  # two numbers, four indicators of one group
 
@@ -111,3 +115,32 @@ def test_edge_layouts(frame):
     nothing = BoostedTrees("y", "w", "id", rounds=2, depth=2).fit(
         frame.select("id", "y", "w", array_to_vector(F.array(F.lit(1.0))).alias("features")))
     assert (nothing.threshold == np.inf).all()
+
+
+@pytest.mark.parametrize("values", [[0, 0], [5, 0, -7], [1 << 40, -(1 << 40), 127, 128, -128, -129], [-(1 << 63), (1 << 63) - 1]])
+def test_packed_sums_add_up(values):
+    own = np.array(values, np.int64)
+    out = np.arange(len(own)) * 0 + 0
+    add_packed(packed(own), out)
+    assert out.tolist() == values
+
+
+def test_tasks_do_not_wait_a_second_for_each_sum(frame):
+    plan = dict(label="y", weight="w", key="id", depth=3, least_hessian=1e-3, rows_per_task=300, groups=[(2, 4)])
+    BoostedTrees(**plan, rounds=1).fit(frame)  # starts the workers
+    begun = time.monotonic()
+    model = BoostedTrees(**plan, rounds=40).fit(frame)  # 120 sums of three tasks
+    assert time.monotonic() - begun < 40 and len(model.leaf) == 40
+
+
+def test_tasks_that_share_no_folder_gather_by_spark(frame, monkeypatch):
+    plan = BoostedTrees("y", "w", "id", rounds=2, depth=2, groups=[(2, 4)], rows_per_task=300)
+    one = plan.fit(frame)
+
+    @contextmanager
+    def nowhere(spark, label):
+        yield "nowhere://at-all"
+
+    monkeypatch.setattr(boosting, "scratch_folder", nowhere)
+    other = plan.fit(frame, plan.layout(frame))
+    assert np.array_equal(one.threshold, other.threshold) and np.array_equal(one.leaf, other.leaf)
