@@ -69,18 +69,43 @@ def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
         fs.delete(path, True)
 
 
-def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside the block leaves no shuffle files; else they stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def stage(df: DataFrame, label: str = "table", partition_by: list[str] | None = None, outlives: bool = False) -> DataFrame:
     """Materialise a frame once; the result is a plain Parquet scan.
 
     With ``partition_by``, the last columns, a filter on them reads and sizes only its own files.
+    ``outlives``: the table stays when the innermost ``staged_until_done`` ends.
     """
     path = f"{staging_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    scopes = _scopes[:-1] if outlives else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.partitionBy(*(partition_by or [])).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for name in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path, fs = _hadoop(df.sparkSession, name)
+        fs.delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this session staged, once its frames are no longer needed."""
     path, fs = _hadoop(spark, staging_folder(spark))

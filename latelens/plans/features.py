@@ -25,7 +25,7 @@ from latelens.functions.expressions import (
 from latelens.operators.keyed import first_non_null, first_per_key, hash_sample
 from latelens.operators.ordered import rows_at_positions, running_totals
 from latelens.operators.quantiles import exact_quantiles
-from latelens.operators.staging import stage
+from latelens.operators.staging import stage, staged_until_done, unstage
 from latelens.schemas import (
     CLASS_LATE,
     CLASS_ON_TIME,
@@ -259,6 +259,7 @@ def impute_business(orders: DataFrame, fit_on: str = "all") -> DataFrame:
         "gap_columns",
     )
     medians = stage(exact_quantiles(long, "value", [0.5], ["column_name", "scope"], ["median"]), "medians")
+    unstage(long)
 
     def pick(c):
         return F.max(F.when(F.col("column_name") == c, F.col("median")))
@@ -300,15 +301,18 @@ def build_feature_table(
 
     Orders are staged once after the rollup.  Splitting and gap filling only look at an
     order's own row and a few constants, so they run in the same pass that feeds the
-    seller history, the one step that has to bring orders together again.
+    seller history, the one step that has to bring orders together again.  Only the result stays staged.
     """
-    orders = stage(labelled_orders(items, principal, empty_sum), "orders")
-    split = temporal_split(orders)
-    rate = stage(train_late_rate(split), "train_rate")
-    filled = impute_business(split, impute_fit)
-    rated = add_seller_rate(filled, rate, min_orders, history)
-    full = rated.withColumns({"n_items": F.col("n_items").cast("int")})
-    return FeatureBuild(stage(full, "features"), rate)
+    with staged_until_done(items.sparkSession):
+        orders = stage(labelled_orders(items, principal, empty_sum), "orders")
+        split = temporal_split(orders)
+        rate = stage(train_late_rate(split), "train_rate", outlives=True)
+        filled = impute_business(split, impute_fit)
+        rated = add_seller_rate(filled, rate, min_orders, history)
+        if history == "row_order":
+            unstage(orders)  # all its rows lie in the ranges of the history
+        full = rated.withColumns({"n_items": F.col("n_items").cast("int")})
+        return FeatureBuild(stage(full, "features", outlives=True), rate)
 
 
 def audit_seller_rate(

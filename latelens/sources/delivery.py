@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampNTZType
 
 from latelens.operators.ordered import number_rows
+from latelens.operators.staging import stage, unstage
 from latelens.schemas import RAW_TABLES
 
+#: Up to so many rows of a key and a number, about 50 bytes each in memory, are copied to every executor.
+COPIED_ROWS = 1_000_000
 LAT_LOW, LAT_HIGH, LNG_LOW, LNG_HIGH = -34.0, 6.0, -74.0, -34.0
 
 
@@ -33,19 +36,28 @@ def _carried(oid, purchase):
     return F.when(oid % 307 != 0, _in_days(purchase, 1 + oid % 6))
 
 
-def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order, with or without items: buyer, status, purchase time, promise."""
-    nation = star(spark, folder, "nation")
+def copied(df: DataFrame) -> DataFrame:
+    """A table of a key and a number, copied to every executor as long as it is small."""
+    return F.broadcast(df) if df.count() <= COPIED_ROWS else df
+
+
+def bought_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order, with or without items: buyer, the buyer's nation, date."""
     buyers = star(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey")
-    buyer_nation = nation.select(
+    orders = star(spark, folder, "orders")
+    return orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_orderdate").join(
+        buyers, "customer_id")
+
+
+def placed_orders(spark: SparkSession, folder: str, bought: DataFrame | None = None) -> DataFrame:
+    """Rows of ``bought_orders``, whatever else is in them, with status, purchase time, promise, state."""
+    buyer_nation = star(spark, folder, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_state"),
         F.col("n_regionkey").alias("c_region"),
     )
     oid = F.col("order_id")
     return (
-        star(spark, folder, "orders")
-        .select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), "o_orderdate")
-        .join(buyers, "customer_id")
+        (bought_orders(spark, folder) if bought is None else bought)
         .join(buyer_nation, "c_nationkey")
         .withColumn("order_status", F.when(oid % 33 == 0, "canceled").otherwise("delivered"))
         .withColumn(
@@ -56,8 +68,13 @@ def placed_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def item_view(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order item."""
+def item_view(spark: SparkSession, folder: str, staged: bool = False) -> DataFrame:
+    """One row per order item.
+
+    With ``staged`` the steps are cut: rows travel narrow, numbered by order, given their sizes by product, and back to
+    their orders, whose columns come last; the shuffle files of a step and the rows before it go before the next begins.
+    """
+    cut = stage if staged else lambda df, label: df
     line = star(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), "l_linenumber", F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"), "l_shipdate", "l_quantity", "l_extendedprice",
@@ -72,18 +89,23 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
         first_value={"first_seller": "seller_id"},
     ).select("order_id", "order_item_id", "product_id", "seller_id", "first_seller", "l_extendedprice", "l_tax")
 
+    numbered = cut(numbered, "numbered")
+    parts = star(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), "p_type", "p_size")
+    sized = cut(numbered.join(parts, "product_id"), "sized")
+    if staged:
+        unstage(numbered)
+    bought = cut(bought_orders(spark, folder), "bought")
+
     # Every dimension is joined as the table it is, so that its own size decides between
     # broadcast and shuffle; joins of joins would only have a guessed size.
     nation = star(spark, folder, "nation")
     supplier = star(spark, folder, "supplier")
-    sellers = supplier.select(F.col("s_suppkey").alias("seller_id"), "s_nationkey")
-    first_sellers = supplier.select(F.col("s_suppkey").alias("first_seller"), F.col("s_nationkey").alias("first_nation"))
+    sellers = copied(supplier.select(F.col("s_suppkey").alias("seller_id"), "s_nationkey"))
+    first_sellers = copied(supplier.select(F.col("s_suppkey").alias("first_seller"), F.col("s_nationkey").alias("first_nation")))
     seller_nation = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller_state"))
     first_nation = nation.select(F.col("n_nationkey").alias("first_nation"), F.col("n_regionkey").alias("first_region"))
-    parts = star(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), "p_type", "p_size")
 
     oid = F.col("order_id")
-    orders = placed_orders(spark, folder)
     actual_days = (
         1 + (oid * 7 + F.col("customer_id") * 3) % 12 + F.col("first_seller") % 5
         + F.when(F.col("c_region") != F.col("first_region"), 3).otherwise(0)
@@ -94,13 +116,12 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
     seller_unplaced = F.col("seller_id") % 23 == 5
 
     return (
-        # The items are already partitioned and sorted by order: only the orders move.
-        numbered.join(orders.hint("merge"), "order_id")
+        # Merged, so that the items of an order lie side by side.
+        placed_orders(spark, folder, sized.join(bought.hint("merge"), "order_id"))
         .join(first_sellers, "first_seller")
         .join(first_nation, "first_nation")
         .join(sellers, "seller_id")
         .join(seller_nation, "s_nationkey")
-        .join(parts, "product_id")
         .select(
             "order_id", "order_item_id", "customer_id", "seller_id", "product_id", "order_status", "purchase_ts",
             _promised(purchase).alias("estimated_ts"),

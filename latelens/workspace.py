@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from latelens.ml import evaluation as ev
 from latelens.ml.baselines import RuleBaseline
 from latelens.ml.training import TrainingRun, train_models
-from latelens.operators.staging import stage, staging_folder
+from latelens.operators.staging import stage, staged_until_done, staging_folder
 from latelens.plans import exploration as ex
 from latelens.plans.features import FeatureBuild, build_feature_table
 from latelens.session import use_fixed_zone
@@ -47,7 +47,8 @@ class Workspace:
 
     @cached_property
     def view(self) -> DataFrame:
-        return stage(delivery.item_view(self.spark, self.folder), "items")
+        with staged_until_done(self.spark):
+            return stage(delivery.item_view(self.spark, self.folder, staged=True), "items", outlives=True)
 
     @property
     def items(self) -> DataFrame:
