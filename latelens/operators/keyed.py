@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latelens.operators.staging import stage
+
 
 def latest_per_key(df: DataFrame, key: str, time: str, tie: str, columns: list[str]) -> DataFrame:
     """One row per key: the latest by time, a missing time counting as latest.
@@ -48,29 +50,31 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
 
 
 def orphan_report(tables: dict[str, DataFrame], references: dict[str, tuple[str, str, str, str]]) -> DataFrame:
-    """Orphan rows per named check, (child table, child key, parent table, parent key): all checks in one job.
+    """Orphan rows per named check, (child table, child key, parent table, parent key): one job per parent.
 
-    Every child table is read once, whatever the number of its keys, and only counts per key
-    are shuffled; a parent's keys are made distinct once and shared by all checks on them.
-    A row without key is an orphan.  Keys compare as text.
+    The keys of a parent and of all its children meet in one shuffle of counts per key, and its files
+    go before those of the next parent come.  A row without key is an orphan.  Keys compare as text.
     """
-    by_child: dict[str, list] = {}
+    by_parent: dict[tuple[str, str], list[tuple[str, str, str]]] = {}
     for name, (child, key, parent, parent_key) in references.items():
-        cell = F.struct(F.lit(name).alias("check_name"), F.lit(f"{parent}.{parent_key}").alias("parent"),
-                        F.col(key).cast("string").alias("key"))
-        by_child.setdefault(child, []).append(cell)
-    asked = [tables[child].select(F.inline(F.array(*cells))) for child, cells in by_child.items()]
-    known = [
-        tables[parent].select(F.lit(f"{parent}.{key}").alias("parent"), F.col(key).cast("string").alias("key"))
-        for parent, key in dict.fromkeys(r[2:] for r in references.values())
-    ]
-    counts = reduce(DataFrame.unionAll, asked).groupBy("check_name", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
-    keys = reduce(DataFrame.unionAll, known).where("key is not null").distinct()
-    lost = counts.join(keys, ["parent", "key"], "left_anti").groupBy("check_name").agg(F.sum("n").alias("orphans"))
-    spark = counts.sparkSession
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in references])).alias("check_name"))
-    return names.join(F.broadcast(lost), "check_name", "left").select(  # one row per check
-        "check_name", F.coalesce("orphans", F.lit(0)).alias("orphans"))
+        by_parent.setdefault((parent, parent_key), []).append((name, child, key))
+    found = []
+    for (parent, parent_key), checks in by_parent.items():
+        counts = [f"n{i}" for i in range(len(checks))]
+
+        def keyed(table, key, check):
+            return tables[table].select(F.col(key).cast("string").alias("key"), F.lit(check is None).alias("known"), *[
+                F.lit(int(i == check)).cast("bigint").alias(c) for i, c in enumerate(counts)])
+
+        asked = [keyed(child, key, i) for i, (_, child, key) in enumerate(checks)]
+        known = keyed(parent, parent_key, None).where("key is not null")
+        per_key = reduce(DataFrame.unionAll, [*asked, known]).groupBy("key").agg(
+            F.max("known").alias("known"), *[F.sum(c).alias(c) for c in counts])
+        lost = per_key.where("not known").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+        found.append(stage(lost.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("check_name"), F.col(c).alias("orphans")) for (name, _, _), c in zip(checks, counts)
+        ]))), "orphans"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from latelens.ml import evaluation as ev
 from latelens.ml.baselines import RuleBaseline
 from latelens.ml.training import TrainingRun, train_models
-from latelens.operators.staging import stage, staged_until_done, staging_folder
+from latelens.operators.staging import shuffles_dropped, stage, staged_until_done, staging_folder
 from latelens.plans import exploration as ex
 from latelens.plans.features import FeatureBuild, build_feature_table
 from latelens.session import use_fixed_zone
@@ -26,6 +26,8 @@ from latelens.sources.tables import load_catalog
 
 ZIP_PREFIXES = 53  # the last three have no position
 
+ROWS_PER_FILE = 1_000_000
+
 _open: dict[tuple[str, str], "Workspace"] = {}
 
 
@@ -103,7 +105,10 @@ class Workspace:
         paths = {}
         for name, df in delivery.raw_tables(self.spark, self.folder, self.view).items():
             paths[name] = f"{root}/{name}.csv"
-            df.write.option("header", True).option("escape", '"').csv(paths[name])
+            # Packed text is read by one task a file, so files are bounded.
+            writer = df.write.option("header", True).option("escape", '"').option("compression", "gzip")
+            with shuffles_dropped(self.spark):
+                writer.option("maxRecordsPerFile", ROWS_PER_FILE).csv(paths[name])
         return load_catalog(self.spark, paths, views=False)
 
     # -- exploration side ------------------------------------------------------------

@@ -5,9 +5,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from latelens.operators.keyed import orphan_report
 from latelens.operators.staging import stage, staged_until_done, staging_folder, unstage
 from latelens.plans.features import build_feature_table
 from latelens.sources import delivery
+from latelens.workspace import workspace
 
 
 def names(spark):
@@ -87,3 +89,30 @@ def test_the_feature_build_keeps_its_result_alone(spark, tables, history):
     left = {n.rpartition("-")[0] for n in names(spark) - before} - {"hot_keys"}
     assert left == {"view", "features", "train_rate"}
     assert build.table.count() == build.full.count() > 50 and build.global_rate.count() == 1
+
+
+def test_orphans_of_keys_that_repeat_or_are_missing(spark):
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = {
+        "a": table([(1, "x"), (1, "y"), (2, None), (None, "z"), (9, "x")], "k long, c string"),
+        "b": table([(1,), (1,), (None,), (2,)], "k long"),
+        "c": table([("x",), (None,), ("w",)], "c string"),
+        "none": table([], "k long"),
+    }
+    before = shuffled(spark)
+    report = orphan_report(tables, {
+        "a_in_b": ("a", "k", "b", "k"), "b_in_a": ("b", "k", "a", "k"), "a_in_c": ("a", "c", "c", "c"), "c_in_a": ("c", "c", "a", "c"),
+        "none_in_b": ("none", "k", "b", "k"), "a_in_none": ("a", "k", "none", "k")})
+    assert dict(map(tuple, report.collect())) == {
+        "a_in_b": 2, "b_in_a": 1, "a_in_c": 3, "c_in_a": 2, "none_in_b": 0, "a_in_none": 5}
+    assert shuffled(spark) <= before
+
+
+def test_raw_text_is_packed(spark):
+    ws = workspace(spark, "/root/testdata/sf0.001")
+    for name in ("items", "orders", "reviews"):
+        files = ws.catalog[name].inputFiles()
+        assert files and all(f.endswith(".csv.gz") for f in files)
+    assert ws.catalog["items"].count() == ws.view.count()
